@@ -28,8 +28,10 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def _normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
+def _normal_lines(text: Column) -> Column:
+    """Normalised lines: lower case, runs of white space as one space (single spaces need no change), trimmed."""
+    spaced = F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    return F.transform(F.split(spaced, "\n"), F.trim)
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
@@ -54,10 +56,10 @@ def base_rules(docs: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
     rows = rows.withColumn("windows", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.col("windows")))
-    ranked = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ranked = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     rows = rows.withColumn("ranked", F.when(F.col("windows").isNotNull(), ranked)).drop("windows")
     twice = F.filter("ranked", lambda s, k: F.coalesce(F.get("ranked", k - 1)["h"] == s["h"], F.lit(False)) | F.coalesce(F.get("ranked", k + 1)["h"] == s["h"], F.lit(False)))
-    rows = rows.withColumn("at", F.when(F.col("ranked").isNotNull(), F.array_sort(F.transform(twice, lambda s: s["i"])))).drop("ranked")
+    rows = rows.withColumn("at", F.when(F.col("ranked").isNotNull(), F.sort_array(F.transform(twice, lambda s: s["i"])))).drop("ranked")
     gaps = F.transform("at", lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get("at", k + 1) - i, F.lit(WINDOW))))
     covered = F.when(F.col("at").isNotNull(), F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap)).otherwise(0)
     rows = rows.withColumn("n_repeat_words", covered.cast("long")).drop("at")
@@ -67,10 +69,10 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 def _lines(rows: DataFrame) -> DataFrame:
     """(doc_id, host, digest of the text, line number, line hash, its words) of the lines that hold a word."""
-    line = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")
+    line = F.posexplode(_normal_lines(F.coalesce("text", F.lit("")))).alias("line_no", "line")
     lines = rows.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("copy"), line)
-    lines = lines.select("doc_id", "host", "copy", "line_no", _normal(F.col("line")).alias("line")).where("line <> ''")
-    return lines.select("doc_id", "host", "copy", "line_no", F.xxhash64("line").alias("hash"), F.size(F.split("line", " ")).alias("n"))
+    n = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
+    return lines.where("line <> ''").select("doc_id", "host", "copy", "line_no", F.xxhash64("line").alias("hash"), n.alias("n"))
 
 
 def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
