@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized_broadcast, staged, table
+from .common import discard, sized_broadcast, staged, table
 from .components import connected_components
 from .shingles import batches, mix, shingle_hashes
 
@@ -35,6 +35,8 @@ SLOTS = BANDS * ROWS
 SIMILARITY = 0.8
 #: Members of a leader that one task gets with one copy of the leader's text.
 SALT_MEMBERS = 256
+#: Rounds of leaders.
+LEADERS = 6
 
 _M = np.uint64
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -158,7 +160,9 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     requests = staged(asked.union(leads), "minhash-requests")
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(sized_broadcast(requests), "id").select("a", "salt", "role", "b", "text")
     sorted_ = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    return staged(sorted_.mapInArrow(_compare, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim")), "minhash-verified")
+    out = staged(sorted_.mapInArrow(_compare, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim")), "minhash-verified")
+    discard(requests)
+    return out
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -179,42 +183,47 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     shared = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     buckets = staged(banded.join(shared.select("bucket", "leader"), "bucket"), "minhash-buckets")
 
-    first = _verified(docs, buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    links = [member, first.where(F.col("sim") >= threshold).select("a", "b")]
-    # The first leaders are done. What is left of a bucket matters while it holds several components.
-    left = _unmerged(buckets.where("node <> leader").join(first.withColumnsRenamed({"a": "leader", "b": "node", "sim": "near"}), ["leader", "node"]), links)
+    stars = connected_components(member, "minhash-cc")
+    left = buckets.select("bucket", "node", F.col("leader"), F.array().cast("array<double>").alias("nears"), F.array().cast("array<double>").alias("leader_nears"))
     gap = 1 - threshold + 1e-9
-    second = left.groupBy("bucket").agg(F.max("node").alias("second"), F.max_by("near", "node").alias("second_near"))
-    left = staged(left.join(second, "bucket").where("node <> second"), "minhash-second")
-    pairs = left.where(F.abs(F.col("near") - F.col("second_near")) <= gap).select(F.col("second").alias("a"), F.col("node").alias("b")).distinct()
-    links.append(_verified(docs, pairs).where(F.col("sim") >= threshold).select("a", "b"))
-    left = _unmerged(left.select("bucket", "node", "near"), links)
+    for turn in range(LEADERS):
+        # All members meet the leader, which then is done with; what is left of a bucket matters while it holds several components.
+        left = staged(left.where("node <> leader"), "minhash-met")
+        pairs = left.where(_within("nears", "leader_nears", gap)).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        sims = _verified(docs, pairs)
+        stars = connected_components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(sims.where(F.col("sim") >= threshold).select("a", "b")), "minhash-cc")
+        met = left.join(sims.withColumnsRenamed({"a": "leader", "b": "node"}), ["leader", "node"], "left")
+        met = met.select("bucket", "node", F.array_append("nears", F.col("sim")).alias("nears"))
+        left = _unmerged(met, stars)
+        if turn == LEADERS - 1 or left.isEmpty():
+            break
+        # The next leader is the member nearest to those before, which is likely to be near to most.
+        central = F.aggregate("nears", F.lit(0.0), lambda total, x: total + F.coalesce(x, F.lit(0.0)))
+        chosen = left.groupBy("bucket").agg(F.max(F.struct(central.alias("c"), (-F.col("node")).alias("n"), F.col("nears"))).alias("m"))
+        chosen = chosen.select("bucket", (-F.col("m.n")).alias("leader"), F.col("m.nears").alias("leader_nears"))
+        left = left.drop("component").join(chosen, "bucket")
     x, y = left.alias("x"), left.alias("y")
-    near = F.abs(F.col("x.near") - F.col("y.near")) <= gap
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & near)
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _within("x.nears", "y.nears", gap))
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links.append(_verified(docs, rest).where(F.col("sim") >= threshold).select("a", "b"))
+    links = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_verified(docs, rest).where(F.col("sim") >= threshold).select("a", "b"))
 
-    component = connected_components(_union(links), "minhash-cc")
+    component = connected_components(links, "minhash-cc")
     ids = signed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     return ids.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.coalesce("component", "doc_id").alias("class_id"), "n_shingles", (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept")
     )
 
 
-def _union(links: list[DataFrame]) -> DataFrame:
-    out = links[0]
-    for x in links[1:]:
-        out = out.union(x)
-    return out
+def _within(one: str, other: str, gap: float):
+    """By the triangle inequality over the leaders that both have met, the distance may be as small as gap."""
+    return ~F.exists(F.zip_with(one, other, lambda a, b: F.coalesce(F.abs(a - b), F.lit(0.0))), lambda d: d > gap)
 
 
-def _unmerged(rows: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """rows(bucket, node, ...) of the buckets whose nodes lie in several components of the links so far."""
-    component = connected_components(_union(links), "minhash-cc")
-    rows = staged(rows.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")), "minhash-left")
+def _unmerged(rows: DataFrame, stars: DataFrame) -> DataFrame:
+    """rows(bucket, node, ...) with component, of the buckets whose nodes lie in several components."""
+    rows = staged(rows.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node")), "minhash-left")
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    return rows.join(mixed, "bucket")
+    return staged(rows.join(mixed, "bucket"), "minhash-mixed")
 
 
 def one_of_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

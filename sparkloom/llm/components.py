@@ -5,23 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, staged
+from .common import discard, staged
 
 
 def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """edges(a long, b long) -> (node, component): every node of an edge that links different nodes, and the smallest
     node that it reaches. Null ends and loops are ignored; an empty table gives an empty one.
     """
-    spark = edges.sparkSession
     links = edges.where("a is not null and b is not null and a <> b")
     links = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
     while True:
         if _is_star_forest(links):
             break
-        before = links.inputFiles()
-        links = staged(_small_star(_large_star(links)), tag)
-        for path in {f.rsplit("/", 1)[0] for f in before}:
-            remove(spark, path)
+        before, links = links, staged(_small_star(_large_star(links)), tag)
+        discard(before)
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v").distinct())
 
 
