@@ -36,7 +36,7 @@ SIMILARITY = 0.8
 #: Members of a leader that one task gets with one copy of the leader's text.
 SALT_MEMBERS = 256
 #: Rounds of leaders.
-LEADERS = 6
+LEADERS = 3
 
 _M = np.uint64
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -180,8 +180,12 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     member = worded.select("doc_id", "copy_key").join(classes.where("copies > 1").select("copy_key", "node"), "copy_key").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
     banded = classes.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    buckets = staged(banded.join(shared.select("bucket", "leader"), "bucket"), "minhash-buckets")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = staged(banded.join(shared, "bucket"), "minhash-buckets")
+    # The first leader is the member with most company over all its buckets: the likeliest to be near to most of them.
+    company = buckets.groupBy("node").agg(F.sum("size").alias("company"))
+    leaders = buckets.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("n"))).alias("m")).select("bucket", (-F.col("m.n")).alias("leader"))
+    buckets = buckets.join(leaders, "bucket")
 
     stars = connected_components(member, "minhash-cc")
     left = buckets.select("bucket", "node", F.col("leader"), F.array().cast("array<double>").alias("nears"), F.array().cast("array<double>").alias("leader_nears"))
@@ -221,7 +225,7 @@ def _within(one: str, other: str, gap: float):
 
 def _unmerged(rows: DataFrame, stars: DataFrame) -> DataFrame:
     """rows(bucket, node, ...) with component, of the buckets whose nodes lie in several components."""
-    rows = staged(rows.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node")), "minhash-left")
+    rows = rows.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     return staged(rows.join(mixed, "bucket"), "minhash-mixed")
 
