@@ -97,3 +97,13 @@ def open_file(uri: str):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(doc_id, text, label) of at most `most` doc_ids of labels(doc_id, label) that docs has, those with the smallest
+    hashes. Ids are chosen before any text is read, and their number bounds what is broadcast; a doc_id that several
+    rows of docs repeat gives its smallest text.
+    """
+    known = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = staged(known.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "sample")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import labelled_sample, staged, table
 from .shingles import batches, word_hashes
 
-SAMPLE = 20_000
+SAMPLE = 10_000
 LEAST, MOST = 1.0, 1e4
 
 _CLASS = np.zeros(256, np.uint8)
@@ -94,15 +94,15 @@ def _evidence(model):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """Fit the document classifier on labelled rows; without labels of both kinds every document gets the labels' mean (0.5 without any)."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    rows = labelled_sample(docs, known, sample)
 
     def featured(stream):
         for batch in stream:
             x = features(batch.column(0).to_pylist())
             yield pa.record_batch({"x": pa.array(list(x), pa.list_(pa.float64())), "y": batch.column(1)})
 
-    got = rows.select("text", F.col("quality").cast("long").alias("y")).mapInArrow(featured, "x array<double>, y long").toPandas()
+    got = rows.select("text", F.col("label").cast("long").alias("y")).mapInArrow(featured, "x array<double>, y long").toPandas()
     y = got["y"].to_numpy(float)
     if len(set(y)) < 2:
         mean = y.mean() if len(y) else 0.5

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import labelled_sample, table
 from .quality import fit_logistic
 from .shingles import batches
 
@@ -294,12 +294,11 @@ def _held_out(doc_id):
 
 def trained(docs: DataFrame, labels: DataFrame) -> Machine:
     """The machine for docs(doc_id, text) and labels(doc_id, toxic); rows whose crc32(doc_id) mod 5 is 0 are not learnt from."""
-    known = labels.where("doc_id is not null and toxic is not null").where(~_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id")
+    known = labels.where("doc_id is not null and toxic is not null").where(~_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     texts = []
     for label, most in ((1, TOXIC_SAMPLE), (0, CLEAN_SAMPLE)):
-        picked = rows.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
-        texts.append([r.text for r in picked.select("text").collect()])
+        picked = labelled_sample(docs.where("text is not null"), known.where(F.col("label") == label), most)
+        texts.append([r.text for r in picked.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").collect()])
     return train(*texts)
 
 
