@@ -1,0 +1,171 @@
+"""Rules over files, findings, selection and reports."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import entropy, finding_fingerprint, human_size, redacted, split_lines
+
+RULES = [
+    ("TL000", "invalid-bundle", "error"),
+    ("TL001", "missing-tests", "error"),
+    ("TL002", "unpinned-base-image", "error"),
+    ("TL003", "network-in-grader", "error"),
+    ("TL004", "nondeterminism", "warning"),
+    ("TL005", "oversized-file", "error"),
+    ("TL006", "committed-secret", "error"),
+]
+FINDING = ["bundle", "file", "line", "column", "code", "message"]
+#: label -> pattern; prefixes are written in two parts so that no literal looks like a credential.
+SECRETS = {
+    "AWS access key ID": "(?:AK" + "IA|AS" + "IA)[A-Z0-9]{16}",
+    "GitHub token": "gh" + "[pousr]_[A-Za-z0-9]{36}",
+    "GitHub fine-grained token": "github" + "_pat_[A-Za-z0-9_]{82}",
+    "GitLab token": "gl" + "pat-[A-Za-z0-9_-]{20}",
+    "Slack token": "xo" + "x[abprs]-[A-Za-z0-9-]{10,}",
+    "Stripe live key": "sk" + "_live_[A-Za-z0-9]{24}",
+    "Google API key": "AI" + "za[A-Za-z0-9_-]{35}",
+    "Hugging Face token": "h" + "f_[A-Za-z0-9]{34}",
+    "npm token": "np" + "m_[A-Za-z0-9]{36}",
+}
+NETWORK = r"(?:^|[\s;&|(`])(curl|wget|pip3? install|apt(?:-get)? install|git clone|npm install|nc|ssh)(?:$|[\s;&|)`])"
+SECRET_NAME = r"(?i)\b[a-z0-9_.-]*(?:api[_-]?key|secret|token|password|passwd|access[_-]?key)"
+ASSIGNED = SECRET_NAME + r"[\"']?\s*(?::=|=|:)\s*[\"']?([A-Za-z0-9+/_=.-]{16,})"
+URL_PASSWORD = r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#:@]*:([^\s/?#@$]+)@"
+SUPPRESS = r"sparkloom: ignore(?:\[([A-Z0-9, ]*)\])?"
+
+
+def file_lines(files: DataFrame) -> DataFrame:
+    """files(bundle, file, text) -> (bundle, file, line, source)."""
+    return files.select("bundle", "file", F.posexplode(split_lines(F.col("text"))).alias("pos", "source")).select("bundle", "file", (F.col("pos") + 1).alias("line"), "source")
+
+
+def secrets(lines: DataFrame) -> DataFrame:
+    """TL006 on lines(bundle, file, line, source): known formats, and secret-like names with values of high entropy."""
+    pattern = "(?<![A-Za-z0-9_])(?:" + "|".join(SECRETS.values()) + ")(?![A-Za-z0-9_])"
+    known = lines.where(F.col("source").rlike(pattern)).select(*lines.columns, F.explode(F.regexp_extract_all("source", F.lit(pattern), 0)).alias("value"))
+    label = F.lit(None).cast("string")
+    for name, p in reversed(SECRETS.items()):
+        label = F.when(F.col("value").rlike(f"^(?:{p})$"), name).otherwise(label)
+    known = known.withColumn("message", F.concat(label, F.lit(" committed in plain text: "), redacted(F.col("value"), 4)))
+    value = F.regexp_extract("source", ASSIGNED, 1)
+    named = lines.where(F.col("source").rlike(ASSIGNED) & ~F.col("source").rlike(pattern)).withColumn("value", value)
+    hexed = F.col("value").rlike("^[0-9a-fA-F]+$")
+    named = named.where(F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]") & (entropy(F.col("value")) >= F.when(hexed, 3.0).otherwise(3.5)))
+    named = named.withColumn("message", F.concat(F.lit("high-entropy value in a secret-like name: "), redacted(F.col("value"))))
+    found = known.unionByName(named)
+    return found.select("bundle", "file", "line", F.expr("locate(value, source)").alias("column"), F.lit("TL006").alias("code"), "message")
+
+
+def url_passwords(lines: DataFrame) -> DataFrame:
+    hit = lines.where(F.col("source").rlike(URL_PASSWORD)).withColumn("value", F.regexp_extract("source", URL_PASSWORD, 1))
+    return hit.select("bundle", "file", "line", F.expr("locate(value, source)").alias("column"), F.lit("TL006").alias("code"), F.concat(F.lit("URL password committed in plain text: "), redacted(F.col("value"))).alias("message"))
+
+
+def network_commands(lines: DataFrame) -> DataFrame:
+    """TL003 on shell lines."""
+    hit = lines.where(F.col("source").rlike(NETWORK)).withColumn("value", F.regexp_extract("source", NETWORK, 1))
+    return hit.select("bundle", "file", "line", F.expr("locate(value, source)").alias("column"), F.lit("TL003").alias("code"), F.concat(F.lit("network command: "), F.col("value")).alias("message"))
+
+
+def oversized(files: DataFrame, max_file_kb: int = 1024, max_bundle_kb: int = 20480) -> DataFrame:
+    """TL005 on files(bundle, file, size): files above their limit, bundles above theirs with the three largest files."""
+    big = files.where(F.col("size") > max_file_kb * 1024)
+    each = big.select("bundle", "file", F.concat(human_size(F.col("size")), F.lit(f" exceeds {max_file_kb} KiB")).alias("message"))
+    total = files.groupBy("bundle").agg(F.sum("size").alias("total")).where(F.col("total") > max_bundle_kb * 1024)
+    rank = Window.partitionBy("bundle").orderBy(F.desc("size"), "file")
+    top = files.join(total.select("bundle"), "bundle", "left_semi").withColumn("r", F.row_number().over(rank)).where("r <= 3")
+    named = top.groupBy("bundle").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "file"))), lambda x: x["file"]), ", ").alias("largest"))
+    whole = total.join(named, "bundle").select("bundle", F.lit("").alias("file"), F.concat(human_size(F.col("total")), F.lit(f" exceeds {max_bundle_kb} KiB; largest: "), F.col("largest")).alias("message"))
+    return each.unionByName(whole).select("bundle", "file", F.lit(1).alias("line"), F.lit(1).alias("column"), F.lit("TL005").alias("code"), "message")
+
+
+def findings(violations: DataFrame) -> DataFrame:
+    """Distinct violations with their occurrence number within (bundle, code, file, message) and fingerprint."""
+    once = violations.select(*FINDING).dropDuplicates()
+    w = Window.partitionBy("bundle", "code", "file", "message").orderBy("line", "column")
+    numbered = once.withColumn("occurrence", F.row_number().over(w) - 1)
+    return numbered.withColumn("fingerprint", finding_fingerprint(F.col("code"), F.col("file"), F.col("message"), F.col("occurrence")))
+
+
+def suppressed(violations: DataFrame, lines: DataFrame) -> DataFrame:
+    """violations with `suppressed`: the line says so, for all codes or those with a named prefix."""
+    said = lines.where(F.col("source").rlike(SUPPRESS)).select("bundle", "file", "line", F.contains("source", F.lit("ignore[")).alias("some"), F.split(F.regexp_extract("source", SUPPRESS, 1), r"\s*,\s*").alias("codes"))
+    joined = violations.join(said, ["bundle", "file", "line"], "left")
+    named = F.exists("codes", lambda c: (c != "") & F.startswith(F.col("code"), c))
+    return joined.withColumn("suppressed", F.coalesce(~F.col("some") | named, F.lit(False))).drop("some", "codes")
+
+
+def summary(found: DataFrame, rules: DataFrame) -> DataFrame:
+    """bundles_with_findings, findings, errors, warnings."""
+    joined = found.join(F.broadcast(rules), "code")
+    return joined.agg(F.count_distinct("bundle").alias("bundles_with_findings"), F.count("*").alias("findings"), F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+
+
+def rule_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RULES, "code string, rule string, severity string")
+
+
+def selected(rules: DataFrame, selections: DataFrame) -> DataFrame:
+    """Fold layers of selections(layer, kind, selector) over rules(code): a layer's select replaces what came before, its
+    ignore subtracts; where both match a code the longer selector wins, and ALL is the shortest."""
+    weight = F.when(F.col("selector") == "ALL", 0).when(F.startswith("code", F.col("selector")), F.length("selector"))
+    hits = rules.select("code").crossJoin(F.broadcast(selections)).withColumn("w", weight).where("w is not null")
+    best = hits.groupBy("code", "layer").agg(F.max(F.when(F.col("kind") == "select", F.col("w"))).alias("s"), F.max(F.when(F.col("kind") == "ignore", F.col("w"))).alias("i"))
+    chooses = selections.groupBy("layer").agg(F.max(F.when(F.col("kind") == "select", 1).otherwise(0)).alias("has_select"))
+    grid = rules.select("code").crossJoin(F.broadcast(chooses)).join(best, ["code", "layer"], "left")
+    verdict = F.when(F.col("i").isNotNull() & (F.col("i") >= F.coalesce("s", F.lit(-1))), 0).when(F.col("s").isNotNull(), 1).when(F.col("has_select") == 1, 0)
+    last = grid.withColumn("v", verdict).where("v is not null").groupBy("code").agg(F.max_by("v", "layer").alias("v"))
+    return rules.select("code").join(last, "code", "left").select("code", (F.coalesce("v", F.lit(1)) == 1).alias("enabled"))
+
+
+def unknown_selectors(rules: DataFrame, selections: DataFrame) -> DataFrame:
+    known = selections.join(F.broadcast(rules.select("code")), F.startswith("code", F.col("selector")) | (F.col("selector") == "ALL"), "left_anti")
+    return known.select("selector").distinct()
+
+
+def text_report(found: DataFrame) -> DataFrame:
+    """(bundle, report): a line per finding in order."""
+    line = F.format_string("%s:%d:%d: %s %s", "file", "line", "column", "code", "message")
+    ordered = F.array_sort(F.collect_list(F.struct("file", "line", "column", "code", line.alias("text"))))
+    return found.groupBy("bundle").agg(ordered.alias("l")).select("bundle", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("report"))
+
+
+def sarif_results(found: DataFrame) -> DataFrame:
+    """One SARIF result per finding, as JSON."""
+    index = F.array_position(F.array(*[F.lit(r[0]) for r in RULES]), F.col("code")) - 1
+    level = F.when(F.col("code") == "TL004", "warning").otherwise("error")
+    uri = F.regexp_replace(F.url_encode("file"), r"\+", "%20")
+    place = F.struct(F.struct(F.struct(F.regexp_replace(uri, "%2F", "/").alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn")).alias("region")).alias("physicalLocation"))
+    result = F.struct(F.col("code").alias("ruleId"), index.alias("ruleIndex"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"), F.create_map(F.lit("finding/v1"), F.col("fingerprint")).alias("partialFingerprints"))
+    return found.select("bundle", "fingerprint", F.to_json(result).alias("result"))
+
+
+def sarif_problems(log: dict) -> list[str]:
+    """Places of a SARIF log that the format does not allow."""
+    out = []
+    if log.get("version") != "2.1.0":
+        out.append("$.version: not 2.1.0")
+    if not isinstance(log.get("runs"), list):
+        return [*out, "$.runs: not a list"]
+    for r, run in enumerate(log["runs"]):
+        driver = (run.get("tool") or {}).get("driver") or {}
+        if not driver.get("name"):
+            out.append(f"$.runs[{r}].tool.driver.name: missing")
+        rules = [x.get("id") for x in driver.get("rules", [])]
+        for k, result in enumerate(run.get("results", [])):
+            at = f"$.runs[{r}].results[{k}]"
+            if not (result.get("message") or {}).get("text"):
+                out.append(f"{at}.message.text: missing")
+            index = result.get("ruleIndex", -1)
+            if index >= len(rules) or index >= 0 and rules[index] != result.get("ruleId"):
+                out.append(f"{at}.ruleIndex: not the rule's place")
+    return out
+
+
+def sarif_log(results: list[str], name: str = "sparkloom") -> str:
+    rules = [{"id": c, "name": n, "defaultConfiguration": {"level": s}} for c, n, s in RULES]
+    return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": name, "rules": rules}}, "results": [json.loads(r) for r in results]}]}, sort_keys=True)

@@ -2,5 +2,344 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import minhash, text
+from ..operators import ledger, lint, merkle, near_duplicates, store
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+_SHINGLES = f"""
+t AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS shingle FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM t WHERE len(w) > 0))
+"""
+
+
+@query(f"WITH {_SHINGLES} SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id")
+def word_shingles_count(spark, sf_dir):
+    return near_duplicates.shingle_rows(_t(spark, sf_dir, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_shingles"))
+
+
+@query(f"""WITH {_SHINGLES}, n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL)
+SELECT a, b, shared, round(shared / (na.n + nb.n - shared), 6) AS jaccard FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+WHERE shared / (na.n + nb.n - shared) >= 0.5""")
+def exact_jaccard_pairs(spark, sf_dir):
+    rows = near_duplicates.shingle_rows(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    return near_duplicates.jaccard_pairs(rows, "doc_id", 0.5).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query()
+def similar_documents(spark, sf_dir):
+    found = near_duplicates.similar(_t(spark, sf_dir, "documents"), "doc_id", "text", 0.5)
+    return found.withColumn("similarity", F.bround("similarity", 4))
+
+
+@query()
+def minhash_signature_blake2b(spark, sf_dir):
+    docs = near_duplicates.shingle_sets(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    return minhash.signatures(docs, "doc_id", "shingles").select("doc_id", F.array_join("signature", " ").alias("signature"))
+
+
+@query("""SELECT sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest, min(doc_id) AS first_doc, count(*) AS n
+FROM documents GROUP BY 1 HAVING count(*) > 1""")
+def exact_duplicate_groups(spark, sf_dir):
+    digest = F.sha2(text.unix_newlines(F.col("text")), 256)
+    return _t(spark, sf_dir, "documents").groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
+
+
+@query("""SELECT doc_id, CASE WHEN contains(text, chr(0)) THEN 'binary' ELSE 'text' END AS kind, strlen(t)::BIGINT AS size, sha256(t) AS digest
+FROM (SELECT doc_id, text, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents)""")
+def normalized_text_digest(spark, sf_dir):
+    files = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("bundle"), F.lit("instruction.md").alias("path"), F.col("text").cast("binary").alias("content"))
+    return merkle.file_digests(files).select(F.col("bundle").alias("doc_id"), "kind", "size", F.col("sha256").alias("digest"))
+
+
+@query("""WITH e AS (SELECT conv_id, role, role || '-' || turn AS name, unhex(sha256(text)) AS digest FROM conversations WHERE text IS NOT NULL),
+d AS (SELECT conv_id, role, unhex(sha256(unhex('01' || string_agg(hex(('f' || name)::BLOB) || '00' || hex(digest), '' ORDER BY name)))) AS digest FROM e GROUP BY ALL),
+r AS (SELECT conv_id, unhex(sha256(unhex('01' || string_agg(hex(('d' || role)::BLOB) || '00' || hex(digest), '' ORDER BY role)))) AS digest FROM d GROUP BY ALL)
+SELECT conv_id, 'sha256:' || sha256(unhex(hex('tree-v1'::BLOB) || '00' || hex(digest))) AS root FROM r""")
+def merkle_conversation_root(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").where("text is not null")
+    rows = rows.select(F.col("conv_id").alias("bundle"), F.format_string("%s/%s-%d", "role", "role", "turn").alias("path"), F.sha2("text", 256).alias("sha256"))
+    return merkle.roots(rows, "tree-v1", 2).select(F.col("bundle").alias("conv_id"), "root")
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS bytes FROM lineitem GROUP BY ALL""")
+def volume_summary(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus")
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("bytes"))
+
+
+@query("""SELECT page_id, list_has_any(list_transform(string_split(url, '/'), lambda x: regexp_matches(x,
+'^(\\.git|\\.hg|\\.svn|\\.DS_Store|Thumbs\\.db|__pycache__|.*\\.py[co]|\\.pytest_cache|\\.mypy_cache|\\.ruff_cache|\\.venv|.*~|.*\\.swp|\\.idea)$')), [true]) AS ignored FROM pages""")
+def ignore_filter_paths(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", text.ignored(F.col("url")).alias("ignored"))
+
+
+_BANDS = """WITH RECURSIVE s AS (SELECT threshold, b, r, (i / 200.0) AS x, CASE WHEN i IN (0, 200) THEN 0.5 ELSE 1.0 END AS weight
+ FROM (VALUES (0.3::DOUBLE), (0.5), (0.7), (0.9)) v(threshold), range(1, 129) t1(b), range(1, 129) t2(r), range(0, 201) t3(i) WHERE b * r <= 128),
+e AS (SELECT threshold, b, r, sum(weight * 0.5 * ((1 - pow(1 - pow(x * threshold, r), b)) * threshold
+  + pow(1 - pow(threshold + x * (1 - threshold), r), b) * (1 - threshold))) / 200 AS err FROM s GROUP BY ALL)
+SELECT threshold, b::BIGINT AS bands, r::BIGINT AS "rows" FROM (SELECT *, row_number() OVER (PARTITION BY threshold ORDER BY round(err, 12), b, r) AS k FROM e) WHERE k = 1"""
+
+
+@query(_BANDS)
+def optimal_lsh_params(spark, sf_dir):
+    return spark.createDataFrame([(t, *minhash.optimal_bands(t)) for t in (0.3, 0.5, 0.7, 0.9)], "threshold double, bands long, rows long")
+
+
+@query(f"""WITH {_SHINGLES}, b AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 2], ' ') AS shingle FROM
+ (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0))
+SELECT doc_id, item_id, count(*) AS shared FROM s JOIN b USING (shingle) GROUP BY ALL HAVING count(*) >= 10""")
+def benchmark_overlap(spark, sf_dir):
+    docs = near_duplicates.shingle_rows(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    items = near_duplicates.shingle_rows(_t(spark, sf_dir, "benchmark"), "item_id", "text")
+    return docs.join(items, "shingle").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).where("shared >= 10")
+
+
+_FOLD = r"regexp_replace(lower({}), '[\s_.\-]+', '', 'g')"
+
+
+@query(f"""WITH k AS (SELECT s_suppkey AS id, {_FOLD.format('s_name')} AS id_key FROM supplier UNION ALL SELECT c_custkey, {_FOLD.format("replace(c_name, 'Customer', 'Supplier')")} FROM customer)
+SELECT id_key, count(*) AS n, min(id) AS first_id FROM k GROUP BY id_key HAVING count(*) > 1""")
+def fold_id_collisions(spark, sf_dir):
+    a = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), text.fold_id(F.col("s_name")).alias("id_key"))
+    b = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), text.fold_id(F.regexp_replace("c_name", "Customer", "Supplier")).alias("id_key"))
+    return a.union(b).groupBy("id_key").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
+
+
+@query(f"""SELECT p_partkey, s AS slug, length(s) BETWEEN 3 AND 64 AND regexp_matches(s, '{text.SLUG}') AS slug_ok, v AS version, regexp_matches(v, '{text.SEMVER}') AS semver_ok
+FROM (SELECT p_partkey, replace(lower(p_name), ' ', CASE WHEN p_partkey % 3 = 0 THEN '--' ELSE '-' END) AS s,
+ (p_size % 4)::VARCHAR || CASE WHEN p_partkey % 5 = 0 THEN '.01.' ELSE '.1.' END || p_size || CASE WHEN p_partkey % 7 = 0 THEN '-rc.1+b' ELSE '' END AS v FROM part)""")
+def slug_semver_validation(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    slug = F.replace(F.lower("p_name"), F.lit(" "), F.when(F.col("p_partkey") % 3 == 0, "--").otherwise("-"))
+    version = F.concat((F.col("p_size") % 4).cast("string"), F.when(F.col("p_partkey") % 5 == 0, ".01.").otherwise(".1."), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 7 == 0, "-rc.1+b").otherwise(""))
+    return part.select("p_partkey", slug.alias("slug"), text.is_slug(slug).alias("slug_ok"), version.alias("version"), text.is_semver(version).alias("semver_ok"))
+
+
+_SIZES = ["512K", "100MB", "2GiB", "77", "1.5M", "x", "3t", "0B"]
+_FACTOR = "CASE lower(regexp_extract(v, '([kKmMgGtT]?)(?:[iI]?[bB])?$', 1)) WHEN 'k' THEN 1024 WHEN 'm' THEN 1048576 WHEN 'g' THEN 1073741824 WHEN 't' THEN 1099511627776 ELSE 1 END"
+
+
+@query(f"""WITH s AS (SELECT v, CASE WHEN regexp_matches(v, '^[0-9]+[kKmMgGtT]?([iI]?[bB])?$') THEN regexp_extract(v, '^[0-9]+')::BIGINT * {_FACTOR} END AS b FROM (VALUES {", ".join(f"('{x}')" for x in _SIZES)}) t(v))
+SELECT v AS size, b::BIGINT AS bytes, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN printf('%.1f MiB', b / 1048576.0::DOUBLE)
+ WHEN b < 1099511627776 THEN printf('%.1f GiB', b / 1073741824.0::DOUBLE) ELSE printf('%.1f TiB', b / 1099511627776.0::DOUBLE) END AS human FROM s WHERE b IS NOT NULL""")
+def parse_size_human_size(spark, sf_dir):
+    rows = spark.createDataFrame([(x,) for x in _SIZES], "size string").withColumn("bytes", text.parse_size(F.col("size")))
+    return rows.where("bytes is not null").withColumn("human", text.human_size(F.col("bytes")))
+
+
+_IMAGES = {
+    "python:3.12": ("", "python", "3.12", False),
+    "ghcr.io/acme/app@sha256:" + "a" * 64: ("ghcr.io", "acme/app", "", True),
+    "acme/app:1.0": ("", "acme/app", "1.0", False),
+    "localhost/app": ("localhost", "app", "", False),
+    "reg:5000/a/b:t": ("reg:5000", "a/b", "t", False),
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{d}', '{p}', '{t}', {str(x).lower()})" for k, (d, p, t, x) in _IMAGES.items()) + ") v(ref, domain, path, tag, pinned)")
+def image_ref_parse(spark, sf_dir):
+    rows = spark.createDataFrame([(x,) for x in [*_IMAGES, "Bad Name"]], "ref string").withColumn("r", text.image_ref(F.col("ref"))).where("r is not null")
+    blank = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c)
+    return rows.select("ref", blank("domain"), blank("path"), blank("tag"), F.col("r.digest").isNotNull().alias("pinned"))
+
+
+def _document_lines(spark, sf_dir):
+    return lint.file_lines(_t(spark, sf_dir, "documents").select(F.col("source").alias("bundle"), F.col("doc_id").cast("string").alias("file"), "text"))
+
+
+_LINES = r"""l AS (SELECT bundle, file, unnest(x) AS source, generate_subscripts(x, 1) AS line FROM (SELECT source AS bundle, doc_id::VARCHAR AS file,
+ CASE WHEN y[-1] = '' THEN y[:-2] ELSE y END AS x FROM (SELECT *, regexp_split_to_array(text, '\r\n|\r|\n') AS y FROM documents)))"""
+
+
+@query(f"WITH {_LINES} SELECT bundle, file, line::INTEGER AS line, length(source)::INTEGER AS width FROM l")
+def line_split_positions(spark, sf_dir):
+    return _document_lines(spark, sf_dir).select("bundle", "file", "line", F.length("source").alias("width"))
+
+
+@query()
+def secret_scan_entropy(spark, sf_dir):
+    return lint.secrets(_document_lines(spark, sf_dir))
+
+
+@query(f"""WITH l AS (SELECT page_id::VARCHAR AS file, unnest(string_split(html, chr(10))) AS source FROM pages)
+SELECT file, regexp_extract(source, '{lint.NETWORK}', 1) AS command, count(*) AS n FROM l WHERE regexp_matches(source, '{lint.NETWORK}') GROUP BY ALL""")
+def network_command_scan(spark, sf_dir):
+    files = _t(spark, sf_dir, "pages").select(F.lit("b").alias("bundle"), F.col("page_id").cast("string").alias("file"), F.col("html").alias("text"))
+    found = lint.network_commands(lint.file_lines(files))
+    return found.select("file", F.regexp_replace("message", "^network command: ", "").alias("command")).groupBy("file", "command").agg(F.count("*").alias("n"))
+
+
+@query()
+def url_password_scan(spark, sf_dir):
+    files = _t(spark, sf_dir, "pages").select(F.lit("b").alias("bundle"), F.col("page_id").cast("string").alias("file"), F.col("html").alias("text"))
+    return lint.url_passwords(lint.file_lines(files))
+
+
+def _sizes(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select(F.col("source").alias("bundle"), F.col("doc_id").cast("string").alias("file"), F.octet_length("text").cast("long").alias("size"))
+
+
+_OVER = """f AS (SELECT source AS bundle, doc_id::VARCHAR AS file, strlen(text)::BIGINT AS size FROM documents),
+t AS (SELECT bundle, sum(size)::BIGINT AS total FROM f GROUP BY bundle HAVING sum(size) > 100 * 1024),
+h AS (SELECT bundle, string_agg(file, ', ' ORDER BY r) AS largest FROM (SELECT bundle, file, row_number() OVER (PARTITION BY bundle ORDER BY size DESC, file) AS r FROM f) WHERE r <= 3 GROUP BY bundle),
+human AS (SELECT bundle, file, size AS b, 8 AS k, '' AS more FROM f WHERE size > 8 * 1024 UNION ALL SELECT bundle, '', total, 100, '; largest: ' || largest FROM t JOIN h USING (bundle)),
+v AS (SELECT bundle, file, 1 AS line, 1 AS "column", 'TL005' AS code, CASE WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0::DOUBLE) ELSE printf('%.1f MiB', b / 1048576.0::DOUBLE) END || ' exceeds ' || k || ' KiB' || more AS message FROM human)"""
+
+
+@query(f"WITH {_OVER} SELECT * FROM v")
+def oversized_documents(spark, sf_dir):
+    return lint.oversized(_sizes(spark, sf_dir), 8, 100)
+
+
+@query(f"""WITH {_OVER} SELECT DISTINCT bundle, file, line, "column", code, message, 0 AS occurrence,
+left(sha256(code || chr(0) || file || chr(0) || message || chr(0) || '0'), 32) AS fingerprint FROM v""")
+def findings_fingerprint(spark, sf_dir):
+    found = lint.oversized(_sizes(spark, sf_dir), 8, 100)
+    return lint.findings(found.union(found))
+
+
+@query(f"WITH {_OVER} SELECT count(DISTINCT bundle) AS bundles_with_findings, count(*) AS findings, count(*) AS errors, 0::BIGINT AS warnings FROM v")
+def findings_summary(spark, sf_dir):
+    return lint.summary(findings_fingerprint(spark, sf_dir), lint.rule_table(spark))
+
+
+@query()
+def sarif_results(spark, sf_dir):
+    return lint.sarif_results(findings_fingerprint(spark, sf_dir))
+
+
+@query()
+def lint_text_report(spark, sf_dir):
+    return lint.text_report(findings_fingerprint(spark, sf_dir))
+
+
+_SUPPRESS = [("x = 1", False), ("x  # sparkloom: ignore", True), ("x  # sparkloom: ignore[TL004]", True), ("x  # sparkloom: ignore[TL00]", True), ("x  # sparkloom: ignore[TL003, TL004]", True), ("x  # sparkloom: ignore[]", False), ("x  # sparkloom: ignore[TL003]", False)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k + 1}, {str(s).lower()})" for k, (_, s) in enumerate(_SUPPRESS)) + ") v(line, suppressed)")
+def suppression_filter(spark, sf_dir):
+    lines = spark.createDataFrame([("b", "f", k + 1, x) for k, (x, _) in enumerate(_SUPPRESS)], "bundle string, file string, line int, source string")
+    found = lines.select("bundle", "file", "line", F.lit(1).alias("column"), F.lit("TL004").alias("code"), F.lit("m").alias("message"))
+    return lint.suppressed(found, lines).select("line", "suppressed")
+
+
+_SELECTIONS = [(0, "select", "ALL"), (0, "ignore", "TL004"), (1, "select", "TL00"), (1, "ignore", "TL003"), (2, "ignore", "TL005")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {str(c not in ('TL003', 'TL005')).lower()})" for c, _, _ in lint.RULES) + ") v(code, enabled)")
+def rule_selection(spark, sf_dir):
+    layers = spark.createDataFrame(_SELECTIONS, "layer int, kind string, selector string")
+    return lint.selected(lint.rule_table(spark), layers)
+
+
+_STATUS = "CASE event_type WHEN 'signup' THEN 'draft' WHEN 'view' THEN 'submitted' WHEN 'click' THEN 'in_review' WHEN 'purchase' THEN 'accepted' ELSE 'needs_changes' END"
+
+
+@query(f"""WITH s AS (SELECT user_id, event_id, {_STATUS} AS to_status FROM events),
+p AS (SELECT *, lag(to_status) OVER (PARTITION BY user_id ORDER BY event_id) AS from_status FROM s)
+SELECT user_id, event_id, from_status, to_status FROM p WHERE (from_status IS NULL AND to_status <> 'draft') OR (from_status IS NOT NULL AND (from_status, to_status) NOT IN
+(('draft','submitted'),('submitted','in_review'),('in_review','accepted'),('in_review','rejected'),('in_review','needs_changes'),('needs_changes','submitted')))""")
+def review_state_machine(spark, sf_dir):
+    log = _t(spark, sf_dir, "events").select("user_id", "event_id", F.expr(_STATUS).alias("status"))
+    return ledger.illegal_transitions(log, "user_id", ["event_id"], "status")
+
+
+def _chain(spark, sf_dir):
+    """A chain per user whose rows hash their own content and the content before."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    rows = _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type").withColumn("seq", F.row_number().over(w).cast("long"))
+    own = F.sha2(F.concat_ws("|", "user_id", "seq", "event_type"), 256)
+    rows = rows.withColumn("row_hash", own).withColumn("prev_hash", F.lag("row_hash", 1, ledger.GENESIS).over(w))
+    edited = F.when(F.col("event_id") % 501 == 0, F.lit("error")).otherwise(F.col("event_type"))
+    return rows.withColumn("event_type", edited).where(F.col("event_id") % 997 != 0)
+
+
+@query("""WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER o AS seq FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id)),
+h AS (SELECT *, sha256(user_id || '|' || seq || '|' || event_type) AS row_hash FROM r),
+p AS (SELECT *, lag(row_hash, 1, repeat('0', 64)) OVER (PARTITION BY user_id ORDER BY seq) AS prev_hash FROM h),
+t AS (SELECT user_id, seq, CASE WHEN event_id % 501 = 0 THEN 'error' ELSE event_type END AS event_type, row_hash, prev_hash FROM p WHERE event_id % 997 <> 0),
+c AS (SELECT *, row_number() OVER o AS k, lag(row_hash, 1, repeat('0', 64)) OVER o AS before FROM t WINDOW o AS (PARTITION BY user_id ORDER BY seq)),
+f AS (SELECT user_id, seq, CASE WHEN seq <> k THEN 'row missing or inserted' WHEN prev_hash <> before THEN 'prev_hash' WHEN row_hash <> sha256(user_id || '|' || seq || '|' || event_type) THEN 'row edited' END AS reason FROM c)
+SELECT user_id, seq, reason FROM f WHERE reason IS NOT NULL""")
+def audit_tamper_detection(spark, sf_dir):
+    own = F.sha2(F.concat_ws("|", "user_id", "seq", "event_type"), 256)
+    return ledger.chain_faults(_chain(spark, sf_dir), "user_id", own).where("reason is not null").select("user_id", "seq", "reason")
+
+
+@query()
+def audit_chain_build_verify(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").orderBy("event_id").limit(50).select("event_id", "user_id", "event_type").collect()
+    log = ledger.append_audit(spark, [(str(r.event_id), str(r.user_id), r.event_type, None, "{}") for r in rows])
+    return ledger.chain_report(ledger.chain_faults(log))
+
+
+@query("""SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey""")
+def latest_submission(spark, sf_dir):
+    return ledger.latest(_t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("""WITH o AS (SELECT sha256(text) AS hash, min(doc_id) AS owner FROM documents GROUP BY 1)
+SELECT doc_id, hash, owner, CASE WHEN owner = doc_id THEN 'registered' ELSE 'exact_collision' END AS status FROM (SELECT doc_id, sha256(text) AS hash FROM documents) JOIN o USING (hash)""")
+def first_claim_wins(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    return ledger.first_claims(rows, "hash", "doc_id")
+
+
+@query("""SELECT a.doc_id, min(b.doc_id) AS earlier FROM documents a JOIN documents b ON sha256(a.text) = sha256(b.text) AND a.doc_id % 2 = 1 AND b.doc_id % 2 = 0 GROUP BY a.doc_id""")
+def revise_history_collision(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    history = rows.where("doc_id % 2 = 0").groupBy("hash").agg(F.min("doc_id").alias("earlier"))
+    return rows.where("doc_id % 2 = 1").join(history, "hash").select("doc_id", "earlier")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS key, floor(o_totalprice)::BIGINT AS size, epoch_us(o_orderdate) AS last_used FROM orders),
+r AS (SELECT *, sum(size) OVER () - coalesce(sum(size) OVER (ORDER BY last_used, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM o)
+SELECT key, size, last_used FROM r WHERE held > (SELECT sum(size) // 3 FROM o)""")
+def lru_gc(spark, sf_dir):
+    used = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    objects = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.floor("o_totalprice").cast("long").alias("size"), used.alias("last_used"))
+    budget = objects.agg(F.sum("size").alias("s")).first()["s"] or 0
+    return store.evicted(objects, budget // 3)
+
+
+@query("""WITH a AS (SELECT DISTINCT sha256(text) AS key FROM documents WHERE doc_id % 2 = 0), b AS (SELECT sha256(text) AS key, any_value(strlen(text)) AS size FROM documents WHERE doc_id % 2 = 1 GROUP BY 1)
+SELECT count(*) AS objects, count(*) FILTER (a.key IS NULL) AS new_objects, coalesce(sum(size) FILTER (a.key IS NULL), 0)::BIGINT AS new_bytes FROM b LEFT JOIN a USING (key)""")
+def cache_put_stats(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"), F.octet_length("text").cast("long").alias("size"))
+    held, batch = rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")
+    fresh = store.put(held, batch.select("key", "size")).agg(F.count("*").alias("new_objects"), F.coalesce(F.sum("size"), F.lit(0)).alias("new_bytes"))
+    return batch.agg(F.count_distinct("key").alias("objects")).crossJoin(fresh)
+
+
+@query("SELECT left(sha256(text), 2) AS folder, count(DISTINCT sha256(text)) AS objects FROM documents GROUP BY 1")
+def object_key_fanout(spark, sf_dir):
+    key = text.object_key(F.concat(F.lit("sha256:"), F.sha2("text", 256)))
+    rows = _t(spark, sf_dir, "documents").select(key.alias("key")).distinct()
+    return rows.groupBy(F.split_part(text.object_path(F.col("key")), F.lit("/"), F.lit(1)).alias("folder")).agg(F.count("*").alias("objects"))
+
+
+@query("SELECT user_id, event_id, event_type FROM events WHERE user_id % 10 = 1")
+def history_by_task(spark, sf_dir):
+    return _t(spark, sf_dir, "events").where("user_id % 10 = 1").select("user_id", "event_id", "event_type").orderBy("user_id", "event_id")
