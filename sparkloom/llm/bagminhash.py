@@ -240,8 +240,10 @@ def one_of_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     kept = docs.join(sized_broadcast(gone), "doc_id", "left_anti").select(columns)
     repeated = staged(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "minhash-repeated")
     once = kept.join(sized_broadcast(repeated), "doc_id", "left_anti")
-    twice = kept.join(sized_broadcast(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("_t"), *[c for c in columns if c != "doc_id"])).alias("_r"))
-    return once.select(columns).unionByName(twice.select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in columns if c != "doc_id"]).select(columns))
+    twice = kept.join(sized_broadcast(repeated), "doc_id", "left_semi")
+    order = F.struct(F.coalesce("text", F.lit("")), F.to_json(F.struct(*columns)))  # a map has no order, its JSON has
+    twice = twice.groupBy("doc_id").agg(F.min_by(F.struct(*columns), order).alias("row")).select("row.*")
+    return once.select(columns).unionByName(twice)
 
 
 def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,17 @@ def open_file(uri: str):
     return files.open_input_file(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind those that df has already (in either case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

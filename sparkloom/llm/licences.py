@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sized_broadcast, table
 
 #: British or older spelling -> the one used, as whole words.
 SPELLINGS = {
@@ -48,15 +48,15 @@ def known_digests(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(rows.items()), "digest string, licence string")
 
 
-def licence_lookup(docs: DataFrame, known: DataFrame, known_is_small: bool = True) -> DataFrame:
+def licence_lookup(docs: DataFrame, known: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> one row per row: doc_id, digest, licence (null if unknown).
 
     Null and empty texts have the digest of the empty form, which no licence has. Texts that repeat, ties and null doc_ids
-    are looked up like others. Other columns are ignored. known(digest, licence) has each digest once; it is broadcast only
-    if known_is_small, else joined by shuffling the digests.
+    are looked up like others. Other columns are ignored. known(digest, licence) has each digest once; it is broadcast
+    if it is small, else joined by shuffling the digests.
     """
     rows = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    return rows.join(F.broadcast(known) if known_is_small else known, "digest", "left").select("doc_id", "digest", "licence")
+    return rows.join(sized_broadcast(known), "digest", "left").select("doc_id", "digest", "licence")
 
 
 def op5_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,28 +96,31 @@ def verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_S
     Null text has no words and fails. Null doc_ids are matched like values; rows that repeat doc_id, source and text get
     the same result each. Other columns are ignored.
     """
-    gone = removed_lines(docs, frequent_lines(docs, max_docs, max_share))
+    return _judged(docs, frequent_lines(docs, max_docs, max_share)).drop("host", "copy")
+
+
+def _judged(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+    gone = removed_lines(docs, frequent)
     gone = gone.select(F.col("doc_id").alias("g_id"), F.col("host").alias("g_host"), F.col("copy").alias("g_copy"), "lost")
     rows = base_rules(docs).withColumn("copy", F.xxhash64("text")).drop("text")
     same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("host") == F.col("g_host")) & (F.col("copy") == F.col("g_copy"))
     rows = rows.join(gone, same, "left").withColumn("n_lost_words", F.coalesce("lost", F.lit(0)).cast("long"))
     kept = ~F.col("base_failed") & (2 * F.col("n_lost_words") <= F.col("n_words"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lost_words")
+    return rows.select("doc_id", "host", "copy", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lost_words")
 
 
 def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """docs without its rejected rows, and without the removed lines in `text`; all columns stay."""
-    keys = (F.col("doc_id").alias("g_id"), F.col("host").alias("g_host"), F.col("copy").alias("g_copy"))
-    gone = removed_lines(docs, frequent_lines(docs, max_docs, max_share)).select(*keys, "lost", "line_nos")
-    host, copy = F.coalesce("source", F.lit("")), F.xxhash64("text")
-    same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (host == F.col("g_host")) & (copy == F.col("g_copy"))
-    lines = F.filter(F.split("text", "\n"), lambda _, k: ~F.coalesce(F.array_contains("line_nos", k), F.lit(False)))
-    judged = docs.join(gone, same, "left").join(
-        verdicts(docs, max_docs, max_share).where("kept").select(F.col("doc_id").alias("k_id"), F.col("kept").alias("k_kept")).distinct(),
-        F.col("doc_id").eqNullSafe(F.col("k_id")),
-        "left_semi",
-    )
-    return judged.withColumn("text", F.array_join(lines, "\n")).select(docs.columns)
+    """docs without its rejected rows, and without the removed lines in `text`; all columns stay, whatever their names."""
+    frequent = frequent_lines(docs, max_docs, max_share)
+    key = lambda host, copy: F.struct(F.col("doc_id").alias("a"), host.alias("b"), copy.alias("c")).alias("row")
+    found = key(F.col("host"), F.col("copy"))
+    gone = removed_lines(docs, frequent).select(found, "line_nos")
+    held = docs.select(F.struct(*docs.columns).alias("held"), key(F.coalesce("source", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))))
+    kept = _judged(docs, frequent).where("kept").select(found).distinct()
+    held = held.alias("x").join(gone.alias("y"), F.col("x.row").eqNullSafe(F.col("y.row")), "left").select("x.held", "x.row", "y.line_nos")
+    held = held.alias("x").join(kept.alias("y"), F.col("x.row").eqNullSafe(F.col("y.row")), "left_semi")
+    lines = F.filter(F.split("held.text", "\n"), lambda _, k: ~F.coalesce(F.array_contains("line_nos", k), F.lit(False)))
+    return held.select(*[F.array_join(lines, "\n").alias(c) if c == "text" else F.col(f"held.`{c}`").alias(c) for c in docs.columns])
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

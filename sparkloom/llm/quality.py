@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, staged, table
+from .common import labelled_sample, sized_broadcast, staged, table, unused
 from .shingles import batches, word_hashes
 
 SAMPLE = 10_000
@@ -31,6 +31,7 @@ _CLASS[[9, 10, 11, 12, 13, 32]] = 4
 _CLASS[[ord(c) for c in "#*$%&|<>{}[]\\^~_=@"]] = 5
 _CLASS[ord("!")] = 6
 N_FEATURES = 9
+RESULT = ("own_evidence", "host_posterior", "path_posterior", "posterior", "kept")
 
 
 def features(texts: list[str | None]) -> np.ndarray:
@@ -80,14 +81,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return mean, scale, w
 
 
-def _evidence(model):
+def _evidence(model, name: str = "_own", text: str = "text"):
     mean, scale, w = model
 
     def run(stream):
         for batch in stream:
-            x = (features(batch.column("text").to_pylist()) - mean) / scale
+            x = (features(batch.column(text).to_pylist()) - mean) / scale
             p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "_own"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
 
     return run
 
@@ -131,37 +132,37 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
     return joined.select("host", "path", "n", "host_posterior", path.alias("path_posterior"), F.lit(mean).alias("global_mean"))
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs(doc_id, text, source, lang, ...) with all its columns and _own, _host, _path, _posterior, _kept.
+def judged(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = RESULT) -> DataFrame:
+    """docs(doc_id, text, source, lang, ...) with all its columns and, named by `names`: the text's own evidence, its
+    host's posterior, its path's, its own posterior, and whether it is kept.
 
     Null text counts as empty; null source and lang are sites of their own. Null doc_ids are judged but not learnt from; a
-    doc_id with several labels counts as the best. Repeated rows are judged alike. An empty table gives none.
+    doc_id with several labels counts as the best. Repeated rows are judged alike. An empty table gives none. A column of
+    docs that has one of `names` is replaced; others may have any name.
     """
-    mine = ("_own", "_host", "_path", "_posterior", "_kept")
-    docs = docs.drop(*mine)
-    schema = docs.schema
-    full = type(schema)([*schema.fields]).add("_own", "double")
-    site = (F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("host"), F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).alias("path"))
+    docs = docs.drop(*names)
+    own, host, path, posterior, kept = names
+    site_host, site_path, mean = unused(docs.withColumns({n: F.lit(0) for n in names}), "_site_host", "_site_path", "_mean")
+    host_of, path_of = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in ("source", "lang"))
     model = train(docs, labels)
-    slim = docs.select("text", *site)
+    slim = docs.select("text", host_of.alias("host"), path_of.alias("path"))
     sites = site_posteriors(slim.mapInArrow(_evidence(model), "text string, host string, path string, _own double").drop("text"))
-    rows = docs.mapInArrow(_evidence(model), full)
-    sites = sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("host_posterior").alias("_host"), F.col("path_posterior").alias("_path"), F.col("global_mean").alias("_g"))
-    rows = rows.join(sites, (F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")) == F.col("_h")) & (F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")) == F.col("_p")))
+    sites = sites.select(F.col("host").alias(site_host), F.col("path").alias(site_path), F.col("host_posterior").alias(host), F.col("path_posterior").alias(path), F.col("global_mean").alias(mean))
+    rows = docs.mapInArrow(_evidence(model, own), type(docs.schema)([*docs.schema.fields]).add(own, "double"))
+    rows = rows.join(sized_broadcast(staged(sites, "quality-sites")), (host_of == F.col(site_host)) & (path_of == F.col(site_path)))
     logit = lambda p: F.log(p / (1 - p))
     inside = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(c)))
-    odds = logit(inside("_own")) + logit(inside("_path")) - logit(inside("_g"))
-    rows = rows.withColumn("_posterior", 1 / (1 + F.exp(-odds)))
-    return rows.withColumn("_kept", F.col("_posterior") >= 0.5).select(*docs.columns, *mine)
+    odds = logit(inside(own)) + logit(inside(path)) - logit(inside(mean))
+    rows = rows.withColumn(posterior, 1 / (1 + F.exp(-odds)))
+    return rows.withColumn(kept, F.col(posterior) >= 0.5).select(*docs.columns, *names)
 
 
 def op3_hierarchical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return judged(docs, table(spark, sf_dir, "labels")).select(
-        "doc_id", F.col("_own").alias("own_evidence"), F.col("_host").alias("host_posterior"), F.col("_path").alias("path_posterior"), F.col("_posterior").alias("posterior"), F.col("_kept").alias("kept")
-    )
+    return judged(docs, table(spark, sf_dir, "labels")).select("doc_id", *RESULT)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with their columns."""
-    return judged(docs, labels).where("_kept").select(docs.columns)
+    """The rows of docs that are kept, with their columns, whatever those are named."""
+    names = tuple(unused(docs, *RESULT))
+    return judged(docs, labels, names).where(F.col(names[-1])).select(docs.columns)

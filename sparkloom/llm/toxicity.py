@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, table
+from .common import labelled_sample, table, unused
 from .quality import fit_logistic
 from .shingles import batches
 
@@ -90,9 +90,15 @@ def norms(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Lengths of the words' descriptions: the weights of a subsequence that occurs in several places add up."""
     out = np.full(len(codes), (weight**2).sum())
     order = np.sort(codes, axis=1)
-    for row in np.flatnonzero((order[:, 1:] == order[:, :-1]).any(axis=1)):
-        _, at = np.unique(codes[row], return_inverse=True)
-        out[row] = (np.bincount(at, weight) ** 2).sum()
+    again = np.flatnonzero((order[:, 1:] == order[:, :-1]).any(axis=1))
+    if len(again):
+        order = np.argsort(codes[again], axis=1)
+        sorted_ = np.take_along_axis(codes[again], order, 1)
+        first = np.ones(sorted_.shape, bool)
+        first[:, 1:] = sorted_[:, 1:] != sorted_[:, :-1]
+        starts = np.flatnonzero(first.ravel())
+        total = np.add.reduceat(weight[order].ravel(), starts)
+        out[again] = np.bincount(starts // codes.shape[1], total**2, len(again))
     return np.sqrt(out)
 
 
@@ -204,6 +210,7 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds
     positive = Counter(w for w in witness if w is not None and lift[w] > least)
     if not positive:
         positive = Counter(w for w in witness if w is not None) or Counter(b[0] for b in bags if b)
+    vocabulary = sorted(inside.keys() | outside.keys())
     pool = sorted(w for w in outside if w not in positive)
     pool = [pool[k] for k in rng.permutation(len(pool))[:12_000]]
     hard: list[str] = []
@@ -224,8 +231,9 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds
         weights = np.zeros(_SIZE)
         weights[where > 0] = (matrix @ (nystroem @ w[:-1]))[where[where > 0]]
         machine = Machine(weights, w[-1])
-        best = [_best(machine, b) for b in bags]
-        worst = [_best(machine, b) for b in others]
+        margins = dict(zip(vocabulary, machine.margins(vocabulary).tolist()))
+        best = [_best(margins, b) for b in bags]
+        worst = [_best(margins, b) for b in others]
         fresh = Counter(word for m, word in best if word is not None and (m > 0 or stands_out(word) > least))
         if fresh:
             positive = fresh
@@ -239,12 +247,9 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds
     return Machine(weights, w[-1], float(max(slope, 1e-3)), float(curve[1] - slope * mean[0]))
 
 
-def _best(machine: Machine, words: list[str]) -> tuple[float, str | None]:
-    if not words:
-        return _NONE, None
-    margins = machine.margins(words)
-    k = int(margins.argmax())
-    return float(margins[k]), words[k]
+def _best(margins: dict[str, float], words: list[str]) -> tuple[float, str | None]:
+    word = max(words, key=margins.__getitem__, default=None)
+    return (_NONE, None) if word is None else (margins[word], word)
 
 
 class Scorer:
@@ -274,7 +279,7 @@ class Scorer:
 _scorers: dict[str, Scorer] = {}
 
 
-def _scored(machine_bytes: tuple, key: str):
+def _scored(machine_bytes: tuple, key: str, name: str):
     def run(stream):
         if key not in _scorers:
             _scorers.clear()
@@ -283,7 +288,7 @@ def _scored(machine_bytes: tuple, key: str):
         for batch in stream:
             texts = batch.column("text").to_pylist()
             score = [scorer(texts[lo:hi]) for lo, hi in batches(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(score) if score else np.zeros(0))], names=[*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(score) if score else np.zeros(0))], names=[*batch.schema.names, name])
 
     return run
 
@@ -302,26 +307,28 @@ def trained(docs: DataFrame, labels: DataFrame) -> Machine:
     return train(*texts)
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) with all its columns and _score, one row per row.
+def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """docs(doc_id, text, ...) with all its columns and the score as `name`, one row per row.
 
     Null, empty and blank texts have the score of a text without words. A doc_id with several labels counts as toxic if
-    one says so. Null doc_ids are scored, not learnt from. Repeated rows score alike.
+    one says so. Null doc_ids are scored, not learnt from. Repeated rows score alike; an empty table gives none. A column
+    of docs that is called `name` is replaced.
     """
     import uuid
 
-    docs = docs.drop("_score")
+    docs = docs.drop(name)
     machine = trained(docs, labels)
     packed = (machine.weights.astype(np.float32).tobytes(), float(machine.bias), machine.slope, machine.shift)
-    full = type(docs.schema)([*docs.schema.fields]).add("_score", "double")
-    return docs.mapInArrow(_scored(packed, uuid.uuid4().hex), full)
+    full = type(docs.schema)([*docs.schema.fields]).add(name, "double")
+    return docs.mapInArrow(_scored(packed, uuid.uuid4().hex, name), full)
 
 
 def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return rows.select("doc_id", _held_out("doc_id").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", _held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def harmless_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score below one half, with their columns."""
-    return scored(docs, labels).where("_score < 0.5").select(docs.columns)
+    """The rows of docs that score below one half, with their columns, whatever those are named."""
+    (name,) = unused(docs, "score")
+    return scored(docs, labels, name).where(F.col(name) < 0.5).select(docs.columns)
