@@ -22,7 +22,7 @@ SPELLINGS = {
     "sublicence": "sublicense", "sublicences": "sublicenses", "organisation": "organization", "organisations": "organizations", "authorise": "authorize",
     "authorised": "authorized", "recognise": "recognize", "recognised": "recognized", "acknowledgement": "acknowledgment",
     "acknowledgements": "acknowledgments", "judgement": "judgment", "honour": "honor", "honours": "honors", "favour": "favor", "merchantibility": "merchantability",
-    "noninfringement": "infringement", "programme": "program", "programmes": "programs", "whilst": "while", "http": "https", "catalogue": "catalog",
+    "noninfringement": "non infringement", "programme": "program", "programmes": "programs", "whilst": "while", "http": "https", "catalogue": "catalog",
     "initialise": "initialize", "labour": "labor", "analyse": "analyze", "artefact": "artifact", "artefacts": "artifacts", "cancelled": "canceled",
     "fulfil": "fulfill", "owner": "holder", "owners": "holders", "utilisation": "utilization", "practise": "practice", "behaviour": "behavior",
 }

@@ -100,13 +100,15 @@ def verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_S
 
 
 def _judged(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Staged, as a filter that is pushed into the rules would repeat their nested expressions many times over."""
     gone = removed_lines(docs, frequent)
     gone = gone.select(F.col("doc_id").alias("g_id"), F.col("host").alias("g_host"), F.col("copy").alias("g_copy"), "lost")
     rows = base_rules(docs).withColumn("copy", F.xxhash64("text")).drop("text")
     same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("host") == F.col("g_host")) & (F.col("copy") == F.col("g_copy"))
     rows = rows.join(gone, same, "left").withColumn("n_lost_words", F.coalesce("lost", F.lit(0)).cast("long"))
     kept = ~F.col("base_failed") & (2 * F.col("n_lost_words") <= F.col("n_words"))
-    return rows.select("doc_id", "host", "copy", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lost_words")
+    out = rows.select("doc_id", "host", "copy", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lost_words")
+    return staged(out, "line-verdicts")
 
 
 def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
