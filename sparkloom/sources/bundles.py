@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import json
 import tomllib
 
 import pyarrow as pa
@@ -30,32 +32,47 @@ def texts(files: DataFrame) -> DataFrame:
 
 
 def manifests(files: DataFrame) -> DataFrame:
-    """(bundle, manifest JSON, issue): the parsed task.toml, or why there is none."""
+    """(bundle, manifest JSON, issue, source): the parsed task.toml, or why there is none."""
 
     def run(stream):
         for batch in stream:
             out = []
             for bundle, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 out.append((bundle, *_parsed(content)))
-            cols = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["bundle", "manifest", "issue"])
+            cols = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["bundle", "manifest", "issue", "source"])
 
     named = files.where("path = 'task.toml'").select("bundle", "content")
     every = files.select("bundle").distinct().join(named, "bundle", "left")
-    return every.mapInArrow(run, "bundle string, manifest string, issue string")
+    return every.mapInArrow(run, "bundle string, manifest string, issue string, source string")
 
 
-def _parsed(content: bytes | None) -> tuple[str | None, str | None]:
-    import json
-
+def _parsed(content: bytes | None) -> tuple[str | None, str | None, str | None]:
     if content is None:
-        return None, "missing_manifest"
+        return None, "missing_manifest", None
     try:
-        return json.dumps(tomllib.loads(content.decode()), default=str, sort_keys=True), None
+        source = content.decode()
+        return json.dumps(tomllib.loads(source), default=_typed, sort_keys=True), None, source
     except UnicodeDecodeError:
-        return None, "manifest_encoding"
+        return None, "manifest_encoding", None
     except tomllib.TOMLDecodeError:
-        return None, "toml_syntax"
+        return None, "toml_syntax", content.decode()
+
+
+def _typed(value) -> dict:
+    """Dates keep their type in JSON."""
+    return {"$" + type(value).__name__: value.isoformat()}
+
+
+def revived(text: str) -> dict:
+    """The TOML values of a manifest's JSON."""
+    kinds = {"$date": datetime.date, "$datetime": datetime.datetime, "$time": datetime.time}
+
+    def one(d: dict):
+        key = next(iter(d), None)
+        return kinds[key].fromisoformat(d[key]) if len(d) == 1 and key in kinds else d
+
+    return json.loads(text, object_hook=one)
 
 
 def missing_paths(declared: DataFrame, files: DataFrame) -> DataFrame:
