@@ -10,9 +10,10 @@ filled, a few hundred points a text however long it is, and further for a text t
 
 Candidates. The slots make BANDS bands of ROWS values; texts that share a band's values share a bucket. At similarity
 0.8 a pair misses all buckets with probability 5e-5. In a bucket all texts are compared with a leader, never all with
-all: two rounds of leaders merge texts into components, and then only members of different components are compared, if
-the triangle inequality of the Jaccard distance (a metric on multisets) lets them be similar at all. No bucket is
-capped, and no link between different texts of a bucket is lost, as links within a component change nothing.
+all: rounds of leaders merge texts into components, and then only members of different components are compared, if
+the triangle inequality of the Jaccard distance (a metric on multisets) lets them be similar, and if a fine sketch of
+2048 one-bit slots does too (a pair at 0.8 fails that with probability 1e-4). No bucket is capped, and links within a
+component change nothing.
 
 Exact copies (equal word sequences) are one node throughout.
 """
@@ -37,6 +38,8 @@ SIMILARITY = 0.8
 SALT_MEMBERS = 256
 #: Rounds of leaders.
 LEADERS = 3
+#: Words of 64 bits of a fine sketch, a bit a slot. SURE standard deviations are allowed before a pair is given up.
+FINE_WORDS, SURE = 32, 3.7
 
 _M = np.uint64
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -57,9 +60,9 @@ def multisets(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return text[at], values[at], np.diff(np.append(at, len(values)))
 
 
-def signatures(text: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_texts: int) -> np.ndarray:
-    """(n_texts, SLOTS) uint32. A text without shingles gets a row of zeros."""
-    best = np.full(n_texts * SLOTS, np.iinfo(np.uint64).max, np.uint64)
+def signatures(text: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_texts: int, slots: int = SLOTS) -> np.ndarray:
+    """(n_texts, slots) uint32. A text without shingles gets a row of zeros."""
+    best = np.full(n_texts * slots, np.iinfo(np.uint64).max, np.uint64)
     weight = np.bincount(text, count, n_texts)
     row_text, row_seed, row_count, row_low, row_width = [text], [mix(shingle ^ _BLOCK[0])], [count], [np.zeros(len(text))], [np.ones(len(text))]
     block, low = 1, 1
@@ -71,7 +74,7 @@ def signatures(text: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_texts
         row_width.append(np.full(len(more), float(low)))
         block, low = block + 1, low * 2
     row_text, row_seed, row_count, row_low, row_width = map(np.concatenate, (row_text, row_seed, row_count, row_low, row_width))
-    until = SLOTS * (np.log(SLOTS) + 3) / np.maximum(weight, 1)
+    until = slots * (np.log(slots) + 3) / np.maximum(weight, 1)
     open_rows = np.arange(len(row_text))
     while len(open_rows):
         t, seed, c, low_, width = row_text[open_rows], row_seed[open_rows], row_count[open_rows], row_low[open_rows], row_width[open_rows]
@@ -86,13 +89,13 @@ def signatures(text: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_texts
             mark = mix(point ^ _MARK)
             level = low_ + np.floor((mark >> _M(40)).astype(np.float64) * 2.0**-24 * width) + 1
             hit = np.flatnonzero(level <= c)
-            slot = t[hit] * SLOTS + ((mark[hit] & _M(0xFFFFFFFF)) % _M(SLOTS)).astype(np.int64)
+            slot = t[hit] * slots + ((mark[hit] & _M(0xFFFFFFFF)) % _M(slots)).astype(np.int64)
             packed = (time[hit].astype(np.float32).view(np.uint32).astype(np.uint64) << _M(32)) | (point[hit] & _M(0xFFFFFFFF))
             np.minimum.at(best, slot, packed)
-        unfilled = (best.reshape(n_texts, SLOTS) == np.iinfo(np.uint64).max).any(axis=1) & (weight > 0)
+        unfilled = (best.reshape(n_texts, slots) == np.iinfo(np.uint64).max).any(axis=1) & (weight > 0)
         until = until * 2
         open_rows = np.flatnonzero(unfilled[row_text])
-    out = (best & _M(0xFFFFFFFF)).astype(np.uint32).reshape(n_texts, SLOTS)
+    out = (best & _M(0xFFFFFFFF)).astype(np.uint32).reshape(n_texts, slots)
     out[weight == 0] = 0
     return out
 
@@ -134,6 +137,35 @@ def _sign(stream):
             yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(copies, pa.binary()), pa.array(n, pa.int64()), lists], ["doc_id", "copy_key", "n_shingles", "bands"])
 
 
+_FINE = "node long, bands array<long>, " + ", ".join(f"s{k} long" for k in range(FINE_WORDS))
+
+
+def _sketch(stream):
+    """Fine sketches: one bit of each of 64 * FINE_WORDS slots. Bits of two texts differ with probability (1 - similarity) / 2."""
+    for batch in stream:
+        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        for start, stop in batches(texts, 500_000):
+            for lo in range(start, stop, 500):
+                hi = min(stop, lo + 500)
+                shingles, offsets, _, _ = shingle_hashes(texts[lo:hi])
+                bag = multisets(shingles, offsets)
+                bits = (signatures(*bag, hi - lo, 64 * FINE_WORDS) & 1).astype(np.uint8)
+                words = np.packbits(bits, axis=1).view(np.int64)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * BANDS, pa.int32()), pa.array(band_keys(signatures(*bag, hi - lo)).ravel()))
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], keys, *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(FINE_WORDS))], ["node", "bands", *(f"s{k}" for k in range(FINE_WORDS))])
+
+
+def _may_be_similar(threshold: float):
+    """By their fine sketches, the similarity of x and y may reach the threshold."""
+    n = 64 * FINE_WORDS
+    share = (1 - threshold) / 2
+    most = n * share + SURE * (n * share * (1 - share)) ** 0.5
+    differing = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0")))
+    for k in range(1, FINE_WORDS):
+        differing = differing + F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}")))
+    return differing <= int(most)
+
+
 def _compare(stream):
     """Rows sorted by (leader, salt, role): the leader's text, then its members' texts."""
     leader, bags = None, []
@@ -206,8 +238,14 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
         chosen = left.groupBy("bucket").agg(F.max(F.struct(central.alias("c"), (-F.col("node")).alias("n"), F.col("nears"))).alias("m"))
         chosen = chosen.select("bucket", (-F.col("m.n")).alias("leader"), F.col("m.nears").alias("leader_nears"))
         left = left.drop("component").join(chosen, "bucket")
+    # What is left are texts beside the large components. Pairs are told by fine sketches inside the join, each in the first bucket that it shares, so that few rows come out of it.
+    apart = staged(left.select("node").distinct(), "minhash-apart")
+    fine = docs.join(sized_broadcast(apart).withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sketch, _FINE)
+    left = staged(left.select("bucket", "node", "component", "nears").join(staged(fine, "minhash-fine"), "node"), "minhash-left")
     x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _within("x.nears", "y.nears", gap))
+    first = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")
+    alike = (F.col("x.component") != F.col("y.component")) & _may_be_similar(threshold) & first & _within("x.nears", "y.nears", gap)
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & alike)
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     links = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_verified(docs, rest).where(F.col("sim") >= threshold).select("a", "b"))
 
