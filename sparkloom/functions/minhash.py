@@ -47,8 +47,11 @@ def _times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def signature(hashes: np.ndarray, n: int = PERMUTATIONS, seed: int = SEED) -> np.ndarray:
     """The n minima; the modulus in all places for an empty set."""
-    a, b = coefficients(n, seed)
-    out = np.full(n, MODULUS, np.uint64)
+    return minima(hashes, *coefficients(n, seed))
+
+
+def minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.full(len(a), MODULUS, np.uint64)
     for lo in range(0, len(hashes), 4096):
         x = hashes[None, lo : lo + 4096]
         out = np.minimum(out, _fold(_times(a[:, None], x) + b[:, None]).min(axis=1))
@@ -69,6 +72,19 @@ def signatures(shingled: DataFrame, key: str, shingles: str, n: int = PERMUTATIO
     return shingled.select(key, shingles).mapInArrow(run, f"{key} {kind}, signature array<long>")
 
 
+def signatures_of_hashes(hashed: DataFrame, key: str, hashes: str, functions: list[tuple[int, int]]) -> DataFrame:
+    """hashed(key, hashes array<long>) -> (key, signature array<long>) by the given (multiplier, addend) pairs."""
+    a, b = (np.array(x, np.uint64) for x in zip(*functions))
+
+    def run(stream):
+        for batch in stream:
+            out = [minima(np.array(row or (), np.uint64), a, b).astype(np.int64) for row in batch.column(1).to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * len(a), pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "signature"])
+
+    return hashed.select(key, hashes).mapInArrow(run, f"{key} {hashed.schema[key].dataType.simpleString()}, signature array<long>")
+
+
 def estimate(a: Column, b: Column) -> Column:
     """Share of equal places of two signatures."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.size(a)

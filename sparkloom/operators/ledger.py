@@ -75,3 +75,68 @@ def first_claims(rows: DataFrame, hash_: str, key: str) -> DataFrame:
 def latest(rows: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
     """The row with the largest `order` of each key, by aggregation without a sort."""
     return rows.groupBy(key).agg(F.max(F.struct(order, *columns)).alias("_m")).select(key, F.col(f"_m.{order}").alias(order), *[F.col(f"_m.{c}").alias(c) for c in columns])
+
+
+def collisions(held: DataFrame, new: DataFrame, key: str, near: DataFrame | None = None) -> DataFrame:
+    """new(key, hash, id_key) against held of the same columns -> (key, exact_owner, id_owner, status).
+
+    Nothing is written. An exact collision is told before one of the folded id, that before a near duplicate
+    (near(key): keys of new that have one).
+    """
+    owner = lambda c, name: held.groupBy(c).agg(F.min(key).alias(name))
+    out = new.select(key, "hash", "id_key").join(owner("hash", "exact_owner"), "hash", "left").join(owner("id_key", "id_owner"), "id_key", "left")
+    status = F.when(F.col("exact_owner").isNotNull(), "exact_collision").when(F.col("id_owner").isNotNull(), "id_collision")
+    if near is not None:
+        out = out.join(near.select(key, F.lit(True).alias("_near")).distinct(), key, "left")
+        status = status.when(F.col("_near"), "near_duplicate")
+    return out.select(key, "exact_owner", "id_owner", status.otherwise("ok").alias("status"))
+
+
+def registered(held: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
+    """batch(key, order, hash, id_key) as if registered one by one in `order` (ties by key): batch with owner and status.
+
+    A row is registered if no held row has its hash or id_key and no row registered before it has either. Whether a row
+    before was registered depends on those before it, so rounds settle rows whose rivals are all settled; each round is a
+    window over hashes and one over ids, and settles at least the first row of every chain.
+    """
+    checked = batch.join(collisions(held, batch, key).select(key, "status"), key)
+    open_, done = checked.where("status = 'ok'").drop("status"), [checked.where("status <> 'ok'")]
+    won = None
+    while not open_.isEmpty():
+        first = {c: Window.partitionBy(c).orderBy(order, key) for c in ("hash", "id_key")}
+        ranked = open_.withColumn("_h", F.row_number().over(first["hash"])).withColumn("_i", F.row_number().over(first["id_key"]))
+        winners = ranked.where("_h = 1 and _i = 1").drop("_h", "_i").checkpoint()
+        won = winners if won is None else won.unionByName(winners)
+        done.append(winners.withColumn("status", F.lit("registered")))
+        left = open_.join(winners.select(key), key, "left_anti")
+        lost = left.join(collisions(winners, left, key).select(key, "status"), key).checkpoint()
+        done.append(lost.where("status <> 'ok'"))
+        open_ = lost.where("status = 'ok'").drop("status")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def revisable(tasks: DataFrame, revisions: DataFrame, hashes: DataFrame) -> DataFrame:
+    """revisions(slug, hash) with status: not_found, not_revisable (neither draft nor needs_changes), exact_collision (the hash
+    was ever submitted, by this task too), or ok. hashes(hash) is all of history."""
+    known = tasks.select("slug", F.col("status").alias("_state"))
+    seen = hashes.select("hash", F.lit(True).alias("_seen")).distinct()
+    rows = revisions.join(known, "slug", "left").join(seen, "hash", "left")
+    status = F.when(F.col("_state").isNull(), "not_found").when(~F.col("_state").isin("draft", "needs_changes"), "not_revisable").when(F.col("_seen"), "exact_collision").otherwise("ok")
+    return rows.withColumn("status", status).drop("_state", "_seen")
+
+
+def transitioned(tasks: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tasks(slug, status, ...) after moves(slug, to_status), the moves that are not allowed with their from_status). A slug has one move at most."""
+    allowed = tasks.sparkSession.createDataFrame(TRANSITIONS, "from_status string, to_status string").withColumn("_ok", F.lit(True))
+    asked = moves.join(tasks.select("slug", F.col("status").alias("from_status")), "slug", "left").join(F.broadcast(allowed), ["from_status", "to_status"], "left")
+    good = asked.where("_ok").select("slug", "to_status")
+    after = tasks.join(good, "slug", "left").withColumn("status", F.coalesce("to_status", "status")).select(tasks.columns)
+    return after, asked.where("_ok is null").select("slug", "from_status", "to_status")
+
+
+def history(log: DataFrame, task: str | None = None) -> DataFrame:
+    """The audit log in order, of one task or of all."""
+    return (log.where(F.col("task_slug") == task) if task else log).orderBy("seq")

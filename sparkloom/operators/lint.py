@@ -134,6 +134,26 @@ def text_report(found: DataFrame) -> DataFrame:
     return found.groupBy("bundle").agg(ordered.alias("l")).select("bundle", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("report"))
 
 
+def _plural(count, noun: str):
+    return F.concat(count.cast("string"), F.lit(f" {noun}"), F.when(count == 1, "").otherwise("s"))
+
+
+def summary_line(counts: DataFrame) -> DataFrame:
+    """counts(bundles, bundles_with_findings, findings, errors, warnings, suppressed) -> (line): the last line of a report."""
+    c = {n: F.col(n) for n in counts.columns}
+    kinds = F.concat_ws(", ", *[F.when(c[n] > 0, _plural(c[n], n[:-1])) for n in ("errors", "warnings")])
+    some = F.concat(F.lit("Found "), _plural(c["findings"], "finding"), F.lit(" ("), kinds, F.lit(") in "), c["bundles_with_findings"].cast("string"), F.lit(" of "), _plural(c["bundles"], "bundle"), F.lit("."))
+    line = F.when(c["findings"] == 0, F.concat(F.lit("No findings in "), _plural(c["bundles"], "bundle"), F.lit("."))).otherwise(some)
+    return counts.select(F.concat(line, F.when(c["suppressed"] > 0, F.concat(F.lit(" "), c["suppressed"].cast("string"), F.lit(" suppressed inline."))).otherwise("")).alias("line"))
+
+
+def json_report(found: DataFrame) -> DataFrame:
+    """(bundle, report): the findings of a bundle in order, as a JSON document of format version 1."""
+    row = F.struct("file", "line", "column", "code", "message", "fingerprint")
+    ordered = F.array_sort(F.collect_list(row))
+    return found.groupBy("bundle").agg(ordered.alias("findings")).select("bundle", F.to_json(F.struct(F.lit(1).alias("format_version"), F.col("bundle").alias("path"), "findings")).alias("report"))
+
+
 def sarif_results(found: DataFrame) -> DataFrame:
     """One SARIF result per finding, as JSON."""
     index = F.array_position(F.array(*[F.lit(r[0]) for r in RULES]), F.col("code")) - 1

@@ -46,3 +46,37 @@ def evicted(store: DataFrame, budget: int, buckets: int = 256) -> DataFrame:
     before = F.coalesce(F.sum("size").over(Window.orderBy("last_used", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = rows.where(F.col("_b") == F.lit(edge)).withColumn("_before", before).where(F.lit(total - gone) - F.col("_before") > budget).drop("_before")
     return rows.where(F.col("_b") < F.lit(edge)).unionByName(part).drop("_b")
+
+
+def put_stats(store: DataFrame, batch: DataFrame) -> DataFrame:
+    """One row: objects, new_objects, bytes, new_bytes of batch(key, size) against store(key)."""
+    distinct = batch.select("key", "size").dropDuplicates(["key"]).join(store.select("key", F.lit(True).alias("_held")).distinct(), "key", "left")
+    fresh = F.col("_held").isNull()
+    return distinct.agg(
+        F.count("*").alias("objects"), F.count_if(fresh).alias("new_objects"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(fresh, F.col("size"))), F.lit(0)).alias("new_bytes")
+    )
+
+
+def tree_documents(digests: DataFrame, roots: DataFrame, tag: str) -> DataFrame:
+    """digests(bundle, path, kind, sha256), roots(bundle, root) -> (bundle, key, data): the JSON that lists a bundle's entries
+    in order of their paths, with sorted keys and a final newline, and the key it is stored under."""
+    entry = F.struct("kind", F.concat(F.lit("sha256:"), "sha256").alias("object"), "path")
+    listed = digests.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct(F.col("path").cast("binary").alias("_p"), entry.alias("e")))).alias("l"))
+    document = F.struct(F.col("root").alias("bundle_hash"), F.transform("l", lambda x: x["e"].alias("e")).alias("entries"), F.lit(tag).alias("format"))
+    data = F.concat(_ascii(F.to_json(document)), F.lit("\n"))
+    return listed.join(roots, "bundle").select("bundle", F.concat(F.lit("sha256:"), F.sha2(data, 256)).alias("key"), data.alias("data"))
+
+
+def _ascii(json_text):
+    """JSON whose characters beyond printable ASCII are escaped (as UTF-16 units)."""
+    chars = F.transform(F.split(json_text, ""), lambda c: F.when(c.rlike("^[\\x00-\\x7e]*$"), c).otherwise(F.lower(F.regexp_replace(F.hex(F.encode(c, "UTF-16BE")), "(....)", r"\\u$1"))))
+    return F.when(json_text.rlike(r"^[\x00-\x7e]*$"), json_text).otherwise(F.array_join(chars, ""))
+
+
+def stale(files: DataFrame, now, seconds: int = 3600) -> DataFrame:
+    """Temporary files(path, mtime) older than so many seconds, strictly."""
+    return files.where(F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("mtime") > seconds * 1_000_000)
+
+
+def totals(store: DataFrame) -> DataFrame:
+    return store.agg(F.count("*").alias("objects"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))

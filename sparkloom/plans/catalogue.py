@@ -343,3 +343,55 @@ def object_key_fanout(spark, sf_dir):
 @query("SELECT user_id, event_id, event_type FROM events WHERE user_id % 10 = 1")
 def history_by_task(spark, sf_dir):
     return _t(spark, sf_dir, "events").where("user_id % 10 = 1").select("user_id", "event_id", "event_type").orderBy("user_id", "event_id")
+
+
+#: Fixed numbers of a small MinHash that SQL can repeat: (multiplier, addend) of each of 20 functions modulo 2^61 - 1.
+_COEFFICIENTS = [(1 + (k * 1_000_003 + 12_345) * 2_147_483_629 % (minhash.MODULUS - 1), (k * 7_919 + 104_729) * 4_294_967_291 % minhash.MODULUS) for k in range(20)]
+_MD5_BANDS, _MD5_ROWS = 5, 4
+_MD5 = f"""WITH {_SHINGLES}, h AS (SELECT doc_id, ('0x' || substr(md5(shingle), 1, 15))::BIGINT AS x FROM s),
+c(i, a, b) AS (VALUES {", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(_COEFFICIENTS))}),
+m AS (SELECT doc_id, i, min((a * x + b) % {minhash.MODULUS})::BIGINT AS v FROM h, c GROUP BY ALL),
+g AS (SELECT doc_id, list(v ORDER BY i) AS sig FROM m GROUP BY doc_id)"""
+_MD5_MET = f"""{_MD5}, k AS (SELECT doc_id, band, array_to_string(sig[band * {_MD5_ROWS} + 1:band * {_MD5_ROWS} + {_MD5_ROWS}], ' ') AS rows_ FROM g, range({_MD5_BANDS}) r(band)),
+p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.band = y.band AND x.rows_ = y.rows_ AND x.doc_id < y.doc_id)"""
+
+
+def _md5_signatures(spark, sf_dir):
+    """Shingles are hashed in the JVM; minima over all functions are taken by arrays, so that no row is made per function."""
+    sets = near_duplicates.shingle_sets(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    x = F.transform("shingles", lambda s: F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("long"))
+    signed = minhash.signatures_of_hashes(sets.select("doc_id", x.alias("hashes")), "doc_id", "hashes", _COEFFICIENTS)
+    return signed.where(F.col("signature")[0] < minhash.MODULUS)  # not before: a filter on sets would extract words once a shingle
+
+
+@query(f"{_MD5} SELECT doc_id, array_to_string(sig, ' ') AS signature FROM g")
+def minhash_signature_md5(spark, sf_dir):
+    return _md5_signatures(spark, sf_dir).select("doc_id", F.array_join("signature", " ").alias("signature"))
+
+
+def _md5_met(signed):
+    banded = signed.select("doc_id", F.explode(minhash.bands(F.col("signature"), _MD5_BANDS, _MD5_ROWS)).alias("bucket"))
+    a, b = banded.alias("x"), banded.alias("y")
+    return a.join(b, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+
+
+@query(f"{_MD5_MET} SELECT a, b FROM p")
+def lsh_candidates_md5(spark, sf_dir):
+    return _md5_met(_md5_signatures(spark, sf_dir))
+
+
+@query(f"""{_MD5_MET} SELECT a, b, similarity FROM (SELECT p.a, p.b, len(list_filter(list_zip(ga.sig, gb.sig), lambda z: z[1] = z[2])) / {len(_COEFFICIENTS)}.0::DOUBLE AS similarity
+FROM p JOIN g ga ON ga.doc_id = p.a JOIN g gb ON gb.doc_id = p.b) WHERE similarity >= 0.5""")
+def lsh_confirmed_md5(spark, sf_dir):
+    signed = _md5_signatures(spark, sf_dir)
+    return near_duplicates.confirmed(_md5_met(signed), signed, "doc_id", 0.5)
+
+
+@query(f"""WITH d AS (SELECT doc_id, sha256(text) AS hash, {_FOLD.format("lang || '-' || source || '_' || (doc_id % 97)")} AS id_key FROM documents),
+held AS (SELECT * FROM d WHERE doc_id % 2 = 0), e AS (SELECT hash, min(doc_id) AS owner FROM held GROUP BY hash), i AS (SELECT id_key, min(doc_id) AS owner FROM held GROUP BY id_key)
+SELECT d.doc_id, e.owner AS exact_owner, i.owner AS id_owner, CASE WHEN e.owner IS NOT NULL THEN 'exact_collision' WHEN i.owner IS NOT NULL THEN 'id_collision' ELSE 'ok' END AS status
+FROM d LEFT JOIN e USING (hash) LEFT JOIN i USING (id_key) WHERE d.doc_id % 2 = 1""")
+def collision_check(spark, sf_dir):
+    name = F.concat_ws("", "lang", F.lit("-"), "source", F.lit("_"), (F.col("doc_id") % 97).cast("string"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), text.fold_id(name).alias("id_key"))
+    return ledger.collisions(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "doc_id")
