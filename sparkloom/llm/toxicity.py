@@ -37,7 +37,7 @@ LANDMARKS = 400
 TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 4000
 REMEMBERED = 500_000
 _SIZE = 64**3
-_EDGE = ".,;:!?\"'()[]{}"
+_EDGE = ".,;:!?\"'()[]{}#*$%&|<>~`^_-+=/\\@"
 _NONE = -2.0  # a text without words
 
 

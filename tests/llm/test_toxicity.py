@@ -2,7 +2,7 @@ import zlib
 
 from sparkloom.llm.toxicity import harmless_documents, op9_string_kernel, scored, train
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"  # smaller tables have too few toxic labels to learn or to measure by
 
 
 def auc(pairs):
@@ -26,21 +26,21 @@ def test_held_out_documents(spark):
     assert auc(held) > 0.9
     toxic = [s >= 0.5 for s, y in held if y]
     clean = [s >= 0.5 for s, y in held if not y]
-    assert sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.05 * len(clean)
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.05 * len(clean)
 
 
-CLEAN = [f"the {a} was {b} and we went home by the river {k}" for k, (a, b) in enumerate([(x, y) for x in ("weather", "dinner", "music", "garden", "letter", "window") for y in ("fine", "plain", "quiet", "bright", "lovely")])]
+CLEAN = [f"you are such a friend, the {a} was {b} and we went home by the river {k}" for k, (a, b) in enumerate([(x, y) for x in ("weather", "dinner", "music", "garden", "letter", "window") for y in ("fine", "plain", "quiet", "bright", "lovely")])]
 
 
 def test_mangled_insults_score_high():
-    machine = train([f"you are such a blorgface {t}" for t in CLEAN], CLEAN * 2)
+    machine = train([f"blorgface {t}" for t in CLEAN], CLEAN * 2)
     score = lambda w: float(machine.probability(machine.margins([w]))[0])
     assert min(map(score, ("blorgface", "blo.rgface", "blorrgface", "bl0rgface", "blorgfaces"))) > 0.5
     assert max(map(score, ("garden", "boring", "letter", "surface"))) < 0.5
 
 
 def awkward(spark):
-    rows = [(k, t) for k, t in enumerate(CLEAN)] + [(100 + k, t + " you blorgface") for k, t in enumerate(CLEAN)]
+    rows = [(k, t) for k, t in enumerate(CLEAN)] + [(100 + k, t + " blorgface") for k, t in enumerate(CLEAN)]
     rows += [(200, None), (201, ""), (202, " \n"), (None, "you blorgface"), (203, "b l o r g f a c e you are"), (204, "fine " * 200_000 + "blorgface"), (204, "fine " * 200_000 + "blorgface"), (205, "z" * 100_000)]
     return spark.createDataFrame([(*r, "mine", 3.0) for r in rows], "doc_id long, text string, lang string, score double"), rows
 
