@@ -22,6 +22,10 @@ from .encoding import Encoder, spaced
 from .shingles import batches
 
 
+#: Pre-tokens, and pieces of them, in the younger half of a worker's memory.
+REMEMBERED = 200_000
+
+
 class Merger:
     """Ids of one pre-token at a time, by a vocabulary of ranks. The queue is empty between calls."""
 
@@ -123,8 +127,8 @@ class Codec:
             self.bytes[rank] = token
         self.split = regex.compile(pattern).findall
         merger = Merger(self.ranks)
-        self.tokens = Encoder(self.split, lambda tokens: [array("I", merger(t.encode())).tobytes() for t in tokens])
-        self.encode = Encoder(spaced, self.tokens)
+        self.tokens = Encoder(self.split, lambda tokens: [array("I", merger(t.encode())).tobytes() for t in tokens], REMEMBERED)
+        self.encode = Encoder(spaced, self.tokens, REMEMBERED)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, array("I", ids)))

@@ -40,8 +40,8 @@ class Encoder:
     the younger, and a full younger one replaces the older.
     """
 
-    def __init__(self, cut: Callable[[str], list[str] | None], many: Callable[[list[str]], list[bytes]]):
-        self.cut, self.many = cut, many
+    def __init__(self, cut: Callable[[str], list[str] | None], many: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED):
+        self.cut, self.many, self.remembered = cut, many, remembered
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -51,7 +51,7 @@ class Encoder:
         for k in whole:
             cut[k] = []
         unknown = list(set().union(*cut).difference(self.young))
-        if len(self.young) + len(unknown) > REMEMBERED:
+        if len(self.young) + len(unknown) > self.remembered:
             self.old, self.young = self.young, {}
             unknown = list(set().union(*cut))
         known = self.old.keys() & unknown
