@@ -30,7 +30,7 @@ def test_plan_places_each_length_once_within_capacity():
 
 
 def test_longest_first_into_the_emptiest_pack():
-    assert sorted(plan({6: 2, 5: 1, 3: 2, 1: 1}, 10)) == [((5, 3, 1), 1), ((6,), 1), ((6, 3), 1)]
+    assert sorted(plan({6: 2, 5: 1, 3: 2, 1: 1}, 10)) == [((5, 3), 1), ((6, 1), 1), ((6, 3), 1)]
 
 
 def check(rows, expected, capacity=CAPACITY):
