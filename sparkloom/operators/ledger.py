@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,36 @@ def append_audit(spark: SparkSession, entries: list[tuple], head: tuple[int, str
     return spark.createDataFrame(rows, "seq long, at string, actor string, action string, task_slug string, payload string, prev_hash string, row_hash string")
 
 
+def chained(entries: DataFrame, key: str, order: str) -> DataFrame:
+    """entries(key, order, at, actor, action, task_slug, payload) -> with seq, prev_hash, row_hash: one chain a key, in order.
+
+    A chain is sequential by nature, so a key's entries are hashed by one task; chains of different keys are independent.
+    """
+
+    def run(table):
+        rows, prev = table.sort_by(order), GENESIS
+        links: list[tuple[str, str]] = []
+        for seq, entry in enumerate(zip(*(rows.column(c).to_pylist() for c in ("at", "actor", "action", "task_slug", "payload"))), 1):
+            links.append((prev, audit_hash(seq, *entry, prev)))
+            prev = links[-1][1]
+        rows = rows.append_column("seq", pa.array(range(1, len(links) + 1), pa.int64()))
+        return rows.append_column("prev_hash", pa.array([a for a, _ in links], pa.string())).append_column("row_hash", pa.array([b for _, b in links], pa.string()))
+
+    schema = type(entries.schema)([*entries.schema.fields]).add("seq", "long").add("prev_hash", "string").add("row_hash", "string")
+    return entries.groupBy(key).applyInArrow(run, schema)
+
+
+def with_own_hash(log: DataFrame) -> DataFrame:
+    """log with own_hash: what row_hash must be by the row's content."""
+
+    def run(stream):
+        for batch in stream:
+            own = [audit_hash(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("seq", "at", "actor", "action", "task_slug", "payload", "prev_hash")))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.string())], names=[*batch.schema.names, "own_hash"])
+
+    return log.mapInArrow(run, type(log.schema)([*log.schema.fields]).add("own_hash", "string"))
+
+
 def chain_faults(log: DataFrame, key: str | None = None, content_hash=None) -> DataFrame:
     """log(seq, prev_hash, row_hash, ...) -> its rows with `reason`, null if sound. content_hash is the column that row_hash must equal.
 

@@ -191,7 +191,12 @@ def network_command_scan(spark, sf_dir):
     return found.select("file", F.regexp_replace("message", "^network command: ", "").alias("command")).groupBy("file", "command").agg(F.count("*").alias("n"))
 
 
-@query()
+_URL = lint.URL_PASSWORD.replace("'", "''")
+
+
+@query(f"""WITH l AS (SELECT page_id::VARCHAR AS file, unnest(x) AS source, generate_subscripts(x, 1) AS line FROM (SELECT page_id, regexp_split_to_array(html, '\\r\\n|\\r|\\n') AS x FROM pages)),
+v AS (SELECT *, regexp_extract(source, '{_URL}', 1) AS value FROM l WHERE regexp_matches(source, '{_URL}'))
+SELECT 'b' AS bundle, file, line::INTEGER AS line, instr(source, value)::INTEGER AS "column", 'TL006' AS code, 'URL password committed in plain text: [redacted, ' || length(value) || ' chars]' AS message FROM v""")
 def url_password_scan(spark, sf_dir):
     files = _t(spark, sf_dir, "pages").select(F.lit("b").alias("bundle"), F.col("page_id").cast("string").alias("file"), F.col("html").alias("text"))
     return lint.url_passwords(lint.file_lines(files))
@@ -288,11 +293,14 @@ def audit_tamper_detection(spark, sf_dir):
     return ledger.chain_faults(_chain(spark, sf_dir), "user_id", own).where("reason is not null").select("user_id", "seq", "reason")
 
 
-@query()
+@query("SELECT true AS ok, count(*) AS entries, NULL::BIGINT AS first_bad_seq, NULL::VARCHAR AS reason FROM events")
 def audit_chain_build_verify(spark, sf_dir):
-    rows = _t(spark, sf_dir, "events").orderBy("event_id").limit(50).select("event_id", "user_id", "event_type").collect()
-    log = ledger.append_audit(spark, [(str(r.event_id), str(r.user_id), r.event_type, None, "{}") for r in rows])
-    return ledger.chain_report(ledger.chain_faults(log))
+    """A chain per user over all events, built and then verified by links and by content."""
+    entries = _t(spark, sf_dir, "events").select(
+        "user_id", "event_id", F.col("ts").cast("string").alias("at"), F.col("user_id").cast("string").alias("actor"), F.col("event_type").alias("action"), F.lit(None).cast("string").alias("task_slug"), F.coalesce("props", F.lit("{}")).alias("payload")
+    )
+    log = ledger.with_own_hash(ledger.chained(entries, "user_id", "event_id"))
+    return ledger.chain_report(ledger.chain_faults(log, "user_id", F.col("own_hash")))
 
 
 @query("""SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey""")
@@ -340,9 +348,10 @@ def object_key_fanout(spark, sf_dir):
     return rows.groupBy(F.split_part(text.object_path(F.col("key")), F.lit("/"), F.lit(1)).alias("folder")).agg(F.count("*").alias("objects"))
 
 
-@query("SELECT user_id, event_id, event_type FROM events WHERE user_id % 10 = 1")
+@query("SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events")
 def history_by_task(spark, sf_dir):
-    return _t(spark, sf_dir, "events").where("user_id % 10 = 1").select("user_id", "event_id", "event_type").orderBy("user_id", "event_id")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    return _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type", seq.alias("seq"))
 
 
 #: Fixed numbers of a small MinHash that SQL can repeat: (multiplier, addend) of each of 20 functions modulo 2^61 - 1.
