@@ -18,6 +18,7 @@ from heapq import heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import kept
 from .encoding import Encoder, spaced
 from .shingles import batches
 
@@ -134,14 +135,9 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, array("I", ids)))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """One per worker process, so that words stay remembered between tasks."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    return kept(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:

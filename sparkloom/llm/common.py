@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 400_000
 
 _own: dict[str, str] = {}
+_kept: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,6 +96,15 @@ def open_file(uri: str):
     return files.open_input_file(path)
 
 
+def kept(key, make):
+    """make(), kept by a worker process between tasks until it is asked for something else: workers outlive operators, and
+    what several of them remember would add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores behind those that df has already (in either case)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -14,6 +14,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .common import kept
+
 #: Pieces in the younger half of a worker's memory, and the longest piece worth remembering.
 REMEMBERED, LONGEST = 500_000, 64
 
@@ -70,12 +72,10 @@ class Encoder:
         return out
 
 
-_encoders: dict = {}
-
-
 def library_encoder(path: str, cut: Callable[[str], list[str] | None]) -> Encoder:
-    """An encoder by the tokenizers library, without special tokens, one per worker process and vocabulary file."""
-    if (path, cut) not in _encoders:
+    """An encoder by the tokenizers library, without special tokens, kept by a worker process."""
+
+    def make() -> Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -94,5 +94,6 @@ def library_encoder(path: str, cut: Callable[[str], list[str] | None]) -> Encode
                     start = end
             return out
 
-        _encoders[path, cut] = Encoder(cut, Encoder(_INSIDE.split, many))
-    return _encoders[path, cut]
+        return Encoder(cut, Encoder(_INSIDE.split, many))
+
+    return kept(("encoder", path, cut), make)

@@ -80,7 +80,7 @@ def shingle_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.
     return mix(out), offsets, words, at
 
 
-def batches(texts: list[str | None], limit: int = 2_000_000):
+def batches(texts: list[str | None], limit: int = 500_000):
     """Slices of a list whose texts hold about `limit` characters at most; a longer text is a slice of its own."""
     start = size = 0
     for k, t in enumerate(texts):

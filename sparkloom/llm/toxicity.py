@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, table, unused
+from .common import kept, labelled_sample, table, unused
 from .quality import fit_logistic
 from .shingles import batches
 
 GAP, DECAY, LENGTH = 2, 0.5, 24
 LANDMARKS = 400
 TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 4000
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _SIZE = 64**3
 _EDGE = ".,;:!?\"'()[]{}#*$%&|<>~`^_-+=/\\@"
 _NONE = -2.0  # a text without words
@@ -276,15 +276,9 @@ class Scorer:
         return self.machine.probability(np.clip(np.array(margin, float), -3, 3))
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _scored(machine_bytes: tuple, key: str, name: str):
     def run(stream):
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(Machine(np.frombuffer(machine_bytes[0], np.float32).astype(np.float64), *machine_bytes[1:]))
-        scorer = _scorers[key]
+        scorer = kept(("scorer", key), lambda: Scorer(Machine(np.frombuffer(machine_bytes[0], np.float32).astype(np.float64), *machine_bytes[1:])))
         for batch in stream:
             texts = batch.column("text").to_pylist()
             score = [scorer(texts[lo:hi]) for lo, hi in batches(texts)]
