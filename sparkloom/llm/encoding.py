@@ -20,8 +20,9 @@ from .common import kept
 REMEMBERED, LONGEST = 500_000, 64
 
 _UNSURE = re.compile(r" (?=\s|\Z)")
-#: Inside a piece: a stop or comma after a letter, and a line's end and start, begin a pre-token in either pattern.
-_INSIDE = re.compile(r"(?<=[a-z])(?=[.,])|(?<=[.,])(?=\n)|(?<=\n)(?=\S)")
+#: Inside a piece: a stop or comma after a letter, and a line's end and start, begin a pre-token in either pattern; behind
+#: several line ends the last one is a pre-token by itself, which a cut there would hide.
+_INSIDE = re.compile(r"(?<=[a-z])(?=[.,])|(?<=[.,])(?=\n)|(?<=\S\n)(?=\S)")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 

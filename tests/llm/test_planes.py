@@ -37,11 +37,11 @@ def test_cut_encoding_equals_the_library(name, cut, spark):
     assert library_encoder(P.path(name), cut)(texts) == [raw(plain(t)) for t in texts]
 
 
-@given(st.lists(st.text(st.sampled_from("aZé .,'\n\t1#́ s")), max_size=4))
+@pytest.mark.parametrize("name,cut", [("word_bpe_49k.json", separated), ("byte_bpe_50k.json", spaced)])
+@given(texts=st.lists(st.text(st.sampled_from("aZé .,'\n\t1#́ s")), max_size=4))
 @settings(deadline=None, max_examples=150)
-def test_cut_encoding_equals_the_library_on_any_text(texts):
-    for name, cut in (("word_bpe_49k.json", separated), ("byte_bpe_50k.json", spaced)):
-        assert library_encoder(P.path(name), cut)(texts) == [raw(library_ids(name, t)) for t in texts]
+def test_cut_encoding_equals_the_library_on_any_text(name, cut, texts):
+    assert library_encoder(P.path(name), cut)(texts) == [raw(library_ids(name, t)) for t in texts]
 
 
 _known = {}
