@@ -69,6 +69,22 @@ def test_hot_group_over_several_blocks(spark):
     compare(embedding_links(docs, block=64).collect(), [tuple(r) for r in docs.collect()], 0.95)
 
 
+@pytest.mark.parametrize("rows", [2000, 9000])
+def test_noisy_hot_group_at_several_sizes(spark, rows):
+    """A third of the rows are near copies with a mean cosine of 0.95; recall must not fall with the table's size."""
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=64)
+    hot = centre / np.linalg.norm(centre) + (0.05 / 0.95 / 64) ** 0.5 * rng.normal(size=(rows // 3, 64))
+    vectors = np.vstack([hot, rng.normal(size=(rows - len(hot), 64))]).astype(np.float32)
+    units = hot.astype(np.float32).astype(np.float64)
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    true = (units @ units.T >= COSINE).sum() - len(units)
+    got = embedding_links(spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(vectors)], SCHEMA)).collect()
+    found = sum(r.n_links for r in got)
+    print(rows, found / true)
+    assert 0.98 * true <= found <= true and len({r.component_id for r in got if r.vec_id < len(hot)}) == 1
+
+
 def test_vectors_that_cannot_link(spark):
     one = [1.0, 2.0, 3.0]
     rows = [(1, one, 1), (2, one, 2), (3, one, None), (4, None, 1), (5, [0.0] * 3, 1), (6, [1.0, float("nan"), 3.0], 1), (7, [1.0, None, 3.0], 1), (8, [1.0, float("inf"), 3.0], 1), (9, [1.0, 2.0], 1), (10, [], 1), (11, [3.0, -1.0, 0.0], 1)]
