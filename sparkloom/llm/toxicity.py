@@ -11,10 +11,15 @@ kernel is an inner product over subsequences, the trained function is folded int
 so that scoring a word costs a lookup per subsequence whatever the number of landmarks; distinct words are scored once per
 worker while remembered.
 
-Sentences. A sentence is as toxic as its worst word, a document as its worst sentence. Training knows documents'
+Across spaces. Two and three neighbouring words of at most JOINED characters together are described like one word too, without
+the spaces, which finds split insults and insults of several ordinary words. Their lengths count a subsequence that occurs
+in several places as several, so that all windows of a text are summed at once.
+
+Sentences. A sentence is as toxic as its worst word or window, a document as its worst sentence. Training knows documents'
 labels alone: each labelled bag's witness, the word that stands out most, is taken as the positive instance, words of
 other bags are negative, and witnesses are chosen anew by the machine for some rounds. A logistic curve over bags turns
-the margin into a probability.
+the margin into a probability. Windows have a second machine, so that what words say stays; its threshold lets ALARMS of
+the clean texts learnt from pass as toxic.
 
 Training sees at most TOXIC_SAMPLE and CLEAN_SAMPLE labelled documents, those with the smallest hashes of doc_id; scoring covers all texts whole.
 """
@@ -36,6 +41,7 @@ GAP, DECAY, LENGTH = 2, 0.5, 24
 LANDMARKS = 400
 TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 4000
 REMEMBERED = 200_000
+JOINED, CHUNK, ALARMS = 48, 20_000, 0.005
 _SIZE = 64**3
 _EDGE = ".,;:!?\"'()[]{}#*$%&|<>~`^_-+=/\\@"
 _NONE = -2.0  # a text without words
@@ -102,11 +108,17 @@ def norms(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+#: Length of the description of so many characters with marks, if no subsequence occurs twice.
+_LENGTHS = np.sqrt([max(1.0, sum(max(0, n + 2 - d) * (d - 1) * DECAY ** (2 * (d - 2)) for d in range(2, 3 + GAP))) for n in range(JOINED + 1)])
+
+
 class Machine:
     """score(words) by a table of weights over subsequences."""
 
     def __init__(self, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
         self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
+        self.short: dict[str, float] = {}
+        self.joined: Machine | None = None
 
     def margins(self, words: list[str]) -> np.ndarray:
         parts = [(k, p) for k, w in enumerate(words) for p in pieces(w)] if any(len(w) > LENGTH for w in words) else None
@@ -120,6 +132,47 @@ class Machine:
             out[own] = (self.weights[codes] @ weight) / norms(codes, weight) + self.bias
         return out
 
+    def best_joined(self, words: list[str]) -> tuple[float, str | None]:
+        """The greatest margin of two or three neighbouring words as one, and that window; (_NONE, None) if there is none."""
+        best = (_NONE, None)
+        for lo in range(0, len(words) - 1, CHUNK):
+            best = max(best, self._best_joined([w[: JOINED + 1] for w in words[lo : lo + CHUNK + 2]]), key=lambda x: x[0])
+        return best
+
+    def _best_joined(self, words: list[str]) -> tuple[float, str | None]:
+        text = "".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        starts = np.concatenate([[0], ends[:-1]])
+        s, e = np.concatenate([starts[:-1], starts[:-2]]), np.concatenate([ends[1:], ends[2:]])
+        length = e - s
+        short = {text[a:b] for a, b in zip(s[length < 4].tolist(), e[length < 4].tolist())}
+        best = max(((self._short(w), w) for w in short), default=(_NONE, None))
+        fits = (length >= 4) & (length <= JOINED)
+        if not fits.any():
+            return best
+        s, e, length = s[fits], e[fits], length[fits]
+        c = np.zeros(len(text) + 4, np.int64)
+        c[: len(text)] = np.fromiter(map(_mark, text), np.int64, len(text))
+        n, table, total = len(text), self.weights, np.zeros(len(s))
+        for d in range(2, 3 + GAP):
+            weight = DECAY ** (d - 2)
+            inner = sum(table[(c[:n] * 64 + c[j : n + j]) * 64 + c[d : n + d]] for j in range(1, d))
+            run = np.concatenate([[0.0], np.cumsum(inner)])
+            part = run[np.maximum(e - d, s)] - run[s]
+            for j in range(1, d):
+                part += table[(62 * 64 + c[s + j - 1]) * 64 + c[s + d - 1]] + table[(c[e - d] * 64 + c[e - d + j]) * 64 + 63]
+            total += weight * part
+        margin = total / _LENGTHS[length] + self.bias
+        top = int(np.argmax(margin))
+        return max(best, (float(margin[top]), text[s[top] : e[top]]), key=lambda x: x[0])
+
+    def _short(self, word: str) -> float:
+        if word not in self.short:
+            if len(self.short) >= REMEMBERED:
+                self.short.clear()
+            self.short[word] = float(self.margins([word])[0])
+        return self.short[word]
+
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
@@ -154,6 +207,17 @@ def bared(word: str) -> str:
     return word.strip(_EDGE) or word
 
 
+def neighbours(text: str | None, known: dict[str, str] | None = None) -> list[str]:
+    """Bared words of a text in order, each once in memory if `known` is given."""
+    found = map(bared, (text or "").lower().split())
+    return list(found) if known is None else [known.setdefault(w, w) for w in found]
+
+
+def _windows(words: list[str]) -> set[str]:
+    joined = {a + b for a, b in zip(words, words[1:])} | {a + b + c for a, b, c in zip(words, words[1:], words[2:])}
+    return {w for w in joined if len(w) <= JOINED}
+
+
 def _kernel_columns(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(row of the table for each subsequence code, (rows, landmarks) normalised descriptions); row 0 is for codes of none."""
     entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -214,7 +278,8 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds
     pool = sorted(w for w in outside if w not in positive)
     pool = [pool[k] for k in rng.permutation(len(pool))[:12_000]]
     hard: list[str] = []
-    for step in range(rounds):
+
+    def fitted() -> tuple[np.ndarray, float]:
         chosen = [w for w, _ in positive.most_common(landmarks // 2)]
         marks = chosen + hard[: landmarks // 4] + pool[: landmarks - len(chosen) - min(len(hard), landmarks // 4)]
         marks = list(dict.fromkeys(marks))
@@ -230,7 +295,10 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds
         w = _svm(_kernel(words, where, matrix) @ nystroem, y, cost)
         weights = np.zeros(_SIZE)
         weights[where > 0] = (matrix @ (nystroem @ w[:-1]))[where[where > 0]]
-        machine = Machine(weights, w[-1])
+        return weights, w[-1]
+
+    for _ in range(rounds):
+        machine = Machine(*fitted())
         margins = dict(zip(vocabulary, machine.margins(vocabulary).tolist()))
         best = [_best(margins, b) for b in bags]
         worst = [_best(margins, b) for b in others]
@@ -239,12 +307,44 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds
             positive = fresh
         hard = [word for m, word in sorted(worst, key=lambda x: (-x[0], x[1] or "")) if word is not None and m > -0.5 and word not in positive][:2000]
         hard = list(dict.fromkeys(hard))
-    margin = np.array([m for m, _ in best + worst])
-    label = np.concatenate([np.ones(len(best)), np.zeros(len(worst))])
-    margin = np.clip(margin, -3, 3)
+    slope, shift = _curve([m for m, _ in best], [m for m, _ in worst])
+    machine = Machine(machine.weights, machine.bias, slope, shift)
+
+    # Windows have a machine of their own, so that what words say stays. Its positives are the witnesses and, where no word tells, windows.
+    once: dict[str, str] = {}
+    order, other_order = [neighbours(t, once) for t in toxic], [neighbours(t, once) for t in clean]
+    missed = [o for (m, _), o in zip(best, order) if machine.probability(m) < 0.5]
+    seen = {w: n for w, n in Counter(w for o in missed for w in _windows(o)).items() if n >= 3}
+    inside.update(seen)
+    outside.update(w for o in other_order for w in _windows(o) if w in seen)
+    positive = Counter({w: n for w, n in positive.items() if stands_out(w) > least})
+    for o in missed:
+        first = max((w for w in _windows(o) if w in seen), key=lambda w: (stands_out(w), w), default=None)
+        if first is not None and stands_out(first) > least:
+            positive[first] += 1
+    if not positive:
+        return machine
+    beside = sorted({w for o in other_order for w in rng.permutation(sorted(_windows(o)))[:4].tolist()} - positive.keys())
+    hard, pool = [w for w in hard if w not in positive], pool[:6_000] + [beside[k] for k in rng.permutation(len(beside))[:6_000]]
+    for _ in range(rounds):
+        joined = Machine(*fitted())
+        worst = [joined.best_joined(o) for o in other_order]
+        hard = list(dict.fromkeys(hard + [w for m, w in sorted(worst, key=lambda x: (-x[0], x[1] or "")) if w is not None and m > -0.5 and w not in positive]))[:4000]
+    # The windows of few clean texts may count as toxic.
+    alarms = [m for m, _ in worst]
+    joined.slope, joined.shift = _curve([joined.best_joined(o)[0] for o in order], alarms)
+    joined.shift = min(joined.shift, -joined.slope * float(np.quantile(alarms, 1 - ALARMS) + 1e-6))
+    machine.joined = joined
+    return machine
+
+
+def _curve(toxic: list[float], clean: list[float]) -> tuple[float, float]:
+    """Slope and shift of the logistic curve over the margins of toxic and clean texts."""
+    margin = np.clip(np.array(toxic + clean), -3, 3)
+    label = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
     mean, scale, curve = fit_logistic(margin[:, None], label, ridge=1e-3)
     slope = curve[0] / scale[0]
-    return Machine(weights, w[-1], float(max(slope, 1e-3)), float(curve[1] - slope * mean[0]))
+    return float(max(slope, 1e-3)), float(curve[1] - slope * mean[0])
 
 
 def _best(margins: dict[str, float], words: list[str]) -> tuple[float, str | None]:
@@ -273,12 +373,27 @@ class Scorer:
         for w in fresh:
             if len(w) > 64:
                 del self.young[w]
-        return self.machine.probability(np.clip(np.array(margin, float), -3, 3))
+        score = self.machine.probability(np.clip(np.array(margin, float), -3, 3))
+        joined = self.machine.joined
+        if joined is None:
+            return score
+        return np.maximum(score, joined.probability(np.clip([joined.best_joined(neighbours(t))[0] for t in texts], -3, 3)))
+
+
+def _packed(machine: Machine) -> tuple:
+    own = (machine.weights.astype(np.float32).tobytes(), float(machine.bias), machine.slope, machine.shift)
+    return own if machine.joined is None else (*own, _packed(machine.joined))
+
+
+def _unpacked(packed: tuple) -> Machine:
+    machine = Machine(np.frombuffer(packed[0], np.float32).astype(np.float64), *packed[1:4])
+    machine.joined = _unpacked(packed[4]) if len(packed) > 4 else None
+    return machine
 
 
-def _scored(machine_bytes: tuple, key: str, name: str):
+def _scored(packed: tuple, key: str, name: str):
     def run(stream):
-        scorer = kept(("scorer", key), lambda: Scorer(Machine(np.frombuffer(machine_bytes[0], np.float32).astype(np.float64), *machine_bytes[1:])))
+        scorer = kept(("scorer", key), lambda: Scorer(_unpacked(packed)))
         for batch in stream:
             texts = batch.column("text").to_pylist()
             score = [scorer(texts[lo:hi]) for lo, hi in batches(texts)]
@@ -312,7 +427,7 @@ def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame
 
     docs = docs.drop(name)
     machine = trained(docs, labels)
-    packed = (machine.weights.astype(np.float32).tobytes(), float(machine.bias), machine.slope, machine.shift)
+    packed = _packed(machine)
     full = type(docs.schema)([*docs.schema.fields]).add(name, "double")
     return docs.mapInArrow(_scored(packed, uuid.uuid4().hex, name), full)
 

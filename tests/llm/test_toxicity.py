@@ -1,6 +1,8 @@
 import zlib
 
-from sparkloom.llm.toxicity import harmless_documents, op9_string_kernel, scored, train
+import numpy as np
+
+from sparkloom.llm.toxicity import Machine, Scorer, harmless_documents, op9_string_kernel, scored, train
 
 SF = "/root/testdata/sf0.1"  # smaller tables have too few toxic labels to learn or to measure by
 
@@ -39,6 +41,34 @@ def test_mangled_insults_score_high():
     assert max(map(score, ("garden", "boring", "letter", "surface"))) < 0.5
 
 
+def score_text(machine, text):
+    return float(Scorer(machine)([text])[0])
+
+
+def test_insults_across_spaces_score_high():
+    machine = train([f"blorgface {t}" for t in CLEAN], CLEAN * 2)
+    assert min(score_text(machine, f"{CLEAN[3]} {w} again") for w in ("blorg face", "blo rgface", "bl org face")) > 0.5
+    assert max(score_text(machine, t) for t in CLEAN) < 0.5
+
+
+def test_insults_of_ordinary_words_score_high():
+    """Each word is in clean texts as often; only side by side are they an insult."""
+    clean = [f"{t} empty by the {k} head" for k, t in enumerate(CLEAN)] + [f"head {t} {k} empty" for k, t in enumerate(CLEAN)]
+    machine = train([f"{t} empty head {k}" for k, t in enumerate(CLEAN)], clean)
+    assert sum(score_text(machine, f"{t} empty head and more") > 0.5 for t in CLEAN) >= 0.9 * len(CLEAN)
+    assert sum(score_text(machine, t) > 0.5 for t in clean) <= 0.05 * len(clean)
+
+
+def test_windows_equal_words():
+    rng = np.random.default_rng(3)
+    machine = Machine(rng.normal(size=64**3), 0.25)
+    for words in (["du", "mb"], ["a", "b"], ["abc", "d"], ["stu", "p", "id"]):
+        joined = {"".join(words[i:j]) for i in range(len(words)) for j in range(i + 2, len(words) + 1)}
+        margins = dict(zip(sorted(joined), machine.margins(sorted(joined))))
+        margin, word = machine.best_joined(words)
+        assert abs(margin - max(margins.values())) < 1e-9 and margins[word] == max(margins.values())
+
+
 def awkward(spark):
     rows = [(k, t) for k, t in enumerate(CLEAN)] + [(100 + k, t + " blorgface") for k, t in enumerate(CLEAN)]
     rows += [(200, None), (201, ""), (202, " \n"), (None, "you blorgface"), (203, "b l o r g f a c e you are"), (204, "fine " * 200_000 + "blorgface"), (204, "fine " * 200_000 + "blorgface"), (205, "z" * 100_000)]
