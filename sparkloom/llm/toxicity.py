@@ -120,6 +120,11 @@ class Machine:
         self.short: dict[str, float] = {}
         self.joined: Machine | None = None
 
+    @property
+    def unlearnt(self) -> bool:
+        """There was no text of either label, and every score is 0.5."""
+        return self.slope == 0 and self.shift == 0
+
     def margins(self, words: list[str]) -> np.ndarray:
         parts = [(k, p) for k, w in enumerate(words) for p in pieces(w)] if any(len(w) > LENGTH for w in words) else None
         if parts is not None:
@@ -423,10 +428,13 @@ def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame
     one says so. Null doc_ids are scored, not learnt from. Repeated rows score alike; an empty table gives none. A column
     of docs that is called `name` is replaced.
     """
+    docs = docs.drop(name)
+    return _scored_by(trained(docs, labels), docs, name)
+
+
+def _scored_by(machine: Machine, docs: DataFrame, name: str) -> DataFrame:
     import uuid
 
-    docs = docs.drop(name)
-    machine = trained(docs, labels)
     packed = _packed(machine)
     full = type(docs.schema)([*docs.schema.fields]).add(name, "double")
     return docs.mapInArrow(_scored(packed, uuid.uuid4().hex, name), full)
@@ -438,6 +446,9 @@ def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def harmless_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score below one half, with their columns, whatever those are named."""
+    """The rows of docs that score below one half, with their columns, whatever those are named; all rows if no label is usable."""
     (name,) = unused(docs, "score")
-    return scored(docs, labels, name).where(F.col(name) < 0.5).select(docs.columns)
+    machine = trained(docs, labels)
+    if machine.unlearnt:
+        return docs
+    return _scored_by(machine, docs, name).where(F.col(name) < 0.5).select(docs.columns)

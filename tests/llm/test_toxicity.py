@@ -94,3 +94,10 @@ def test_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in scored(docs, none).collect()} == {0.5}
     assert scored(docs.limit(0), none).collect() == [] and harmless_documents(docs.limit(0), none).collect() == []
+
+
+def test_all_documents_are_harmless_without_labels(spark):
+    docs, rows = awkward(spark)
+    for labels in ([], [(1, None)], [(999, 1)]):
+        got = harmless_documents(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        assert got.columns == docs.columns and got.count() == len(rows)
