@@ -21,8 +21,12 @@ def shingle_sets(docs: DataFrame, key: str, text: str, size: int = 3) -> DataFra
 
 
 def shingle_rows(docs: DataFrame, key: str, text: str, size: int = 3) -> DataFrame:
-    """(key, shingle), distinct per row."""
-    return shingle_sets(docs, key, text, size).select(key, F.explode("shingles").alias("shingle"))
+    """(key, shingle), distinct per row.
+
+    The outer form of explode keeps the optimizer from inferring a filter on the array's size, which it would push below the
+    projections and so have the words extracted again for every run.
+    """
+    return shingle_sets(docs, key, text, size).select(key, F.explode_outer("shingles").alias("shingle")).where("shingle is not null")
 
 
 def jaccard_pairs(rows: DataFrame, key: str, least: float) -> DataFrame:
@@ -50,18 +54,53 @@ def jaccard_pairs(rows: DataFrame, key: str, least: float) -> DataFrame:
 
 
 def similar(docs: DataFrame, key: str, text: str, threshold: float = 0.5, size: int = 3) -> DataFrame:
-    """(a, b, similarity): pairs of documents whose signatures share a band and agree in a share of places >= threshold.
+    """(a, b, similarity), a < b: pairs of documents whose signatures share a band and agree in a share of places >= threshold.
 
-    Bands and rows follow the threshold. Texts with equal shingles are one entry until the end.
+    Bands and rows follow the threshold. Two texts without words are equal (1.0). Null counts as empty.
     """
     n_bands, rows = minhash.optimal_bands(threshold)
-    signed = minhash.signatures(shingle_sets(docs, key, text, size), key, "shingles").persist()
-    banded = signed.select(key, "signature", F.explode(minhash.bands(F.col("signature"), n_bands, rows)).alias("bucket"))
-    slim = banded.select(key, F.xxhash64("bucket").alias("bucket"))
+    signed = minhash.signatures(shingle_sets(docs, key, text, size), key, "shingles")
+    entries, members = collapsed(signed, key)
+    return expanded(confirmed(met(entries, n_bands, rows), entries, "entry", threshold), members, key)
+
+
+def collapsed(signed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """signed(key, signature) -> (entries(entry, signature), members(key, entry)): documents of equal signatures are one entry, named by
+    the smallest key, so that copies never meet each other in a bucket. Both are cut from their lineage if a checkpoint
+    folder is set."""
+    signed = _settled(signed)
+    entries = signed.groupBy("signature").agg(F.min(key).alias("entry"))
+    members = signed.join(entries, "signature").select(key, "entry")
+    return entries.select("entry", "signature"), members
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """df checkpointed where a folder for that is set, so that signatures are not made again for each use."""
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None and folder:
+        context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() else df
+
+
+def met(entries: DataFrame, n_bands: int, rows: int) -> DataFrame:
+    """(a, b), a < b, of the entries that share a band's rows."""
+    banded = entries.select("entry", F.explode(minhash.bands(F.col("signature"), n_bands, rows)).alias("bucket"))
+    slim = banded.select("entry", F.xxhash64("bucket").alias("bucket"))
+    shared = slim.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    slim = slim.join(shared, "bucket")
     a, b = slim.alias("a"), slim.alias("b")
-    met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    met = met.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
-    return confirmed(met, signed, key, threshold)
+    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.entry") < F.col("b.entry")))
+    return pairs.select(F.col("a.entry").alias("a"), F.col("b.entry").alias("b")).distinct()
+
+
+def expanded(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """pairs(a, b, similarity) of entries as pairs of documents, with those of one entry at 1.0: as many rows as there are such pairs."""
+    one, two = (members.select(F.col(key).alias(n), F.col("entry").alias(f"entry_{n}")) for n in ("a", "b"))
+    across = pairs.select(F.col("a").alias("entry_a"), F.col("b").alias("entry_b"), "similarity").join(one, "entry_a").join(two, "entry_b")
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    inside = one.join(two, (F.col("entry_a") == F.col("entry_b")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit(1.0).alias("similarity"))
+    return across.unionByName(inside)
 
 
 def confirmed(pairs: DataFrame, signed: DataFrame, key: str, threshold: float) -> DataFrame:

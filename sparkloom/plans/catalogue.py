@@ -378,22 +378,19 @@ def minhash_signature_md5(spark, sf_dir):
     return _md5_signatures(spark, sf_dir).select("doc_id", F.array_join("signature", " ").alias("signature"))
 
 
-def _md5_met(signed):
-    banded = signed.select("doc_id", F.explode(minhash.bands(F.col("signature"), _MD5_BANDS, _MD5_ROWS)).alias("bucket"))
-    a, b = banded.alias("x"), banded.alias("y")
-    return a.join(b, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-
-
 @query(f"{_MD5_MET} SELECT a, b FROM p")
 def lsh_candidates_md5(spark, sf_dir):
-    return _md5_met(_md5_signatures(spark, sf_dir))
+    entries, members = near_duplicates.collapsed(_md5_signatures(spark, sf_dir), "doc_id")
+    pairs = near_duplicates.met(entries, _MD5_BANDS, _MD5_ROWS).withColumn("similarity", F.lit(0.0))
+    return near_duplicates.expanded(pairs, members, "doc_id").select("a", "b")
 
 
 @query(f"""{_MD5_MET} SELECT a, b, similarity FROM (SELECT p.a, p.b, len(list_filter(list_zip(ga.sig, gb.sig), lambda z: z[1] = z[2])) / {len(_COEFFICIENTS)}.0::DOUBLE AS similarity
 FROM p JOIN g ga ON ga.doc_id = p.a JOIN g gb ON gb.doc_id = p.b) WHERE similarity >= 0.5""")
 def lsh_confirmed_md5(spark, sf_dir):
-    signed = _md5_signatures(spark, sf_dir)
-    return near_duplicates.confirmed(_md5_met(signed), signed, "doc_id", 0.5)
+    entries, members = near_duplicates.collapsed(_md5_signatures(spark, sf_dir), "doc_id")
+    found = near_duplicates.confirmed(near_duplicates.met(entries, _MD5_BANDS, _MD5_ROWS), entries, "entry", 0.5)
+    return near_duplicates.expanded(found, members, "doc_id")
 
 
 @query(f"""WITH d AS (SELECT doc_id, sha256(text) AS hash, {_FOLD.format("lang || '-' || source || '_' || (doc_id % 97)")} AS id_key FROM documents),
