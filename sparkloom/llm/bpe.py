@@ -15,16 +15,16 @@ from array import array
 from collections.abc import Callable
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import kept
-from .encoding import Encoder, spaced
+from .encoding import Encoder, Ids, spaced
 from .shingles import batches
 
-
-#: Pre-tokens, and pieces of them, in the younger half of a worker's memory.
-REMEMBERED = 200_000
+#: Ids that are decoded at a time.
+DECODED = 1 << 20
 
 
 class Merger:
@@ -123,16 +123,33 @@ class Codec:
 
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.bytes = [b""] * (max(self.ranks.values()) + 1)
+        width = max(self.ranks.values()) + 1
+        known = [b""] * width
         for token, rank in self.ranks.items():
-            self.bytes[rank] = token
+            known[rank] = token
+        self.size = np.array([len(x) for x in known], np.int64)
+        self.start, self.bytes = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(known), np.uint8)
         self.split = regex.compile(pattern).findall
-        merger = Merger(self.ranks)
-        self.tokens = Encoder(self.split, lambda tokens: [array("I", merger(t.encode())).tobytes() for t in tokens], REMEMBERED)
-        self.encode = Encoder(spaced, self.tokens, REMEMBERED)
+        self.merger = Merger(self.ranks)
+        self.encode = Encoder(spaced, self._many, lambda text: self._many([text])[0], id_type=np.uint16 if width <= 1 << 16 else np.uint32)
+
+    def _many(self, pieces: list[str]) -> Ids:
+        ids, counts = array("I"), []
+        for piece in pieces:
+            before = len(ids)
+            for token in self.split(piece):
+                ids.extend(self.merger(token.encode()))
+            counts.append(len(ids) - before)
+        return np.array(ids, np.uint32), np.array(counts, np.int64)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, array("I", ids)))
+        out = []
+        for lo in range(0, len(ids), 4 * DECODED):
+            found = np.frombuffer(ids[lo : lo + 4 * DECODED], "<u4")
+            size = self.size[found]
+            ends = np.cumsum(size)
+            out.append(self.bytes[np.repeat(self.start[found] - (ends - size), size) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
 
 
 def codec(path: str, pattern: str) -> Codec:

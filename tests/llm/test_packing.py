@@ -55,7 +55,6 @@ def check(rows, expected, capacity=CAPACITY):
 
 def test_op8_holds_each_id_once_with_little_padding(spark):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     expected = {r.doc_id: [[*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     n = check(op8_shortest_pack_first(spark, SF).collect(), expected)
     total = sum(len(x) for ids in expected.values() for x in ids)

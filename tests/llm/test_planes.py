@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -6,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from sparkloom.llm import encoding
 from sparkloom.llm.common import fresh_path
 from sparkloom.llm.encoding import library_encoder, separated, spaced
 from sparkloom.llm.planes import op1_bit_planes, read_manifest, read_shards, shuffle, unshuffle, write_shards
@@ -16,7 +18,6 @@ AWKWARD = ["", " ", "a", "  two  spaces ", "Don't  STOP.\n\nnow , and then", "x
 
 def library(name):
     tokenizer = Tokenizer.from_file(P.path(name))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -38,8 +39,27 @@ def test_cut_encoding_equals_the_library(name, cut, spark):
 
 
 @pytest.mark.parametrize("name,cut", [("word_bpe_49k.json", separated), ("byte_bpe_50k.json", spaced)])
-@given(texts=st.lists(st.text(st.sampled_from("aZé .,'\n\t1#́ s")), max_size=4))
-@settings(deadline=None, max_examples=150)
+def test_names_of_special_tokens_have_their_ids(name, cut):
+    texts = ["<|endoftext|>", "a<|endoftext|>b, c", "x <|endoftext|>\n<|endoftext|> y", "<|startoftext|> a", "<|ENDOFTEXT|>", "<| endoftext |>"]
+    special = P.path(name), library_ids(name, "<|endoftext|>")
+    assert len(special[1]) == 1 and library_encoder(special[0], cut)(texts) == [raw(library_ids(name, t)) for t in texts]
+
+
+@pytest.mark.parametrize("name,cut", [("word_bpe_49k.json", separated), ("byte_bpe_50k.json", spaced)])
+def test_long_texts_and_small_tables(name, cut, monkeypatch):
+    """Stretches of long texts join up, and pieces that share a slot or outgrow the memory of ids are still right."""
+    monkeypatch.setattr(encoding, "STRETCH", 40)
+    known = library_encoder(P.path(name), cut)
+    small = encoding.Encoder(cut, known.many, known.whole, known.specials, slots=16, most_ids=50)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "bc", " ", "  ", "\n", ",", "'s", "é", "漢", "12", "привет", "\u00a0"]) for _ in range(rng.randint(1, 400))) for _ in range(150)] + ["x" * 500, "日本" * 100]
+    for lo in range(0, len(texts), 10):
+        assert small(texts[lo : lo + 10]) == [raw(library_ids(name, t)) for t in texts[lo : lo + 10]]
+
+
+@pytest.mark.parametrize("name,cut", [("word_bpe_49k.json", separated), ("byte_bpe_50k.json", spaced)])
+@given(texts=st.lists(st.text(st.sampled_from("aZé .,'\n\t1#\u0301 s\r\x0b\x1cλИ漢—\xa0\u2003×\u212aİ<|>")), max_size=4))
+@settings(deadline=None, max_examples=600)
 def test_cut_encoding_equals_the_library_on_any_text(name, cut, texts):
     assert library_encoder(P.path(name), cut)(texts) == [raw(library_ids(name, t)) for t in texts]
 
