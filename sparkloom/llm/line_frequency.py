@@ -1,9 +1,11 @@
 """Cross-document line frequency, in DataFrame operations only.
 
 Lines are normalised (lower case, white space runs as one space, trimmed) and hashed. For each host (column `source`) and
-line the distinct documents that hold it are counted; a line in more documents than the host's limit is removed, and a
+line the distinct documents that hold it are counted; a line in more documents than the limit is removed, and a
 document that loses over half of its words is depleted and rejected. Documents are told apart by their text, so exact
-copies count as one. Beside that stand base rules on words, symbols and repetition within a document.
+copies count as one. The limit is a number of documents, whatever the size of the host, as in published line filters: a
+share of the host would let boilerplate of thousands of documents through where most of them lie. Beside that stand base
+rules on words, symbols and repetition within a document.
 
 The hot part is a count per (host, line), pre-aggregated before the shuffle and spread by the line's hash, however large
 the host. Only lines above a limit are joined back.
@@ -19,8 +21,8 @@ from .common import sized_broadcast, staged, table
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: A line's limit on a host: so many documents, or that share of the host's documents if it is more.
-MAX_DOCS, MAX_SHARE = 20, 0.002
+#: A line may be in so many distinct documents of a host.
+MAX_DOCS = 20
 MIN_WORDS, MAX_REPEATED = 20, 30
 
 
@@ -75,12 +77,10 @@ def _lines(rows: DataFrame) -> DataFrame:
     return lines.where("line <> ''").select("doc_id", "host", "copy", "line_no", F.xxhash64("line").alias("hash"), n.alias("n"))
 
 
-def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, hash, n_docs) of the lines above their host's limit, staged."""
-    counted = _lines(docs).groupBy("host", "hash").agg(F.count_distinct("copy").alias("n_docs")).where(F.col("n_docs") > max_docs)
-    hosts = docs.groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(F.count("*").alias("host_docs"))
-    above = counted.join(hosts, "host").where(F.col("n_docs") > F.col("host_docs") * max_share)
-    return staged(above.select("host", "hash", "n_docs"), "line-frequent")
+def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(host, hash, n_docs) of the lines above the limit, staged."""
+    counted = _lines(docs).groupBy("host", "hash").agg(F.count_distinct("copy").alias("n_docs"))
+    return staged(counted.where(F.col("n_docs") > max_docs), "line-frequent")
 
 
 def removed_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -89,14 +89,14 @@ def removed_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     return hit.groupBy("doc_id", "host", "copy").agg(F.sum("n").alias("lost"), F.collect_set("line_no").alias("line_nos"))
 
 
-def verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def verdicts(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """docs(doc_id, text, source, ...) -> one row per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, n_lost_words.
 
     Null text has no words and fails. Null doc_ids are matched like values; rows that repeat doc_id, source and text get
     the same result each. Other columns are ignored.
     """
-    return _judged(docs, frequent_lines(docs, max_docs, max_share)).drop("host", "copy")
+    return _judged(docs, frequent_lines(docs, max_docs)).drop("host", "copy")
 
 
 def _judged(docs: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -111,9 +111,14 @@ def _judged(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     return staged(out, "line-verdicts")
 
 
-def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """docs without its rejected rows, and without the removed lines in `text`; all columns stay, whatever their names."""
-    frequent = frequent_lines(docs, max_docs, max_share)
+def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """docs without its rejected rows, and without the removed lines in `text`; all columns stay, whatever their names.
+
+    Null and empty texts have too few words and go. Null doc_ids and sources are matched like values; rows that repeat
+    doc_id, source and text stay or go together. Very long texts are cleaned whole. A line at the limit stays, one above goes. An empty
+    table gives none.
+    """
+    frequent = frequent_lines(docs, max_docs)
     key = lambda host, copy: F.struct(F.col("doc_id").alias("a"), host.alias("b"), copy.alias("c")).alias("row")
     found = key(F.col("host"), F.col("copy"))
     gone = removed_lines(docs, frequent).select(found, "line_nos")
@@ -142,8 +147,7 @@ p AS (SELECT doc_id, least(8, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER
 c AS (SELECT doc_id, sum(gap) AS covered FROM p GROUP BY doc_id),
 l AS (SELECT doc_id, host, text, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '{_SQL_SPACE}', ' ', 'g')) AS line FROM d),
 n AS (SELECT host, line, count(DISTINCT text) AS n_docs FROM l WHERE line <> '' GROUP BY host, line),
-h AS (SELECT host, count(*) AS host_docs FROM d GROUP BY host),
-f AS (SELECT n.host, line FROM n JOIN h USING (host) WHERE n_docs > {MAX_DOCS} AND n_docs > host_docs * {MAX_SHARE}),
+f AS (SELECT host, line FROM n WHERE n_docs > {MAX_DOCS}),
 t AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS lost FROM l JOIN f USING (host, line) GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
