@@ -9,13 +9,15 @@ weighted Jaccard similarity (Ertl, KDD 2018). The processes run until a time by
 filled, a few hundred points a text however long it is, and further for a text that has an empty slot left.
 
 Candidates. The slots make BANDS bands of ROWS values; texts that share a band's values share a bucket. At similarity
-0.8 a pair misses all buckets with probability 5e-5. In a bucket all texts are compared with a leader, never all with
-all: rounds of leaders merge texts into components, and then only members of different components are compared, if
-the triangle inequality of the Jaccard distance (a metric on multisets) lets them be similar, and if a fine sketch of
-2048 one-bit slots does too (a pair at 0.8 fails that with probability 1e-4). No bucket is capped, and links within a
-component change nothing.
-
-Exact copies (equal word sequences) are one node throughout.
+0.8 a pair misses all buckets with probability 5e-5. In a bucket all texts are compared with a leader, the one with most
+company over all its buckets; those that are similar to it or to a leader's leader get its label. Buckets that still hold
+several labels have a second leader, from another label than the first. Only then are members of different labels
+compared with each other, if the triangle inequality of the Jaccard distance (a metric on multisets) over the leaders lets
+them be similar, and if a fine sketch of 2048 one-bit slots does too (a pair at 0.8 fails that with probability 1e-4). A
+label only says that texts are linked, so that no link between components is lost. No bucket is capped, and links within
+a component change nothing.
+
+Exact copies (equal word sequences) are one node throughout; they join their class at the very end.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, sized_broadcast, staged, table
@@ -37,7 +39,7 @@ SIMILARITY = 0.8
 #: Members of a leader that one task gets with one copy of the leader's text.
 SALT_MEMBERS = 256
 #: Rounds of leaders.
-LEADERS = 3
+LEADERS = 2
 #: Words of 64 bits of a fine sketch, a bit a slot. SURE standard deviations are allowed before a pair is given up.
 FINE_WORDS, SURE = 32, 3.7
 
@@ -126,6 +128,7 @@ _SIGNED = "doc_id long, copy_key binary, n_shingles long, bands array<long>"
 
 
 def _sign(stream):
+    """copy_key: equal for texts with equal words, or equal texts if they have none; null for blank texts. bands: empty without words."""
     for batch in stream:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for lo, hi in batches(texts):
@@ -133,6 +136,9 @@ def _sign(stream):
             keys = band_keys(signatures(*multisets(shingles, offsets), hi - lo))
             n = np.diff(offsets)
             copies = [hashlib.md5(words[a:b].tobytes()).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            for k in np.flatnonzero(n == 0).tolist():
+                text = texts[lo + k]
+                copies[k] = hashlib.md5(b"\0" + text.encode()).digest() if text and text.strip() else None
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]), pa.int32()), pa.array(keys[n > 0].ravel()))
             yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(copies, pa.binary()), pa.array(n, pa.int64()), lists], ["doc_id", "copy_key", "n_shingles", "bands"])
 
@@ -183,77 +189,112 @@ def _compare(stream):
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["a", "b", "sim"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs(a, b) with sim; texts travel to (a, salt), members of a popular leader in several salts."""
-    count = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_MEMBERS).cast("long").alias("salts"))
-    spread = pairs.join(count, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
-    asked = spread.select(F.col("b").alias("id"), "a", "salt", F.lit(1).alias("role"), "b")
-    leads = spread.select(F.col("a").alias("id"), "a", "salt", F.lit(0).alias("role"), F.lit(None).cast("long").alias("b")).distinct()
-    requests = staged(asked.union(leads), "minhash-requests")
+def _verified(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(a, b, size) -> (a, b, sim); texts travel to (a, salt), so many salts that about SALT_MEMBERS of `size` share one."""
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / SALT_MEMBERS)).cast("long"))
+    asked = staged(asked.select("a", "salt", "b"), "minhash-asked")
+    leads = asked.select(F.col("a").alias("id"), "a", "salt", F.lit(0).alias("role"), F.lit(None).cast("long").alias("b")).distinct()
+    requests = staged(asked.select(F.col("b").alias("id"), "a", "salt", F.lit(1).alias("role"), "b").union(leads), "minhash-requests")
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(sized_broadcast(requests), "id").select("a", "salt", "role", "b", "text")
     sorted_ = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    out = staged(sorted_.mapInArrow(_compare, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim")), "minhash-verified")
-    discard(requests)
+    out = staged(sorted_.mapInArrow(_compare, "a long, b long, sim double"), "minhash-verified")
+    discard(asked, requests)
+    return out
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """links(a, b, w) -> (node, label): each b's heaviest a, or that one's own. Equal labels mean linked, not the other way round."""
+    heaviest = F.max(F.struct("w", F.bitwise_not("a").alias("n")))
+    up = staged(links.groupBy(F.col("b").alias("node")).agg(heaviest.alias("m")).select("node", F.bitwise_not("m.n").alias("parent")), "minhash-parents")
+    further = up.select(F.col("node").alias("parent"), F.col("parent").alias("label"))
+    out = staged(up.join(sized_broadcast(further), "parent", "left").select("node", F.coalesce("label", "parent").alias("label")), "minhash-labels")
+    discard(up)
     return out
 
 
+def _crowded(classes: DataFrame) -> DataFrame:
+    """(bucket, node, size, company) of the buckets that hold several of classes(node, bands); company is how many a node meets in all."""
+    banded = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    met = banded.join(shared, "bucket")
+    return staged(met.withColumn("company", F.sum("size").over(Window.partitionBy("node"))), "minhash-buckets")
+
+
+def _mixed(rows: DataFrame, leader: str) -> DataFrame:
+    """(bucket, next) of the buckets of rows(bucket, node, label, company, leader, nears) that hold several labels; next is a member
+    (company, ~node, nears) of most company among those of another label than the leader."""
+    top = F.max(F.struct("company", F.bitwise_not("node").alias("n"), "nears")).alias("top")
+    by_label = rows.groupBy("bucket", "label").agg(top, F.max((F.col("node") == F.col(leader)).cast("int")).alias("leads"))
+    others = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.when(F.col("leads") == 0, F.col("top"))).alias("next"))
+    return others.where("labels > 1").select("bucket", "next")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, class_id, n_shingles, kept), one row per distinct non-null doc_id.
 
     class_id is the smallest doc_id reachable by links (equal word sequences, or multiset similarity >= threshold);
-    kept marks that one. Texts without words (null, empty) link with nothing, not with each other either. Rows that
-    repeat a doc_id are one document; if their texts differ it has all their links. Rows without a doc_id give no row.
-    Other columns are ignored.
+    kept marks that one. Texts without words link with equal texts only; blank ones (null, empty, white space) with nothing,
+    not with each other either. Rows that repeat a doc_id are one document; if their texts differ it has all their
+    links. Rows without a doc_id give no row. Very long texts are compared whole. Other columns are ignored; an empty table
+    gives none.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     signed = staged(docs.mapInArrow(_sign, _SIGNED), "minhash-signed")
-    worded = signed.where("n_shingles > 0")
-    classes = staged(worded.groupBy("copy_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "minhash-classes")
-    member = worded.select("doc_id", "copy_key").join(classes.where("copies > 1").select("copy_key", "node"), "copy_key").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-
-    banded = classes.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = staged(banded.join(shared, "bucket"), "minhash-buckets")
-    # The first leader is the member with most company over all its buckets: the likeliest to be near to most of them.
-    company = buckets.groupBy("node").agg(F.sum("size").alias("company"))
-    leaders = buckets.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("n"))).alias("m")).select("bucket", (-F.col("m.n")).alias("leader"))
-    buckets = buckets.join(leaders, "bucket")
-
-    stars = connected_components(member, "minhash-cc")
-    left = buckets.select("bucket", "node", F.col("leader"), F.array().cast("array<double>").alias("nears"), F.array().cast("array<double>").alias("leader_nears"))
+    each = staged(signed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("copy_key").alias("lo"), F.max("copy_key").alias("hi")), "minhash-each")
+    keyed = signed.where("copy_key is not null")
+    classes = staged(keyed.groupBy("copy_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "minhash-classes")
+
+    rows = _crowded(classes)
+    best = rows.groupBy("bucket").agg(F.max(F.struct("company", F.bitwise_not("node").alias("n"))).alias("m"))
+    leaders = best.select("bucket", F.bitwise_not("m.n").alias("leader"), F.col("m.company").alias("w"), F.array().cast("array<double>").alias("leader_nears"))
+    rows = staged(rows.join(leaders, "bucket").withColumn("nears", F.array().cast("array<double>")), "minhash-led")
     gap = 1 - threshold + 1e-9
+    links = None
     for turn in range(LEADERS):
-        # All members meet the leader, which then is done with; what is left of a bucket matters while it holds several components.
-        left = staged(left.where("node <> leader"), "minhash-met")
-        pairs = left.where(_within("nears", "leader_nears", gap)).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        sims = _verified(docs, pairs)
-        stars = connected_components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(sims.where(F.col("sim") >= threshold).select("a", "b")), "minhash-cc")
-        met = left.join(sims.withColumnsRenamed({"a": "leader", "b": "node"}), ["leader", "node"], "left")
-        met = met.select("bucket", "node", F.array_append("nears", F.col("sim")).alias("nears"))
-        left = _unmerged(met, stars)
-        if turn == LEADERS - 1 or left.isEmpty():
+        # All members meet the leader; what is left of a bucket matters while it holds several labels.
+        asked = rows.where((F.col("node") != F.col("leader")) & _within("nears", "leader_nears", gap))
+        sims = _verified(docs, asked.groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.max("size").alias("size"), F.max("w").alias("w")).select("a", "b", "size"))
+        weights = rows.select(F.col("leader").alias("a"), "w").distinct()
+        found = sims.where(F.col("sim") >= threshold).join(weights, "a").select("a", "b", "w")
+        links = staged(found if links is None else links.union(found), "minhash-links")
+        labels = _labels(links)
+        near = F.when(F.col("node") == F.col("leader"), 1.0).otherwise(F.col("sim"))
+        met = rows.drop("label").join(sized_broadcast(sims.withColumnsRenamed({"a": "leader", "b": "node"})), ["leader", "node"], "left")
+        met = met.join(sized_broadcast(labels), "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("nears", F.array_append("nears", near))
+        before, rows = rows, staged(met.select("bucket", "node", "size", "company", "label", "leader", "nears"), "minhash-met")
+        discard(before)
+        chosen = _mixed(rows, "leader").select("bucket", F.bitwise_not("next.n").alias("leader"), F.col("next.company").alias("w"), F.col("next.nears").alias("leader_nears"))
+        before, rows = rows, staged(rows.drop("leader").join(chosen, "bucket"), "minhash-led")
+        discard(before)
+        if rows.isEmpty():
             break
-        # The next leader is the member nearest to those before, which is likely to be near to most.
-        central = F.aggregate("nears", F.lit(0.0), lambda total, x: total + F.coalesce(x, F.lit(0.0)))
-        chosen = left.groupBy("bucket").agg(F.max(F.struct(central.alias("c"), (-F.col("node")).alias("n"), F.col("nears"))).alias("m"))
-        chosen = chosen.select("bucket", (-F.col("m.n")).alias("leader"), F.col("m.nears").alias("leader_nears"))
-        left = left.drop("component").join(chosen, "bucket")
-    # What is left are texts beside the large components. Pairs are told by fine sketches inside the join, each in the first bucket that it shares, so that few rows come out of it.
-    apart = staged(left.select("node").distinct(), "minhash-apart")
+    if not rows.isEmpty():
+        links = links.union(_apart(docs, rows, threshold, gap))
+    links = links.select("a", "b")
+    several = each.where("lo <> hi").select("doc_id")
+    if not several.isEmpty():  # a document that has several texts links their classes
+        named = signed.join(several, "doc_id").select("doc_id", "copy_key").join(classes.select("copy_key", "node"), "copy_key")
+        links = links.union(named.select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
+
+    component = connected_components(links, "minhash-cc")
+    known = classes.select("copy_key", "node", "copies").join(component, "node", "left").where("copies > 1 or component is not null")
+    known = staged(known.select(F.col("copy_key").alias("lo"), F.coalesce("component", "node").alias("class_id")), "minhash-known")
+    class_id = F.coalesce("class_id", "doc_id")
+    return each.join(sized_broadcast(known), "lo", "left").select("doc_id", class_id.alias("class_id"), "n_shingles", (class_id == F.col("doc_id")).alias("kept"))
+
+
+def _apart(docs: DataFrame, rows: DataFrame, threshold: float, gap: float) -> DataFrame:
+    """Links (a, b, w) between members of a bucket that have different labels, told by fine sketches inside a join on the bucket, each
+    pair in the first bucket that it shares, so that few rows come out."""
+    apart = staged(rows.select("node").distinct(), "minhash-apart")
     fine = docs.join(sized_broadcast(apart).withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sketch, _FINE)
-    left = staged(left.select("bucket", "node", "component", "nears").join(staged(fine, "minhash-fine"), "node"), "minhash-left")
+    left = staged(rows.select("bucket", "node", "label", "size", "nears").join(sized_broadcast(staged(fine, "minhash-fine")), "node"), "minhash-left")
     x, y = left.alias("x"), left.alias("y")
     first = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")
-    alike = (F.col("x.component") != F.col("y.component")) & _may_be_similar(threshold) & first & _within("x.nears", "y.nears", gap)
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & alike)
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_verified(docs, rest).where(F.col("sim") >= threshold).select("a", "b"))
-
-    component = connected_components(links, "minhash-cc")
-    ids = signed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    return ids.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", F.coalesce("component", "doc_id").alias("class_id"), "n_shingles", (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept")
-    )
+    alike = (F.col("x.label") != F.col("y.label")) & _may_be_similar(threshold) & first & _within("x.nears", "y.nears", gap)
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & alike)
+    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.max("x.size").alias("size"))
+    return _verified(docs, pairs).where(F.col("sim") >= threshold).select("a", "b", F.lit(0).cast("long").alias("w"))
 
 
 def _within(one: str, other: str, gap: float):
@@ -261,13 +302,6 @@ def _within(one: str, other: str, gap: float):
     return ~F.exists(F.zip_with(one, other, lambda a, b: F.coalesce(F.abs(a - b), F.lit(0.0))), lambda d: d > gap)
 
 
-def _unmerged(rows: DataFrame, stars: DataFrame) -> DataFrame:
-    """rows(bucket, node, ...) with component, of the buckets whose nodes lie in several components."""
-    rows = rows.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    return staged(rows.join(mixed, "bucket"), "minhash-mixed")
-
-
 def one_of_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The rows of docs whose document is its class's kept one, one row of a repeated doc_id (the smallest text); rows
     without a doc_id all stay. All columns are kept.

@@ -46,11 +46,16 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The files stay until they are discarded, or until the folder goes: what is returned to a caller may read them at any time.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -59,10 +64,10 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a staged table that nothing will read again."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        remove(df.sparkSession, path)
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of staged tables that nothing will read again."""
+    for df in tables:
+        remove(df.sparkSession, df.staged_path)
 
 
 def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -98,13 +98,13 @@ def test_hot_groups_lose_no_link(spark):
 
 def test_nulls_short_long_and_repeated_rows(spark):
     long = " ".join(words(7, 60_000))
-    rows = [(1, None), (2, ""), (3, "... !!"), (4, "two words"), (5, "Two  WORDS"), (6, "two words more"), (7, long), (8, long + " end"), (None, "two words"), (9, long), (9, "two words"), (10, "b"), (10, "b")]
+    rows = [(1, None), (2, ""), (3, "... !!"), (4, "two words"), (5, "Two  WORDS"), (6, "two words more"), (7, long), (8, long + " end"), (None, "two words"), (9, long), (9, "two words"), (10, "b"), (10, "b"), (11, "... !!"), (12, "..  !!"), (13, " \n"), (14, " \n")]
     docs = spark.createDataFrame([(*r, "x", {"m": 1}) for r in rows], "doc_id long, text string, class_id string, row map<string,int>")
     got = {r.doc_id: (r.class_id, r.kept) for r in near_duplicates(docs).collect()}
-    assert got == {1: (1, True), 2: (2, True), 3: (3, True), 4: (4, True), 5: (4, False), 6: (6, True), 7: (4, False), 8: (4, False), 9: (4, False), 10: (10, True)}
+    assert got == {1: (1, True), 2: (2, True), 3: (3, True), 4: (4, True), 5: (4, False), 6: (6, True), 7: (4, False), 8: (4, False), 9: (4, False), 10: (10, True), 11: (3, False), 12: (12, True), 13: (13, True), 14: (14, True)}
     kept = one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 10]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 10, 12, 13, 14]
 
 
 def test_no_documents(spark):
