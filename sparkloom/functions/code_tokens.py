@@ -5,61 +5,60 @@ from __future__ import annotations
 import io
 import keyword
 import re
-import token
 import tokenize
 
-#: Names that stay as they are: keywords and the built-ins of Python 3.12, fixed so that any interpreter agrees.
-BUILTINS = frozenset(
-    "abs aiter all anext any ascii bin bool breakpoint bytearray bytes callable chr classmethod compile complex delattr dict dir divmod "
-    "enumerate eval exec filter float format frozenset getattr globals hasattr hash help hex id input int isinstance issubclass iter len "
-    "list locals map max memoryview min next object oct open ord pow print property range repr reversed round set setattr slice sorted "
-    "staticmethod str sum super tuple type vars zip True False None Exception ValueError TypeError KeyError IndexError RuntimeError "
-    "StopIteration OSError AttributeError ImportError ZeroDivisionError NotImplementedError AssertionError".split()
-)
-KEPT = frozenset(keyword.kwlist) | frozenset(keyword.softkwlist) | BUILTINS
-_LAYOUT = {tokenize.COMMENT, tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENCODING, tokenize.ENDMARKER}
-_PLAIN = re.compile(r"[A-Za-z_]\w*|\d[\w.]*|\"[^\"\n]*\"|'[^'\n]*'|[^\s\w]")
+#: Public names of Python 3.12's built-ins, so that any interpreter agrees. Words in small letters, then exceptions and warnings.
+_FUNCTIONS = """
+abs aiter all anext any ascii bin bool breakpoint bytearray bytes callable chr classmethod compile complex copyright credits delattr dict dir
+divmod enumerate eval exec exit filter float format frozenset getattr globals hasattr hash help hex id input int isinstance issubclass iter len
+license list locals map max memoryview min next object oct open ord pow print property quit range repr reversed round set setattr slice sorted
+staticmethod str sum super tuple type vars zip Ellipsis False None NotImplemented True
+"""
+_ERRORS = """
+Arithmetic Assertion Attribute BlockingIO BrokenPipe Buffer ChildProcess ConnectionAborted Connection ConnectionRefused ConnectionReset EOF
+Environment FileExists FileNotFound FloatingPoint IO Import Indentation Index Interrupted IsADirectory Key Lookup Memory ModuleNotFound Name
+NotADirectory NotImplemented OS Overflow Permission ProcessLookup Recursion Reference Runtime Syntax System Tab Timeout Type UnboundLocal
+UnicodeDecode UnicodeEncode Unicode UnicodeTranslate Value ZeroDivision
+"""
+_WARNINGS = "Bytes Deprecation Encoding Future Import PendingDeprecation Resource Runtime Syntax Unicode User"
+_OTHERS = "BaseException BaseExceptionGroup Exception ExceptionGroup GeneratorExit KeyboardInterrupt StopAsyncIteration StopIteration SystemExit Warning"
+BUILTINS = frozenset([*_FUNCTIONS.split(), *(f"{e}Error" for e in _ERRORS.split()), *(f"{w}Warning" for w in _WARNINGS.split()), *_OTHERS.split()])
+KEPT = (frozenset(keyword.kwlist) | frozenset(keyword.softkwlist) | BUILTINS) - {"_"}
+#: What is written for a token by its kind: nothing, the same word for all, or a form of its text; a statement may begin behind _BREAKS.
+_BREAKS = frozenset({tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT})
+_UNSEEN = _BREAKS | {tokenize.COMMENT, tokenize.NL, tokenize.ENCODING, tokenize.ENDMARKER}
+_TEXT_KINDS = {"STRING": "STR", "FSTRING_START": "STR", "TSTRING_START": "STR", "FSTRING_MIDDLE": None, "FSTRING_END": None, "TSTRING_MIDDLE": None, "TSTRING_END": None}
+_COMMENT = re.compile(r"(?:^|\s)(?:#|//).*$", re.M)
+_PLAIN = re.compile(r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|([A-Za-z_]\w*)|\d[\w.]*|\S""")
 
 
-class _Names(dict):
-    def __missing__(self, name: str) -> str:
-        self[name] = out = name if name in KEPT else f"ID{sum(v.startswith('ID') for v in self.values())}"
-        return out
+def _numbered():
+    """Names -> ID0, ID1, ... by first use; kept ones stay."""
+    known: dict[str, str] = {}
+    return lambda name: name if name in KEPT else known.setdefault(name, f"ID{len(known)}")
 
 
 def code_tokens(source: str) -> list[str]:
+    """Python's tokens without comments, layout and strings that begin a statement; names numbered, other strings as STR."""
     try:
-        return _parsed(source)
-    except (tokenize.TokenError, SyntaxError, IndentationError):
-        return _plain(source)
-
-
-def _parsed(source: str) -> list[str]:
-    names, out, fresh = _Names(), [], True
-    found = list(tokenize.generate_tokens(io.StringIO(source).readline))
-    for k, t in enumerate(found):
-        if t.type in _LAYOUT:
-            fresh = fresh or t.type in (tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT)
+        found = list(tokenize.generate_tokens(io.StringIO(source).readline))
+    except (tokenize.TokenError, SyntaxError):
+        named = _numbered()
+        return ["STR" if text else named(name) if name else m[0].lower() for m in _PLAIN.finditer(_COMMENT.sub("", source)) for text, name in [m.groups()]]
+    named, out, begins = _numbered(), [], True
+    for token in found:
+        if token.type in _UNSEEN:
+            begins = begins or token.type in _BREAKS
             continue
-        if t.type == token.STRING:
-            following = next((x for x in found[k + 1 :] if x.type not in (tokenize.COMMENT, tokenize.NL)), None)
-            if not (fresh and (following is None or following.type in (tokenize.NEWLINE, tokenize.ENDMARKER))):
-                out.append("STR")
-        elif t.type == token.NAME:
-            out.append(names[t.string])
-        elif t.type == token.NUMBER:
-            out.append(t.string.lower())
+        kind = tokenize.tok_name[token.type]
+        if kind == "NAME":
+            out.append(named(token.string))
+        elif kind in _TEXT_KINDS:
+            if _TEXT_KINDS[kind] and not (begins and kind == "STRING"):
+                out.append(_TEXT_KINDS[kind])
         else:
-            out.append("STR" if tokenize.tok_name[t.type].startswith("FSTRING") else t.string)
-        fresh = False
-    return out
-
-
-def _plain(source: str) -> list[str]:
-    names, out = _Names(), []
-    for line in source.splitlines():
-        for t in _PLAIN.findall(re.sub(r"(#|//).*", "", line)):
-            out.append("STR" if t[0] in "\"'" else names[t] if t[0].isalpha() or t[0] == "_" else t.lower())
+            out.append(token.string.lower() if kind == "NUMBER" else token.string)
+        begins = False
     return out
 
 

@@ -121,9 +121,11 @@ def unpinned(source: str, build_args: dict[str, str], section: str | None) -> li
             return f"{what} '{raw}' depends on build arg {', '.join(dict.fromkeys(missing))}, which has no value in the Dockerfile{place}, so its digest cannot be checked"
         if name.lower() in stages | {"scratch"}:
             return None
-        if not re.fullmatch(text.IMAGE.strip("^$"), name):
-            return f"{what} '{name}' is not a valid image reference: it does not have the form [domain/]path[:tag][@digest]"
-        if "@sha256:" in name:
+        try:
+            digest = text.parse_image(name)[3]
+        except ValueError as wrong:
+            return f"{what} '{name}' is not a valid image reference: {wrong}"
+        if digest is not None:
             return None
         return f"{what} '{name}'" + (f" (resolved from '{raw}')" if raw != name else "") + " is not pinned by digest"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,13 +16,20 @@ SEMVER = (
 PLATFORM = r"^[a-z0-9]+/[a-z0-9_]+(/[a-z0-9]+)?$"
 SELECTOR = r"^(ALL|[A-Z]{1,8}[0-9]{0,4})$"
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*$"
-IMAGE = (
-    r"^(?:((?:[a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?)(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?)*(?::[0-9]+)?)/)?"
-    r"([a-z0-9]+(?:(?:\.|_|__|-+)[a-z0-9]+)*(?:/[a-z0-9]+(?:(?:\.|_|__|-+)[a-z0-9]+)*)*)"
-    r"(?::([A-Za-z0-9_][A-Za-z0-9_.-]{0,127}))?(?:@(sha256:[0-9a-f]{64}))?$"
-)
-#: A path is left out if one of its parts matches.
-IGNORED = r"^(\.git|\.hg|\.svn|\.DS_Store|Thumbs\.db|__pycache__|.*\.py[co]|\.pytest_cache|\.mypy_cache|\.ruff_cache|\.venv|.*~|.*\.swp|\.idea)$"
+#: Parts of an image reference: a registry's host, a path, a tag, a digest; and how long a name (host and path) may be.
+_HOST = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+IMAGE_DOMAIN = rf"^{_HOST}(?:\.{_HOST})*(?::[0-9]+)?$"
+_COMPONENT = r"[a-z0-9]+(?:(?:[._]|__|-+)[a-z0-9]+)*"
+IMAGE_PATH = rf"^{_COMPONENT}(?:/{_COMPONENT})*$"
+IMAGE_TAG = r"^[A-Za-z0-9_][A-Za-z0-9_.-]{0,127}$"
+IMAGE_DIGEST = r"^sha256:[0-9a-f]{64}$"
+IMAGE_NAME = 255
+#: A path is left out if one of its parts has such a name (* is any run of characters).
+IGNORED_NAMES = (
+    ".DS_Store", "._*", "Thumbs.db", "desktop.ini", ".git", ".hg", ".svn", "__pycache__", "*.pyc", "*.pyo", ".pytest_cache", ".mypy_cache",
+    ".ruff_cache", ".ipynb_checkpoints",
+)
+IGNORED = "(?s)^(?:" + "|".join(n.replace(".", r"\.").replace("*", ".*") for n in IGNORED_NAMES) + ")$"
 
 
 def unix_newlines(text: Column) -> Column:
@@ -66,14 +75,52 @@ def tags_ok(tags: Column) -> Column:
 
 
 def image_ref(value: Column) -> Column:
-    """struct(domain, path, tag, digest) of an image reference, null if it is none. The first part is a domain only with
-    a dot, a colon or as localhost."""
-    part = lambda k: F.regexp_extract(value, IMAGE, k)
-    text = lambda c: F.when(c != "", c)
-    real = (part(1) != "") & (F.contains(part(1), F.lit(".")) | F.contains(part(1), F.lit(":")) | (part(1) == "localhost"))
-    domain = F.when(real, part(1))
-    path = F.when(~real & (part(1) != ""), F.concat(part(1), F.lit("/"), part(2))).otherwise(part(2))
-    return F.when(value.rlike(IMAGE) & (F.length(value) <= 512), F.struct(domain.alias("domain"), path.alias("path"), text(part(3)).alias("tag"), text(part(4)).alias("digest")))
+    """struct(domain, path, tag, digest) of an image reference, null if it is none.
+
+    The digest follows the first @, the tag the last colon behind the last slash. The first part of the rest, whose length is
+    bounded, is a domain if it has a dot or a colon or is localhost.
+    """
+    has = lambda text, part: F.contains(text, F.lit(part))
+    rest = F.split_part(value, F.lit("@"), F.lit(1))
+    digest = F.when(has(value, "@"), F.substr(value, F.length(rest) + 2))
+    tagged = rest.rlike("(?s)^.*:[^/]*$")
+    tag = F.when(tagged, F.substring_index(rest, ":", -1))
+    name = F.when(tagged, F.substr(rest, F.lit(1), F.length(rest) - F.length(tag) - 1)).otherwise(rest)
+    first = F.split_part(name, F.lit("/"), F.lit(1))
+    real = has(name, "/") & (has(first, ".") | has(first, ":") | (first == "localhost"))
+    domain = F.when(real, first)
+    path = F.when(real, F.substr(name, F.length(first) + 2)).otherwise(name)
+    holds = lambda text, pattern: F.coalesce(text.rlike(f"(?-m){pattern[:-1]}" + r"\z"), F.lit(True))
+    good = F.length(name).between(1, IMAGE_NAME) & path.rlike(IMAGE_PATH[:-1] + r"\z") & holds(domain, IMAGE_DOMAIN) & holds(tag, IMAGE_TAG) & holds(digest, IMAGE_DIGEST)
+    return F.when(good, F.struct(domain.alias("domain"), path.alias("path"), tag.alias("tag"), digest.alias("digest")))
+
+
+def parse_image(value: str) -> tuple[str | None, str, str | None, str | None]:
+    """The same of one string; ValueError says what is wrong."""
+    if not value or value != value.strip():
+        raise ValueError("must be a non-empty image reference without surrounding whitespace")
+    rest, at, digest = value.partition("@")
+    slash = rest.rfind("/") + 1
+    last, colon, tag = rest[slash:].rpartition(":") if ":" in rest[slash:] else (rest[slash:], "", "")
+    name = rest[:slash] + last
+    first, more, path = name.partition("/")
+    real = bool(more) and ("." in first or ":" in first or first == "localhost")
+    checks = [
+        (at and not _whole(IMAGE_DIGEST, digest), f"digest must be 'sha256:' followed by 64 lowercase hex characters, got {digest!r}"),
+        (colon and not _whole(IMAGE_TAG, tag), f"invalid tag {tag!r}: use up to 128 letters, digits, '_', '.' or '-', not starting with '.' or '-'"),
+        (not name, "missing repository name"),
+        (len(name) > IMAGE_NAME, f"repository name is longer than {IMAGE_NAME} characters"),
+        (real and not _whole(IMAGE_DOMAIN, first), f"invalid registry host {first!r}"),
+    ]
+    checks += [(not _whole(f"^{_COMPONENT}$", c), f"invalid repository path component {c!r}: use lowercase letters and digits joined by '.', '_', '__' or '-'") for c in (path if real else name).split("/")]
+    for wrong, said in checks:
+        if wrong:
+            raise ValueError(said)
+    return (first if real else None, path if real else name, tag if colon else None, digest if at else None)
+
+
+def _whole(pattern: str, value: str) -> bool:
+    return re.fullmatch(pattern.strip("^$"), value) is not None
 
 
 def parse_size(value: Column) -> Column:
@@ -108,6 +155,18 @@ def ignored(path: Column) -> Column:
     return F.exists(F.split(path, "/"), lambda part: part.rlike(IGNORED))
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<start, value>> of all matches of a pattern, in order; start counts from 1. Null has none."""
+    values, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
+    step = lambda done, k: F.struct(
+        (done["at"] + F.length(F.get(gaps, k)) + F.length(F.get(values, k))).alias("at"),
+        F.array_append(done["out"], F.struct((done["at"] + F.length(F.get(gaps, k)) + 1).alias("start"), F.get(values, k).alias("value"))).alias("out"),
+    )
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
+    order = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(order, none, step)["out"]
+
+
 def object_key(value: Column) -> Column:
     """64 hex digits of a key that may be prefixed by its algorithm; null if malformed."""
     bare = F.regexp_replace(value, "^sha256:", "")

@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import minhash, text
 from ..operators import ledger, lint, merkle, near_duplicates, store
+from .registry import QUERIES, SQL, query
+from .registry import table as _t
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
+__all__ = ["QUERIES", "SQL"]
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _SHINGLES = f"""
 t AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -83,16 +68,15 @@ def merkle_conversation_root(spark, sf_dir):
     return merkle.roots(rows, "tree-v1", 2).select(F.col("bundle").alias("conv_id"), "root")
 
 
-@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS bytes FROM lineitem GROUP BY ALL""")
-def volume_summary(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus")
-    return rows.agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("bytes"))
+#: Paths of which some have an ignored name, by number.
+_PATHS = """CASE p_partkey % 12 WHEN 0 THEN p_brand || '/.git/config' WHEN 1 THEN 'a/' || p_name WHEN 2 THEN 'src/m.pyc' WHEN 3 THEN 'src/m.pyx' WHEN 4 THEN '._' || p_name
+ WHEN 5 THEN 'x/desktop.ini' WHEN 6 THEN '.venv/' || p_name WHEN 7 THEN 'nb/.ipynb_checkpoints/' || p_name WHEN 8 THEN p_name || '~' WHEN 9 THEN 'a/Thumbs.db' WHEN 10 THEN 'a/.idea/b' ELSE '.ruff_cache' END"""
 
 
-@query("""SELECT page_id, list_has_any(list_transform(string_split(url, '/'), lambda x: regexp_matches(x,
-'^(\\.git|\\.hg|\\.svn|\\.DS_Store|Thumbs\\.db|__pycache__|.*\\.py[co]|\\.pytest_cache|\\.mypy_cache|\\.ruff_cache|\\.venv|.*~|.*\\.swp|\\.idea)$')), [true]) AS ignored FROM pages""")
+@query(f"SELECT p_partkey, {_PATHS} AS path, p_partkey % 12 IN (0, 2, 4, 5, 7, 9, 11) AS ignored FROM part")
 def ignore_filter_paths(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", text.ignored(F.col("url")).alias("ignored"))
+    rows = _t(spark, sf_dir, "part").select("p_partkey", F.expr(_PATHS).alias("path"))
+    return rows.withColumn("ignored", text.ignored(F.col("path")))
 
 
 _BANDS = """WITH RECURSIVE s AS (SELECT threshold, b, r, (i / 200.0) AS x, CASE WHEN i IN (0, 200) THEN 0.5 ELSE 1.0 END AS weight
@@ -137,32 +121,32 @@ def slug_semver_validation(spark, sf_dir):
     return part.select("p_partkey", slug.alias("slug"), text.is_slug(slug).alias("slug_ok"), version.alias("version"), text.is_semver(version).alias("semver_ok"))
 
 
-_SIZES = ["512K", "100MB", "2GiB", "77", "1.5M", "x", "3t", "0B"]
-_FACTOR = "CASE lower(regexp_extract(v, '([kKmMgGtT]?)(?:[iI]?[bB])?$', 1)) WHEN 'k' THEN 1024 WHEN 'm' THEN 1048576 WHEN 'g' THEN 1073741824 WHEN 't' THEN 1099511627776 ELSE 1 END"
+#: Sizes with and without units, some of them none.
+_SIZES = "p_partkey || CASE p_partkey % 8 WHEN 0 THEN 'K' WHEN 1 THEN 'MB' WHEN 2 THEN 'GiB' WHEN 3 THEN '' WHEN 4 THEN '.5M' WHEN 5 THEN 'x' WHEN 6 THEN 't' ELSE 'b' END"
 
 
-@query(f"""WITH s AS (SELECT v, CASE WHEN regexp_matches(v, '^[0-9]+[kKmMgGtT]?([iI]?[bB])?$') THEN regexp_extract(v, '^[0-9]+')::BIGINT * {_FACTOR} END AS b FROM (VALUES {", ".join(f"('{x}')" for x in _SIZES)}) t(v))
-SELECT v AS size, b::BIGINT AS bytes, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN printf('%.1f MiB', b / 1048576.0::DOUBLE)
- WHEN b < 1099511627776 THEN printf('%.1f GiB', b / 1073741824.0::DOUBLE) ELSE printf('%.1f TiB', b / 1099511627776.0::DOUBLE) END AS human FROM s WHERE b IS NOT NULL""")
+@query(f"""WITH s AS (SELECT p_partkey, {_SIZES} AS size, p_partkey * CASE p_partkey % 8 WHEN 0 THEN 1024 WHEN 1 THEN 1048576 WHEN 2 THEN 1073741824 WHEN 6 THEN 1099511627776 ELSE 1 END AS b FROM part WHERE p_partkey % 8 NOT IN (4, 5))
+SELECT p_partkey, size, b::BIGINT AS bytes, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN printf('%.1f MiB', b / 1048576.0::DOUBLE)
+ WHEN b < 1099511627776 THEN printf('%.1f GiB', b / 1073741824.0::DOUBLE) ELSE printf('%.1f TiB', b / 1099511627776.0::DOUBLE) END AS human FROM s""")
 def parse_size_human_size(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in _SIZES], "size string").withColumn("bytes", text.parse_size(F.col("size")))
+    rows = _t(spark, sf_dir, "part").select("p_partkey", F.expr(_SIZES).alias("size"))
+    rows = rows.withColumn("bytes", text.parse_size(F.col("size")))
     return rows.where("bytes is not null").withColumn("human", text.human_size(F.col("bytes")))
 
 
-_IMAGES = {
-    "python:3.12": ("", "python", "3.12", False),
-    "ghcr.io/acme/app@sha256:" + "a" * 64: ("ghcr.io", "acme/app", "", True),
-    "acme/app:1.0": ("", "acme/app", "1.0", False),
-    "localhost/app": ("localhost", "app", "", False),
-    "reg:5000/a/b:t": ("reg:5000", "a/b", "t", False),
-}
+#: Image references, some of them none.
+_IMAGES = """CASE p_partkey % 10 WHEN 0 THEN 'python:3.' || p_size WHEN 1 THEN 'ghcr.io/acme/a' || p_partkey || '@sha256:' || repeat('a', 64) WHEN 2 THEN 'acme/a' || p_partkey || ':' || p_size
+ WHEN 3 THEN 'localhost/a' || p_partkey WHEN 4 THEN 'reg:5000/a/b:t' || p_size || '@sha256:' || repeat('0', 64) WHEN 5 THEN 'Acme/app' WHEN 6 THEN 'a' || repeat('n', 255) WHEN 7 THEN 'foo_bar.x/app' WHEN 8 THEN 'a:b:c' ELSE repeat('n', 255) END"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{d}', '{p}', '{t}', {str(x).lower()})" for k, (d, p, t, x) in _IMAGES.items()) + ") v(ref, domain, path, tag, pinned)")
+@query(f"""WITH i AS (SELECT p_partkey, p_partkey % 10 AS k, p_size::VARCHAR AS size, {_IMAGES} AS ref FROM part)
+SELECT p_partkey, ref, CASE k WHEN 1 THEN 'ghcr.io' WHEN 3 THEN 'localhost' WHEN 4 THEN 'reg:5000' ELSE '' END AS domain,
+ CASE k WHEN 0 THEN 'python' WHEN 1 THEN 'acme/a' || p_partkey WHEN 2 THEN 'acme/a' || p_partkey WHEN 3 THEN 'a' || p_partkey WHEN 4 THEN 'a/b' ELSE ref END AS path,
+ CASE k WHEN 0 THEN '3.' || size WHEN 2 THEN size WHEN 4 THEN 't' || size ELSE '' END AS tag, k IN (1, 4) AS pinned FROM i WHERE k NOT IN (5, 6, 7, 8)""")
 def image_ref_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in [*_IMAGES, "Bad Name"]], "ref string").withColumn("r", text.image_ref(F.col("ref"))).where("r is not null")
+    rows = _t(spark, sf_dir, "part").select("p_partkey", F.expr(_IMAGES).alias("ref")).withColumn("r", text.image_ref(F.col("ref"))).where("r is not null")
     blank = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c)
-    return rows.select("ref", blank("domain"), blank("path"), blank("tag"), F.col("r.digest").isNotNull().alias("pinned"))
+    return rows.select("p_partkey", "ref", blank("domain"), blank("path"), blank("tag"), F.col("r.digest").isNotNull().alias("pinned"))
 
 
 def _document_lines(spark, sf_dir):
@@ -178,28 +162,45 @@ def line_split_positions(spark, sf_dir):
     return _document_lines(spark, sf_dir).select("bundle", "file", "line", F.length("source").alias("width"))
 
 
-@query()
+_HEX_BITS = "list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: -((length(v) - length(replace(v, c, ''))) / length(v)) * log2((length(v) - length(replace(v, c, ''))) / length(v))))"
+
+
+@query(rf"""WITH {_LINES}, n AS (SELECT *, regexp_extract(source, '(?:^|[^A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*) = "[0-9a-f]{{40}}"', 1) AS name, regexp_extract(source, ' = "([0-9a-f]{{40}})"', 1) AS v FROM l),
+m AS (SELECT *, {_HEX_BITS} AS bits FROM n WHERE v <> '' AND regexp_matches(lower(name), '(secret|token|password|(api|access)[_.-]?key)$'))
+SELECT bundle, file, line::INTEGER AS line, instr(source, v)::INTEGER AS "column", 'TL006' AS code,
+ '''' || name || ''' is assigned a high-entropy value (' || printf('%.1f', bits) || ' bits per character) that looks like a secret: [redacted, 40 chars]' AS message
+FROM m WHERE bits >= 3 AND regexp_matches(v, '[a-f]') AND regexp_matches(v, '[0-9]')""")
 def secret_scan_entropy(spark, sf_dir):
     return lint.secrets(_document_lines(spark, sf_dir))
 
 
-@query(f"""WITH l AS (SELECT page_id::VARCHAR AS file, unnest(string_split(html, chr(10))) AS source FROM pages)
-SELECT file, regexp_extract(source, '{lint.NETWORK}', 1) AS command, count(*) AS n FROM l WHERE regexp_matches(source, '{lint.NETWORK}') GROUP BY ALL""")
+#: Shell lines of one file a brand; (number, column, command) of what they run. Comments hide the rest of a line.
+_SHELL = """CASE p_partkey % 8 WHEN 0 THEN 'curl -s ' || p_name WHEN 1 THEN 'cd x && git  clone y; wget z' WHEN 2 THEN '# curl ' || p_name WHEN 3 THEN '(pip3 install ' || p_name || ')' WHEN 4 THEN 'echo curly'
+ WHEN 5 THEN 'npm ci # wget' WHEN 6 THEN 'apk add a && apt-get update  # sparkloom: ignore[TL00' || p_size % 10 || ']' ELSE p_name END"""
+_RUNS = """r(k, "column", command) AS (VALUES (0, 1, 'curl'), (1, 9, 'git clone'), (1, 23, 'wget'), (3, 2, 'pip3 install'), (5, 1, 'npm ci'), (6, 1, 'apk add'), (6, 14, 'apt-get update')),
+net AS (SELECT p_brand AS bundle, 'run.sh' AS file, p_partkey::INTEGER AS line, "column", 'TL003' AS code, 'grader script runs ''' || command || ''' at test time' AS message, p_size % 10 AS size FROM part JOIN r ON p_partkey % 8 = k)"""
+
+
+def _shell_lines(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select(F.col("p_brand").alias("bundle"), F.lit("run.sh").alias("file"), F.col("p_partkey").cast("int").alias("line"), F.expr(_SHELL).alias("source"))
+
+
+@query(f'WITH {_RUNS} SELECT bundle, file, line, "column", code, message FROM net')
 def network_command_scan(spark, sf_dir):
-    files = _t(spark, sf_dir, "pages").select(F.lit("b").alias("bundle"), F.col("page_id").cast("string").alias("file"), F.col("html").alias("text"))
-    found = lint.network_commands(lint.file_lines(files))
-    return found.select("file", F.regexp_replace("message", "^network command: ", "").alias("command")).groupBy("file", "command").agg(F.count("*").alias("n"))
+    return lint.network_commands(_shell_lines(spark, sf_dir))
 
 
-_URL = lint.URL_PASSWORD.replace("'", "''")
+#: Lines with passwords in URLs, and with what only looks like one.
+_URLS = """CASE c_custkey % 5 WHEN 0 THEN 'dsn = pg://u:' || c_mktsegment || '@db/' WHEN 1 THEN 'redis://:p' || c_custkey || '@h and ftp://me:' || c_mktsegment || '@h' WHEN 2 THEN 'http://h:80?x=a@b'
+ WHEN 3 THEN 'pg://u:${PW}@h' ELSE 'git@h:' || c_name END"""
 
 
-@query(f"""WITH l AS (SELECT page_id::VARCHAR AS file, unnest(x) AS source, generate_subscripts(x, 1) AS line FROM (SELECT page_id, regexp_split_to_array(html, '\\r\\n|\\r|\\n') AS x FROM pages)),
-v AS (SELECT *, regexp_extract(source, '{_URL}', 1) AS value FROM l WHERE regexp_matches(source, '{_URL}'))
-SELECT 'b' AS bundle, file, line::INTEGER AS line, instr(source, value)::INTEGER AS "column", 'TL006' AS code, 'URL password committed in plain text: [redacted, ' || length(value) || ' chars]' AS message FROM v""")
+@query("""WITH c AS (SELECT 'n' || c_nationkey AS bundle, 'urls' AS file, c_custkey::INTEGER AS line, c_custkey % 5 AS k, c_mktsegment AS v, 'p' || c_custkey AS w FROM customer),
+f AS (SELECT bundle, file, line, 14 AS "column", v FROM c WHERE k = 0 UNION ALL SELECT bundle, file, line, 10, w FROM c WHERE k = 1 UNION ALL SELECT bundle, file, line, 26 + length(w), v FROM c WHERE k = 1)
+SELECT bundle, file, line, "column"::INTEGER AS "column", 'TL006' AS code, 'password in URL committed in plain text: [redacted, ' || length(v) || ' chars]' AS message FROM f""")
 def url_password_scan(spark, sf_dir):
-    files = _t(spark, sf_dir, "pages").select(F.lit("b").alias("bundle"), F.col("page_id").cast("string").alias("file"), F.col("html").alias("text"))
-    return lint.url_passwords(lint.file_lines(files))
+    lines = _t(spark, sf_dir, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("bundle"), F.lit("urls").alias("file"), F.col("c_custkey").cast("int").alias("line"), F.expr(_URLS).alias("source"))
+    return lint.secrets(lines)
 
 
 def _sizes(spark, sf_dir):
@@ -218,47 +219,80 @@ def oversized_documents(spark, sf_dir):
     return lint.oversized(_sizes(spark, sf_dir), 8, 100)
 
 
-@query(f"""WITH {_OVER} SELECT DISTINCT bundle, file, line, "column", code, message, 0 AS occurrence,
-left(sha256(code || chr(0) || file || chr(0) || message || chr(0) || '0'), 32) AS fingerprint FROM v""")
+#: Findings of two rules, those that their lines suppress left out; the first of two equal ones has occurrence 0.
+_FOUND = f"""{_RUNS}, {_OVER}, every AS (SELECT bundle, file, line, "column", code, message FROM net WHERE NOT (line % 8 = 6 AND size = 3) UNION SELECT * FROM v),
+o AS (SELECT *, row_number() OVER (PARTITION BY bundle, code, file, message ORDER BY line, "column") - 1 AS k FROM every),
+fp AS (SELECT bundle, file, line::INTEGER AS line, "column"::INTEGER AS "column", code, message, k::INTEGER AS occurrence, left(sha256(code || chr(0) || file || chr(0) || message || chr(0) || k), 32) AS fingerprint FROM o)"""
+_URI = "replace(bundle || CASE WHEN file = '' THEN '' ELSE '/' || file END, '#', '%23')"
+
+
+def _reported(spark, sf_dir):
+    over = lint.oversized(_sizes(spark, sf_dir), 8, 100)
+    found = lint.network_commands(_shell_lines(spark, sf_dir)).unionByName(over).unionByName(over)
+    return lint.reported(found, _shell_lines(spark, sf_dir))
+
+
+@query(f"WITH {_FOUND} SELECT * FROM fp")
 def findings_fingerprint(spark, sf_dir):
-    found = lint.oversized(_sizes(spark, sf_dir), 8, 100)
-    return lint.findings(found.union(found))
+    return _reported(spark, sf_dir)[0]
 
 
-@query(f"WITH {_OVER} SELECT count(DISTINCT bundle) AS bundles_with_findings, count(*) AS findings, count(*) AS errors, 0::BIGINT AS warnings FROM v")
+@query(f"""WITH {_FOUND} SELECT (SELECT count(*) FROM (SELECT p_brand FROM part UNION SELECT source FROM documents)) AS bundles, count(DISTINCT bundle) AS bundles_with_findings, count(*) AS findings,
+ count(*) AS errors, 0::BIGINT AS warnings, (SELECT count(*) FROM net WHERE line % 8 = 6 AND size = 3) AS suppressed FROM fp""")
 def findings_summary(spark, sf_dir):
-    return lint.summary(findings_fingerprint(spark, sf_dir), lint.rule_table(spark))
+    found, taken = _reported(spark, sf_dir)
+    bundles = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("bundle")).union(_t(spark, sf_dir, "documents").select("source"))
+    return lint.summary(found, lint.rule_table(spark), bundles, taken)
 
 
-@query()
+@query(f"""WITH {_FOUND}, u AS (SELECT *, {_URI} AS uri FROM fp) SELECT bundle, fingerprint, uri,
+ '{{"ruleId":"' || code || '","ruleIndex":' || CASE code WHEN 'TL003' THEN 3 ELSE 5 END || ',"level":"error","message":{{"text":"' || message || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || uri
+ || '","uriBaseId":"%SRCROOT%"}},"region":{{"startLine":' || line || ',"startColumn":' || "column" || '}}}}}}],"partialFingerprints":{{"sparkloom/v1":"' || left(sha256(uri || chr(0) || fingerprint), 32) || '"}}}}' AS result FROM u""")
 def sarif_results(spark, sf_dir):
     return lint.sarif_results(findings_fingerprint(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_FOUND} SELECT bundle, string_agg(CASE WHEN file = '' THEN '.' ELSE file END || ':' || line || ':' || "column" || ': ' || code || ' ' || message, chr(10) ORDER BY file, line, "column", code, message) AS report FROM fp GROUP BY bundle""")
 def lint_text_report(spark, sf_dir):
     return lint.text_report(findings_fingerprint(spark, sf_dir))
 
 
-_SUPPRESS = [("x = 1", False), ("x  # sparkloom: ignore", True), ("x  # sparkloom: ignore[TL004]", True), ("x  # sparkloom: ignore[TL00]", True), ("x  # sparkloom: ignore[TL003, TL004]", True), ("x  # sparkloom: ignore[]", False), ("x  # sparkloom: ignore[TL003]", False)]
+#: Comments by number, and whether a finding of TL004 on such a line is suppressed.
+_COMMENTS = """CASE p_partkey % 9 WHEN 0 THEN 'x = 1' WHEN 1 THEN 'x  # sparkloom: ignore' WHEN 2 THEN 'x  # sparkloom:ignore[TL00' || p_size % 10 || ']' WHEN 3 THEN 'x[1]  # sparkloom:  ignore' WHEN 4 THEN 'x  # sparkloom: ignore[TL003, TL004]'
+ WHEN 5 THEN 'x  # sparkloom: ignore[]' WHEN 6 THEN 'x  # sparkloom: ignore[tl004]' WHEN 7 THEN 'x  # sparkloom: ignore[TL003]' ELSE 'x  # ignore[TL004]' END"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k + 1}, {str(s).lower()})" for k, (_, s) in enumerate(_SUPPRESS)) + ") v(line, suppressed)")
+@query("SELECT p_brand AS bundle, p_partkey::INTEGER AS line, p_partkey % 9 IN (1, 3, 4, 6) OR (p_partkey % 9 = 2 AND p_size % 10 = 4) AS suppressed FROM part")
 def suppression_filter(spark, sf_dir):
-    lines = spark.createDataFrame([("b", "f", k + 1, x) for k, (x, _) in enumerate(_SUPPRESS)], "bundle string, file string, line int, source string")
+    lines = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("bundle"), F.lit("f").alias("file"), F.col("p_partkey").cast("int").alias("line"), F.expr(_COMMENTS).alias("source"))
     found = lines.select("bundle", "file", "line", F.lit(1).alias("column"), F.lit("TL004").alias("code"), F.lit("m").alias("message"))
-    return lint.suppressed(found, lines).select("line", "suppressed")
+    return lint.suppressed(found, lines).select("bundle", "line", "suppressed")
 
 
-_SELECTIONS = [(0, "select", "ALL"), (0, "ignore", "TL004"), (1, "select", "TL00"), (1, "ignore", "TL003"), (2, "ignore", "TL005")]
+#: Layers of selectors, each over what is left by those before.
+_SELECTIONS = [(0, "select", "ALL"), (0, "ignore", "TL004"), (1, "select", "TL00"), (1, "ignore", "TL003"), (2, "ignore", "TL005"), (2, "ignore", "XX")]
+_LAYERS = ", ".join(f"({n}, '{k}', '{s}')" for n, k, s in _SELECTIONS)
+_CODES = ", ".join(f"('{c}')" for c, *_ in lint.RULES)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {str(c not in ('TL003', 'TL005')).lower()})" for c, _, _ in lint.RULES) + ") v(code, enabled)")
+@query(f"""WITH RECURSIVE s(layer, kind, selector) AS (VALUES {_LAYERS}), c(code) AS (VALUES {_CODES}),
+w AS (SELECT code, layer, max(CASE WHEN kind = 'select' THEN n END) AS sel, max(CASE WHEN kind = 'ignore' THEN n END) AS ign
+ FROM (SELECT *, CASE WHEN selector = 'ALL' THEN 0 ELSE length(selector) END AS n FROM c, s WHERE selector = 'ALL' OR starts_with(code, selector)) GROUP BY ALL),
+g AS (SELECT c.code, l.layer, sel, ign, l.chooses FROM c CROSS JOIN (SELECT layer, bool_or(kind = 'select') AS chooses FROM s GROUP BY layer) l LEFT JOIN w ON w.code = c.code AND w.layer = l.layer),
+fold AS (SELECT code, -1 AS layer, true AS enabled FROM c UNION ALL
+ SELECT f.code, g.layer, CASE WHEN chooses THEN sel IS NOT NULL AND (ign IS NULL OR sel > ign) ELSE enabled AND ign IS NULL END FROM fold f JOIN g ON g.code = f.code AND g.layer = f.layer + 1)
+SELECT code, enabled FROM fold WHERE layer = 2""")
 def rule_selection(spark, sf_dir):
     layers = spark.createDataFrame(_SELECTIONS, "layer int, kind string, selector string")
     return lint.selected(lint.rule_table(spark), layers)
 
 
+@query(f"""WITH s(layer, kind, selector) AS (VALUES {_LAYERS}), c(code) AS (VALUES {_CODES})
+SELECT DISTINCT selector FROM s WHERE selector <> 'ALL' AND NOT EXISTS (SELECT 1 FROM c WHERE starts_with(code, selector))""")
+def unknown_rule_selectors(spark, sf_dir):
+    return lint.unknown_selectors(lint.rule_table(spark), spark.createDataFrame(_SELECTIONS, "layer int, kind string, selector string"))
+
+
 _STATUS = "CASE event_type WHEN 'signup' THEN 'draft' WHEN 'view' THEN 'submitted' WHEN 'click' THEN 'in_review' WHEN 'purchase' THEN 'accepted' ELSE 'needs_changes' END"
 
 

@@ -50,17 +50,6 @@ def test_eviction_matches_a_plain_loop(spark):
     assert store.evicted(spark.createDataFrame(rows, "key string, size long, last_used long"), 10**9).count() == 0
 
 
-def test_secrets(spark):
-    token = "AK" + "IA" + "ABCDEFGH12345678"
-    text = f"id = {token}\nx{token}\napi_key = 'a1b2c3d4e5f6a7b8c9d0'\nmax_size = 'a1b2c3d4e5f6a7b8c9d0'\npassword = aaaaaaaaaaaaaaaa1\n"
-    lines = lint.file_lines(spark.createDataFrame([("b", "f", text)], "bundle string, file string, text string"))
-    got = sorted((r.line, r.column, r.message) for r in lint.secrets(lines).collect())
-    assert got == [(1, 6, "AWS access key ID committed in plain text: AK" + "IA[redacted, 20 chars]"), (3, 12, "high-entropy value in a secret-like name: [redacted, 20 chars]")]
-    urls = lint.file_lines(spark.createDataFrame([("b", "f", "git clone https://me:pw12@host/x\nhttps://h/?a:b@c")], "bundle string, file string, text string"))
-    assert [r.line for r in lint.url_passwords(urls).collect()] == [1]
-    assert [r.message for r in lint.network_commands(urls).collect()] == ["network command: git clone"]
-
-
 def test_similar_agrees_with_exact_pairs(spark):
     base = [f"w{k} v{k % 7} u{k % 5}" for k in range(60)]
     docs = [(1, " ".join(base)), (2, " ".join(base[:-4])), (3, "other words entirely here"), (4, None), (5, "two words")]
@@ -80,13 +69,3 @@ def test_bundle_scan(spark, tmp_path):
     assert {(r.bundle, r.issue) for r in bundles.manifests(files).collect()} == {("a", None), ("b", "missing_manifest"), ("c", "toml_syntax")}
     declared = spark.createDataFrame([("a", "tests", "tests", "dir"), ("a", "solution", "solution", "dir")], "bundle string, loc string, path string, kind string")
     assert [r.path for r in bundles.missing_paths(declared, files).collect()] == ["solution"]
-
-
-def test_sarif():
-    log = '{"ruleId": "TL005", "ruleIndex": 5, "message": {"text": "m"}}'
-    import json
-
-    whole = json.loads(lint.sarif_log([log]))
-    assert lint.sarif_problems(whole) == []
-    whole["runs"][0]["results"][0]["ruleIndex"] = 2
-    assert len(lint.sarif_problems(whole)) == 1
