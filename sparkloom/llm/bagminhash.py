@@ -13,7 +13,7 @@ Candidates. The slots make BANDS bands of ROWS values; texts that share a band's
 company over all its buckets; those that are similar to it or to a leader's leader get its label. Buckets that still hold
 several labels have a second leader, from another label than the first. Only then are members of different labels
 compared with each other, if the triangle inequality of the Jaccard distance (a metric on multisets) over the leaders lets
-them be similar, and if a fine sketch of 2048 one-bit slots does too (a pair at 0.8 fails that with probability 1e-4). A
+them be similar, and if a fine sketch of 1024 one-bit slots does too (a pair at 0.8 fails that with probability 1e-4). A
 label only says that texts are linked, so that no link between components is lost. No bucket is capped, and links within
 a component change nothing.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, sized_broadcast, staged, table
+from .common import BROADCAST_ROWS, discard, sized_broadcast, staged, table
 from .components import connected_components
 from .shingles import batches, mix, shingle_hashes
 
@@ -41,7 +41,7 @@ SALT_MEMBERS = 256
 #: Rounds of leaders.
 LEADERS = 2
 #: Words of 64 bits of a fine sketch, a bit a slot. SURE standard deviations are allowed before a pair is given up.
-FINE_WORDS, SURE = 32, 3.7
+FINE_WORDS, SURE = 16, 3.7
 
 _M = np.uint64
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -288,7 +288,7 @@ def _apart(docs: DataFrame, rows: DataFrame, threshold: float, gap: float) -> Da
     pair in the first bucket that it shares, so that few rows come out."""
     apart = staged(rows.select("node").distinct(), "minhash-apart")
     fine = docs.join(sized_broadcast(apart).withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sketch, _FINE)
-    left = staged(rows.select("bucket", "node", "label", "size", "nears").join(sized_broadcast(staged(fine, "minhash-fine")), "node"), "minhash-left")
+    left = staged(rows.select("bucket", "node", "label", "size", "nears").join(sized_broadcast(staged(fine, "minhash-fine"), BROADCAST_ROWS // 8), "node"), "minhash-left")
     x, y = left.alias("x"), left.alias("y")
     first = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")
     alike = (F.col("x.label") != F.col("y.label")) & _may_be_similar(threshold) & first & _within("x.nears", "y.nears", gap)
