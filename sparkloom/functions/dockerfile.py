@@ -101,12 +101,6 @@ def expanded(source: str, values: dict[str, str | None]) -> tuple[str, list[str]
     return _VARIABLE.sub(put, source), missing
 
 
-def is_dockerfile(name: str) -> bool:
-    """Dockerfile, Containerfile, and either as a first or last part of a name, but no ignore file."""
-    parts = name.lower().split(".")
-    return parts[-1] != "dockerignore" and bool({parts[0], parts[-1]} & {"dockerfile", "containerfile"})
-
-
 def unpinned(source: str, build_args: dict[str, str], section: str | None) -> list[tuple[int, int, str]]:
     """(line, column, message) of the images that no digest pins."""
     outer: dict[str, str | None] = {}

@@ -7,7 +7,6 @@ Sources are parsed where they lie, a file at a time; what depends on a whole fol
 from __future__ import annotations
 
 import json
-import posixpath
 import re
 from collections.abc import Callable, Iterator
 
@@ -26,7 +25,7 @@ NO_FOLDER, NO_CONTENT = "grader test directory {}/ does not exist", "grader test
 NO_TEST_FILES = "the verifier runs pytest but {}/ has no test_*.py or *_test.py files"
 NO_TESTS, NOT_PARSED = "grader test file defines no test functions", "grader test file does not parse: {}"
 
-_LAYOUT = "bundle string, manifest string, issues array<struct<file string, loc string, code string, message string, line int>>, tests string, solution string, command array<string>, verifier string, dockerfiles array<struct<path string, section string, args string>>, select array<string>, ignore array<string>, max_file_kb long, max_bundle_kb long, canonical string, declared array<struct<loc string, path string, kind string>>"
+_LAYOUT = "bundle string, manifest string, issues array<struct<file string, loc string, code string, message string, line int>>, tests string, solution string, instruction string, command array<string>, verifier string, dockerfiles array<struct<path string, section string, args string>>, select array<string>, ignore array<string>, max_file_kb long, max_bundle_kb long, canonical string, declared array<struct<loc string, path string, kind string>>"
 
 
 def layouts(parsed: DataFrame) -> DataFrame:
@@ -59,7 +58,7 @@ def _layout(bundle: str, text: str | None, issue: str | None, source: str | None
     issues += [{"file": "task.toml", "loc": manifest.place(p), "code": c, "message": m, "line": manifest.toml_line(source or "", p)} for p, c, m in found]
     use = values or manifest.best_effort(data)
     return {
-        "bundle": bundle, "manifest": text, "issues": issues, "tests": use["tests"]["path"], "solution": use["solution"]["path"], "command": use["verifier"]["command"],
+        "bundle": bundle, "manifest": text, "issues": issues, "tests": use["tests"]["path"], "solution": use["solution"]["path"], "instruction": use["instruction"]["path"], "command": use["verifier"]["command"],
         "verifier": use["verifier"]["dockerfile"], "dockerfiles": [{"path": use[s]["dockerfile"], "section": s, "args": json.dumps(use[s]["build_args"])} for s in ("environment", "verifier")],
         "select": use["lint"]["select"], "ignore": use["lint"]["ignore"], "max_file_kb": use["lint"]["max_file_kb"], "max_bundle_kb": use["lint"]["max_bundle_kb"],
         "canonical": manifest.canonical(values) if values else None,
@@ -67,6 +66,35 @@ def _layout(bundle: str, text: str | None, issue: str | None, source: str | None
     }
 
 
+def checked(rows: DataFrame, column: str, check: Callable, name: str) -> DataFrame:
+    """rows with the column's values as `name` as the check of a field gives them back, and the code of what is wrong with them instead."""
+
+    def run(stream):
+        for batch in stream:
+            out = []
+            for value in batch.column(batch.schema.get_field_index(column)).to_pylist():
+                try:
+                    out.append((check(value), None))
+                except manifest.Problem as wrong:
+                    out.append((None, wrong.code))
+            columns = list(zip(*out)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.string()) for c in columns)], names=[*batch.schema.names, name, "code"])
+
+    return rows.mapInArrow(run, type(rows.schema)([*rows.schema.fields]).add(name, "string").add("code", "string"))
+
+
+def docker_instructions(files: DataFrame) -> DataFrame:
+    """(bundle, file, keyword, value, line, column) of all Dockerfiles by name; the column is the value's."""
+    schema = _arrow(columns := "bundle string, file string, keyword string, value string, line int, column int")
+
+    def run(stream):
+        for batch in stream:
+            rows = [(bundle, file, *step[:4]) for bundle, file, text in zip(*(batch.column(k).to_pylist() for k in range(3))) for step in dockerfile.instructions(text)]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
+
+    return texts(files).where(is_dockerfile()).select("bundle", "file", "text").mapInArrow(run, columns)
+
+
 def invalid_bundles(layout: DataFrame, missing: DataFrame, rules: DataFrame) -> DataFrame:
     """TL000: issues of the manifest, declared paths without a file (missing(bundle, loc, path, code)), unknown selectors."""
     issues = layout.select("bundle", F.explode("issues").alias("i")).select("bundle", F.col("i.file").alias("file"), F.col("i.line").alias("line"), F.when(F.col("i.loc") != "", F.concat("i.loc", F.lit(": "), "i.message")).otherwise(F.col("i.message")).alias("message"))
@@ -90,6 +118,12 @@ def is_python():
     return F.endswith("file", F.lit(".py")) | _shebang("python")
 
 
+def is_dockerfile():
+    """Dockerfile, Containerfile, and either as a first or last part of a name, but no ignore file."""
+    name = F.lower(F.substring_index("file", "/", -1))
+    return name.rlike(r"^(.*\.)?(dockerfile|containerfile)$|^(dockerfile|containerfile)\.") & ~F.endswith(name, F.lit(".dockerignore"))
+
+
 def is_shell():
     return F.col("file").rlike(r"\.(sh|bash)$") | _shebang("(ba|da|z|k)?sh\\b")
 
@@ -170,9 +204,7 @@ def docker_files(files: DataFrame, layout: DataFrame) -> DataFrame:
     """TL002 in Dockerfiles that a manifest declares or that are named so, and TL003 in what the verifier's starts."""
     declared = layout.select("bundle", F.posexplode("dockerfiles").alias("pos", "d")).select("bundle", F.col("d.path").alias("file"), "pos", F.col("d.section").alias("section"), F.col("d.args").alias("args"))
     first = declared.groupBy("bundle", "file").agg(F.min_by(F.struct("section", "args"), "pos").alias("d")).select("bundle", "file", "d.section", "d.args")
-    name = F.lower(F.substring_index("file", "/", -1))
-    named = name.rlike(r"^(.*\.)?(dockerfile|containerfile)$|^(dockerfile|containerfile)\.") & ~F.endswith(name, F.lit(".dockerignore"))
-    rows = texts(files).join(first, ["bundle", "file"], "left").where(F.col("section").isNotNull() | named)
+    rows = texts(files).join(first, ["bundle", "file"], "left").where(F.col("section").isNotNull() | is_dockerfile())
     rows = rows.join(layout.select("bundle", "verifier"), "bundle").withColumn("starts", F.col("file") == F.col("verifier"))
     return _scanned(rows, ["args", "section", "starts"], _docker)
 
@@ -190,10 +222,6 @@ def missing_tests(files: DataFrame, layout: DataFrame) -> DataFrame:
     return hit.select("bundle", F.col("tests").alias("file"), F.lit(1).alias("line"), F.lit(1).alias("column"), F.lit("TL001").alias("code"), "message")
 
 
-def display_path(bundle: str, file: str) -> str:
-    return posixpath.normpath(posixpath.join(bundle, file or "."))
-
-
 def enabled(found: DataFrame, layout: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings whose rule the bundle's own selection keeps: the longer selector wins, and ignore wins ties."""
     grid = layout.select("bundle", "select", "ignore").crossJoin(F.broadcast(rules.select("code")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_binary
 
-FILE, FOLDER = "f", "d"
+FILE, FOLDER, LINK = "f", "d", "l"
 
 
 def file_digests(files: DataFrame) -> DataFrame:
@@ -18,17 +18,25 @@ def file_digests(files: DataFrame) -> DataFrame:
     return files.select("bundle", "path", kind.alias("kind"), F.octet_length(canonical).cast("long").alias("size"), F.sha2(canonical, 256).alias("sha256"))
 
 
-def roots(digests: DataFrame, tag: str, depth: int) -> DataFrame:
-    """digests(bundle, path, sha256) -> (bundle, root): one aggregation per level of folders, deepest first.
+def conflicts(digests: DataFrame) -> DataFrame:
+    """(bundle, path, problem): paths that a bundle has twice, and files that are folders of others too."""
+    level = digests.select("bundle", "path")
+    twice = level.groupBy("bundle", "path").agg(F.count("*").alias("n")).where("n > 1").select("bundle", "path", F.lit("repeated path").alias("problem"))
+    parts = F.split("path", "/")
+    above = level.where(F.size(parts) > 1).select("bundle", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("path"))
+    return twice.union(level.distinct().join(above.distinct(), ["bundle", "path"], "left_semi").withColumn("problem", F.lit("both a file and a folder")))
 
-    A folder's digest is sha256 of a 1 byte and its sorted entries, each its kind, name, a 0 byte and the digest. depth is the
-    largest number of parts of a path. Bundles with a path twice, or a file that is also a folder, are left out.
+
+def roots(digests: DataFrame, tag: str) -> DataFrame:
+    """digests(bundle, path, sha256[, kind]) -> (bundle, root): one aggregation per level of folders, deepest first, however deep they are.
+
+    A folder's digest is sha256 of a 1 byte and its sorted entries, each its kind (symlinks have one of their own), name, a 0 byte and
+    the digest. Bundles with conflicts() have no root.
     """
-    level = digests.select("bundle", F.split("path", "/").alias("parts"), F.unhex("sha256").alias("digest"), F.lit(FILE).alias("kind"))
-    clash = level.groupBy("bundle", "parts").agg(F.count("*").alias("n")).where("n > 1").select("bundle")
-    folders = level.where(F.size("parts") > 1).select("bundle", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda k: F.slice("parts", F.lit(1), k))).alias("parts"))
-    clash = clash.union(level.join(folders.distinct(), ["bundle", "parts"], "left_semi").select("bundle")).distinct()
-    level = level.join(clash, "bundle", "left_anti")
+    kind = F.when(F.col("kind") == "symlink", LINK).otherwise(FILE) if "kind" in digests.columns else F.lit(FILE)
+    depth = digests.agg(F.max(F.size(F.split("path", "/"))).alias("d")).first()["d"] or 0
+    level = digests.join(conflicts(digests).select("bundle").distinct(), "bundle", "left_anti")
+    level = level.select("bundle", F.split("path", "/").alias("parts"), F.unhex("sha256").alias("digest"), kind.alias("kind"))
     for size in range(depth, 0, -1):
         here = level.where(F.size("parts") == size)
         entry = F.concat(F.encode(F.col("kind"), "utf-8"), F.encode(F.element_at("parts", -1), "utf-8"), F.unhex(F.lit("00")), F.col("digest"))
@@ -38,4 +46,4 @@ def roots(digests: DataFrame, tag: str, depth: int) -> DataFrame:
         nodes = grouped.select("bundle", "parts", F.unhex(F.sha2(joined, 256)).alias("digest"), F.lit(FOLDER).alias("kind"))
         level = level.where(F.size("parts") < size).unionByName(nodes)
     root = F.sha2(F.concat(F.encode(F.lit(tag), "utf-8"), F.unhex(F.lit("00")), F.col("digest")), 256)
-    return level.select("bundle", F.concat(F.lit("sha256:"), root).alias("root"))
+    return level.where(F.size("parts") == 0).select("bundle", F.concat(F.lit("sha256:"), root).alias("root"))

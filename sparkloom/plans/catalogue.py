@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import minhash, text
 from ..operators import ledger, lint, merkle, near_duplicates, store
+from . import bundles  # noqa: F401  (registers its queries)
 from .registry import QUERIES, SQL, query
 from .registry import table as _t
 
@@ -65,7 +66,7 @@ SELECT conv_id, 'sha256:' || sha256(unhex(hex('tree-v1'::BLOB) || '00' || hex(di
 def merkle_conversation_root(spark, sf_dir):
     rows = _t(spark, sf_dir, "conversations").where("text is not null")
     rows = rows.select(F.col("conv_id").alias("bundle"), F.format_string("%s/%s-%d", "role", "role", "turn").alias("path"), F.sha2("text", 256).alias("sha256"))
-    return merkle.roots(rows, "tree-v1", 2).select(F.col("bundle").alias("conv_id"), "root")
+    return merkle.roots(rows, "tree-v1").select(F.col("bundle").alias("conv_id"), "root")
 
 
 #: Paths of which some have an ignored name, by number.
@@ -192,7 +193,7 @@ def network_command_scan(spark, sf_dir):
 
 #: Lines with passwords in URLs, and with what only looks like one.
 _URLS = """CASE c_custkey % 5 WHEN 0 THEN 'dsn = pg://u:' || c_mktsegment || '@db/' WHEN 1 THEN 'redis://:p' || c_custkey || '@h and ftp://me:' || c_mktsegment || '@h' WHEN 2 THEN 'http://h:80?x=a@b'
- WHEN 3 THEN 'pg://u:${PW}@h' ELSE 'git@h:' || c_name END"""
+ WHEN 3 THEN 'pg://u:$' || '{PW}@h' ELSE 'git@h:' || c_name END"""
 
 
 @query("""WITH c AS (SELECT 'n' || c_nationkey AS bundle, 'urls' AS file, c_custkey::INTEGER AS line, c_custkey % 5 AS k, c_mktsegment AS v, 'p' || c_custkey AS w FROM customer),

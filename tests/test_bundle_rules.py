@@ -95,7 +95,12 @@ def test_dockerfile_forms():
     ]
     assert dockerfile.unpinned("ARG I\nFROM $I\n", {"I": PIN}, "verifier") == []
     assert dockerfile.expanded("${A+x}${B:-y}$C", {"A": "", "B": ""}) == ("xy", ["C"])
-    assert [dockerfile.is_dockerfile(n) for n in ("Dockerfile", "x.Dockerfile", "dockerfile.dev", "Dockerfile.dockerignore", "mydockerfile")] == [True, True, True, False, False]
+
+
+def test_dockerfile_names(spark):
+    names = ["Dockerfile", "a/x.Dockerfile", "dockerfile.dev", "b/Containerfile", "Dockerfile.dockerignore", "mydockerfile", "dockerfile/x"]
+    rows = spark.createDataFrame([(n,) for n in names], "file string")
+    assert [r.d for r in rows.select(bundle_rules.is_dockerfile().alias("d")).collect()] == [True] * 4 + [False] * 3
 
 
 def found(source, check):

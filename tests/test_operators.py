@@ -14,7 +14,21 @@ def test_merkle_two_levels(spark):
     x, y = hashlib.sha256(b"x\ny\nz\n").digest(), hashlib.sha256(b"\0\r\n").digest()
     folder = hashlib.sha256(b"\x01fy\0" + y).digest()
     root = hashlib.sha256(b"\x01dd\0" + folder + b"fx.txt\0" + x).digest()
-    assert [tuple(r) for r in merkle.roots(digests, "t", 2).collect()] == [("b", "sha256:" + hashlib.sha256(b"t\0" + root).hexdigest())]
+    assert [tuple(r) for r in merkle.roots(digests, "t").collect()] == [("b", "sha256:" + hashlib.sha256(b"t\0" + root).hexdigest())]
+
+
+def test_merkle_depth_links_and_conflicts(spark):
+    sha = lambda b: hashlib.sha256(b).digest()
+    leaf = sha(b"x")
+    rows = [("deep", "a/b/c/d/e", leaf.hex(), "text"), ("link", "l", leaf.hex(), "symlink"), ("twice", "p", leaf.hex(), "text"), ("twice", "p", leaf.hex(), "text"), ("both", "p", leaf.hex(), "text"), ("both", "p/q", leaf.hex(), "text")]
+    digests = spark.createDataFrame(rows, "bundle string, path string, sha256 string, kind string")
+    node = sha(b"\x01fe\0" + leaf)
+    for name in b"dcba":
+        node = sha(b"\x01d" + bytes([name]) + b"\0" + node)
+    want = {"deep": node, "link": sha(b"\x01ll\0" + leaf)}
+    assert {r.bundle: r.root for r in merkle.roots(digests, "t").collect()} == {b: "sha256:" + sha(b"t\0" + n).hex() for b, n in want.items()}
+    assert sorted(map(tuple, merkle.conflicts(digests).collect())) == [("both", "p", "both a file and a folder"), ("twice", "p", "repeated path")]
+    assert merkle.roots(digests.limit(0), "t").collect() == []
 
 
 def test_audit_chain_and_tampering(spark):
