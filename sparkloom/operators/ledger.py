@@ -6,9 +6,11 @@ import hashlib
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settled import settled
+
 GENESIS = "0" * 64
 TRANSITIONS = [
     ("draft", "submitted"),
@@ -20,20 +22,41 @@ TRANSITIONS = [
 ]
 
 
+def canonical_json(value) -> str:
+    """Sorted, compact, ASCII."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"))
+
+
 def audit_hash(seq, at, actor, action, task, payload, prev) -> str:
-    fields = {"action": action, "actor": actor, "at": at, "payload": payload, "prev_hash": prev, "seq": seq, "task_slug": task}
-    return hashlib.sha256(json.dumps(fields, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    fields = {"action": action, "actor": actor, "at": at, "payload": payload, "prev": prev, "seq": seq, "task": task}
+    return hashlib.sha256(canonical_json(fields).encode()).hexdigest()
+
+
+AUDIT = "seq long, at string, actor string, action string, task_slug string, payload string, prev_hash string, row_hash string"
+
 
+def head(log: DataFrame) -> tuple[int, str]:
+    """(seq, row_hash) of the last entry; (0, GENESIS) of an empty log."""
+    last = log.agg(F.max(F.struct("seq", "row_hash")).alias("m")).first()["m"]
+    return (last["seq"], last["row_hash"]) if last else (0, GENESIS)
+
+
+def appended(entries: DataFrame, order: list[str], last: tuple[int, str] = (0, GENESIS)) -> DataFrame:
+    """entries(at, actor, action, task_slug, payload, ...) in order, chained behind the last entry. One chain is sequential by nature: one
+    task hashes it, a batch of rows at a time."""
+
+    def run(stream):
+        seq, prev = last
+        for batch in stream:
+            rows = []
+            for entry in zip(*(batch.column(c).to_pylist() for c in ("at", "actor", "action", "task_slug", "payload"))):
+                seq += 1
+                rows.append((seq, *entry, prev, audit_hash(seq, *entry, prev)))
+                prev = rows[-1][-1]
+            columns = list(zip(*rows)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], [f.split()[0] for f in AUDIT.split(", ")])
 
-def append_audit(spark: SparkSession, entries: list[tuple], head: tuple[int, str] = (0, GENESIS)) -> DataFrame:
-    """Chain entries (at, actor, action, task, payload) behind the head; creation is sequential by nature."""
-    seq, prev, rows = head[0], head[1], []
-    for at, actor, action, task, payload in entries:
-        seq += 1
-        digest = audit_hash(seq, at, actor, action, task, payload, prev)
-        rows.append((seq, at, actor, action, task, payload, prev, digest))
-        prev = digest
-    return spark.createDataFrame(rows, "seq long, at string, actor string, action string, task_slug string, payload string, prev_hash string, row_hash string")
+    return entries.repartition(1).sortWithinPartitions(*order).mapInArrow(run, AUDIT)
 
 
 def chained(entries: DataFrame, key: str, order: str) -> DataFrame:
@@ -80,10 +103,12 @@ def chain_faults(log: DataFrame, key: str | None = None, content_hash=None) -> D
 
 
 def chain_report(faults: DataFrame) -> DataFrame:
-    """One row: ok, entries sound before the first fault, first_bad_seq, reason."""
+    """One row: ok, entries sound before the first fault, the hash they end in, first_bad_seq, reason. Rows behind the first fault do not count."""
     first = F.min(F.when(F.col("reason").isNotNull(), F.struct("seq", "reason")))
-    one = faults.agg(first.alias("bad"), F.count("*").alias("n"))
-    return one.select(F.col("bad").isNull().alias("ok"), F.coalesce(F.col("bad.seq") - 1, F.col("n")).alias("entries"), F.col("bad.seq").alias("first_bad_seq"), F.col("bad.reason").alias("reason"))
+    bad = faults.agg(first.alias("bad"))
+    sound = faults.join(F.broadcast(bad), F.col("bad").isNull() | (F.col("seq") < F.col("bad.seq")), "right")
+    one = sound.groupBy("bad").agg(F.count("seq").alias("entries"), F.max(F.struct("seq", "row_hash")).alias("last"))
+    return one.select(F.col("bad").isNull().alias("ok"), "entries", F.coalesce("last.row_hash", F.lit(GENESIS)).alias("head"), F.col("bad.seq").alias("first_bad_seq"), F.col("bad.reason").alias("reason"))
 
 
 def illegal_transitions(log: DataFrame, key: str, order: list[str], status: str) -> DataFrame:
@@ -123,24 +148,35 @@ def collisions(held: DataFrame, new: DataFrame, key: str, near: DataFrame | None
     return out.select(key, "exact_owner", "id_owner", status.otherwise("ok").alias("status"))
 
 
-def registered(held: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
-    """batch(key, order, hash, id_key) as if registered one by one in `order` (ties by key): batch with owner and status.
+def registered(held: DataFrame, batch: DataFrame, key: str, order: str, near: DataFrame | None = None, near_pairs: DataFrame | None = None) -> DataFrame:
+    """batch(key, order, hash, id_key) as if registered one by one in `order` (ties by key): batch with status.
 
-    A row is registered if no held row has its hash or id_key and no row registered before it has either. Whether a row
-    before was registered depends on those before it, so rounds settle rows whose rivals are all settled; each round is a
-    window over hashes and one over ids, and settles at least the first row of every chain.
+    A row is registered if no held row has its hash or id_key, none of near(key) is it, and no row registered before it has either or is
+    similar to it (near_pairs(key, other), in either order). Whether a row before was registered depends on those before it, so rounds
+    settle rows whose rivals are all settled; each round is a window over hashes, one over ids and a join with the pairs, and settles at
+    least the first row of every chain.
     """
-    checked = batch.join(collisions(held, batch, key).select(key, "status"), key)
-    open_, done = checked.where("status = 'ok'").drop("status"), [checked.where("status <> 'ok'")]
-    won = None
+    checked = batch.join(collisions(held, batch, key, near).select(key, "status"), key)
+    checked = settled(checked)
+    done = [checked.where("status <> 'ok'")]
+    open_ = checked.where("status = 'ok'").drop("status")
+    place = F.struct(order, key)
+    before = None
+    if near_pairs is not None:  # (key, rival): rival comes first
+        ends = [batch.select(F.col(key).alias(name), place.alias(f"_{name}")) for name in (key, "rival")]
+        both = near_pairs.select(key, F.col("other").alias("rival")).union(near_pairs.select("other", key)).distinct()
+        before = settled(both.join(ends[0], key).join(ends[1], "rival").where(F.col("_rival") < F.col(f"_{key}")).select(key, "rival"))
     while not open_.isEmpty():
         first = {c: Window.partitionBy(c).orderBy(order, key) for c in ("hash", "id_key")}
-        ranked = open_.withColumn("_h", F.row_number().over(first["hash"])).withColumn("_i", F.row_number().over(first["id_key"]))
-        winners = ranked.where("_h = 1 and _i = 1").drop("_h", "_i").checkpoint()
-        won = winners if won is None else won.unionByName(winners)
+        ranked = open_.withColumn("_h", F.row_number().over(first["hash"])).withColumn("_i", F.row_number().over(first["id_key"])).where("_h = 1 and _i = 1").drop("_h", "_i")
+        if before is not None:
+            waits = before.join(open_.select(F.col(key).alias("rival")), "rival", "left_semi").select(key)
+            ranked = ranked.join(waits, key, "left_anti")
+        winners = settled(ranked)
         done.append(winners.withColumn("status", F.lit("registered")))
         left = open_.join(winners.select(key), key, "left_anti")
-        lost = left.join(collisions(winners, left, key).select(key, "status"), key).checkpoint()
+        similar = before.join(winners.select(F.col(key).alias("rival")), "rival", "left_semi").select(key) if before is not None else None
+        lost = settled(left.join(collisions(winners, left, key, similar).select(key, "status"), key))
         done.append(lost.where("status <> 'ok'"))
         open_ = lost.where("status = 'ok'").drop("status")
     out = done[0]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import minhash
 from ..functions.code_tokens import code_shingles
 from ..functions.text import words
+from .settled import settled
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, size: int = 3) -> DataFrame:
@@ -68,23 +69,13 @@ def similar(docs: DataFrame, key: str, text: str, threshold: float = 0.5, size:
 
 def collapsed(signed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """signed(key, signature) -> (entries(entry, signature), members(key, entry)): documents of equal signatures are one entry, named by
-    the smallest key, so that copies never meet each other in a bucket. Both are cut from their lineage if a checkpoint
-    folder is set."""
-    signed = _settled(signed)
+    the smallest key, so that copies never meet each other in a bucket."""
+    signed = settled(signed)
     entries = signed.groupBy("signature").agg(F.min(key).alias("entry"))
     members = signed.join(entries, "signature").select(key, "entry")
     return entries.select("entry", "signature"), members
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """df checkpointed where a folder for that is set, so that signatures are not made again for each use."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None and folder:
-        context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df
-
-
 def met(entries: DataFrame, n_bands: int, rows: int) -> DataFrame:
     """(a, b), a < b, of the entries that share a band's rows."""
     banded = entries.select("entry", F.explode(minhash.bands(F.col("signature"), n_bands, rows)).alias("bucket"))
@@ -146,3 +137,63 @@ def fingerprints(files: DataFrame, layout: DataFrame, n: int = minhash.PERMUTATI
     one = minhash.signatures(words_of, "bundle", "shingles", n, seed).withColumnRenamed("signature", "instruction")
     two = minhash.signatures(codes, "bundle", "shingles", n, seed).withColumnRenamed("signature", "solution")
     return one.join(two, "bundle")
+
+
+#: A ledger's buckets are always cut for this threshold, whatever is asked for later.
+LEDGER_THRESHOLD = 0.5
+
+
+def bucket_rows(prints: DataFrame, key: str, threshold: float = LEDGER_THRESHOLD) -> DataFrame:
+    """prints(key, instruction, solution) -> (key, bucket): the stored keys of all bands of both signatures, with i: or s: before them."""
+    kind = prints.schema[key].dataType.simpleString()
+
+    def run(stream):
+        for batch in stream:
+            names, out = batch.column(0).to_pylist(), []
+            for mark, column in (("i", batch.column(1)), ("s", batch.column(2))):
+                for name, signature in zip(names, column.to_pylist()):
+                    n_bands, rows = minhash.optimal_bands(threshold, len(signature)) if signature else (0, 0)
+                    out += [(name, f"{mark}:" + minhash.band_key(b, signature[b * rows : (b + 1) * rows])) for b in range(n_bands)]
+            columns = list(zip(*out)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.string())], [key, "bucket"])
+
+    return prints.select(key, "instruction", "solution").mapInArrow(run, f"{key} {kind}, bucket string")
+
+
+def matches(prints: DataFrame, index: DataFrame, threshold: float = 0.5, buckets: DataFrame | None = None) -> DataFrame:
+    """prints(key, instruction, solution) against index(key, instruction, solution) -> (key, other, instruction_similarity,
+    solution_similarity, similarity): entries of the index that share a bucket in either signature and reach the threshold by the
+    better of the two. Bands follow the threshold unless the index's buckets(key, bucket) are given. Two empty solutions are alike.
+    """
+    cut = threshold if buckets is None else LEDGER_THRESHOLD
+    held = bucket_rows(index, "key", cut) if buckets is None else buckets
+    pairs = bucket_rows(prints, "key", cut).join(held.select(F.col("key").alias("other"), "bucket"), "bucket").select("key", "other").distinct()
+    mine = prints.select("key", F.col("instruction").alias("i1"), F.col("solution").alias("s1"))
+    theirs = index.select(F.col("key").alias("other"), F.col("instruction").alias("i2"), F.col("solution").alias("s2"))
+    both = pairs.join(mine, "key").join(theirs, "other")
+    out = both.select("key", "other", minhash.estimate(F.col("i1"), F.col("i2")).alias("instruction_similarity"), minhash.estimate(F.col("s1"), F.col("s2")).alias("solution_similarity"))
+    return out.withColumn("similarity", F.greatest("instruction_similarity", "solution_similarity")).where(F.col("similarity") >= threshold)
+
+
+def ranked(found: DataFrame, key: str = "key") -> DataFrame:
+    """Matches with their rank within a key: by the better similarity, then by both together, then by name."""
+    order = Window.partitionBy(key).orderBy(F.desc("similarity"), F.desc(F.col("instruction_similarity") + F.col("solution_similarity")), "other")
+    return found.withColumn("rank", F.row_number().over(order))
+
+
+def added(index: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(index with those of new(key, ...) whose key is free, (key) of those that are refused: the index has it, or new has it twice)."""
+    twice = new.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    refused = new.select("key").join(index.select("key"), "key", "left_semi").union(twice).distinct()
+    return index.unionByName(new.join(refused, "key", "left_anti")), refused
+
+
+def similar_bundles(prints: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """prints(ordinal, key, instruction, solution) in the order given -> (a, b, instruction_similarity, solution_similarity, similarity):
+    each is compared with those before it. A key that comes again is compared with its own first one, and later ones not with it."""
+    firsts = prints.groupBy("key").agg(F.min_by(F.struct("ordinal", "instruction", "solution"), "ordinal").alias("f")).select(F.col("f.ordinal").alias("key"), F.col("key").alias("name"), "f.instruction", "f.solution")
+    later = prints.select(F.col("ordinal").alias("key"), F.col("key").alias("name"), "instruction", "solution")
+    found = matches(later, firsts, threshold).where("other < key")
+    names = lambda rows, of, to: rows.select(F.col("key").alias(of), F.col("name").alias(to))
+    out = found.join(names(firsts, "other", "a"), "other").join(names(later, "key", "b"), "key")
+    return out.select("a", "b", "instruction_similarity", "solution_similarity", "similarity")

@@ -32,11 +32,16 @@ def test_merkle_depth_links_and_conflicts(spark):
 
 
 def test_audit_chain_and_tampering(spark):
-    log = ledger.append_audit(spark, [(str(k), "me", "register", "t", "{}") for k in range(4)])
+    entries = spark.createDataFrame([(k, str(k), "me", "register", "t", "{}") for k in range(4)], "k int, at string, actor string, action string, task_slug string, payload string")
+    log = ledger.appended(entries.repartition(3), ["k"])
+    assert ledger.head(log) == (4, log.where("seq = 4").first().row_hash) and ledger.head(log.limit(0)) == (0, ledger.GENESIS)
     own = F.udf(lambda r: ledger.audit_hash(r.seq, r.at, r.actor, r.action, r.task_slug, r.payload, r.prev_hash))(F.struct("*"))
 
     def report(rows):
-        return tuple(ledger.chain_report(ledger.chain_faults(rows, content_hash=own)).first())
+        r = ledger.chain_report(ledger.chain_faults(rows, content_hash=own)).first()
+        heads = {x.seq: x.row_hash for x in log.collect()} | {0: ledger.GENESIS}
+        assert r["head"] == heads[r.entries]
+        return r.ok, r.entries, r.first_bad_seq, r.reason
 
     assert report(log) == (True, 4, None, None)
     assert report(log.withColumn("actor", F.when(F.col("seq") == 2, "you").otherwise(F.col("actor")))) == (False, 1, 2, "row edited")
