@@ -8,6 +8,8 @@ none.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WIDTH = 5
 _M = np.uint64
@@ -80,6 +82,20 @@ def shingle_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.
     return mix(out), offsets, words, at
 
 
+def slices(column: pa.Array, limit: int = 500_000):
+    """(from, to, texts) of parts of an Arrow column whose texts hold about `limit` bytes at most; a longer text is a part of its own.
+    Only a part's texts are Python strings at a time."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    start = total = 0
+    for k, n in enumerate(size):
+        if total and total + n > limit:
+            yield start, k, column[start:k].to_pylist()
+            start, total = k, 0
+        total += n + 1
+    if start < len(size):
+        yield start, len(size), column[start:].to_pylist()
+
+
 def batches(texts: list[str | None], limit: int = 500_000):
     """Slices of a list whose texts hold about `limit` characters at most; a longer text is a slice of its own."""
     start = size = 0

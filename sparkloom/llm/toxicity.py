@@ -11,21 +11,24 @@ kernel is an inner product over subsequences, the trained function is folded int
 so that scoring a word costs a lookup per subsequence whatever the number of landmarks; distinct words are scored once per
 worker while remembered.
 
-Across spaces. Two and three neighbouring words of at most JOINED characters together are described like one word too, without
-the spaces, which finds split insults and insults of several ordinary words. Their lengths count a subsequence that occurs
-in several places as several, so that all windows of a text are summed at once.
-
-Sentences. A sentence is as toxic as its worst word or window, a document as its worst sentence. Training knows documents'
-labels alone: each labelled bag's witness, the word that stands out most, is taken as the positive instance, words of
-other bags are negative, and witnesses are chosen anew by the machine for some rounds. A logistic curve over bags turns
-the margin into a probability. Windows have a second machine, so that what words say stays; its threshold lets ALARMS of
-the clean texts learnt from pass as toxic.
-
-Training sees at most TOXIC_SAMPLE and CLEAN_SAMPLE labelled documents, those with the smallest hashes of doc_id; scoring covers all texts whole.
+Across spaces. Two and three neighbouring words of a sentence of at most JOINED characters together are described like one word
+too, without the spaces, which finds split insults and insults of several ordinary words. Their lengths count a subsequence
+that occurs in several places as several, so that all windows of a batch of texts are summed at once.
+
+Sentences. A text is cut into sentences at line ends and behind stops that something else than a small letter follows. A
+sentence is as toxic as its worst word or window, a document as its worst sentence. Labels are documents': of a toxic one the
+sentence that holds its witness, the word or window that stands out most, is taken as the toxic sentence, all sentences of clean
+ones as clean, and witnesses are chosen anew by the machine for some rounds. A logistic curve over documents turns the margin
+into a probability. Windows have a second machine, so that what words say stays; its threshold lets ALARMS of the clean texts
+learnt from pass as toxic.
+
+Training sees at most TOXIC_SAMPLE and CLEAN_SAMPLE labelled documents, those with the smallest hashes of doc_id, and keeps at
+most NEGATIVES words of clean ones and HARD of those that come close; scoring covers all texts whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -35,21 +38,34 @@ from pyspark.sql import functions as F
 
 from .common import kept, labelled_sample, table, unused
 from .quality import fit_logistic
-from .shingles import batches
+from .shingles import _power, mix, slices
 
 GAP, DECAY, LENGTH = 2, 0.5, 24
 LANDMARKS = 400
 TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 4000
-REMEMBERED = 200_000
-JOINED, CHUNK, ALARMS = 48, 20_000, 0.005
+NEGATIVES, HARD = 12_000, 2000
+#: Slots of a worker's table of words.
+REMEMBERED = 1 << 19
+JOINED, ALARMS = 48, 0.005
+#: Words whose windows are looked at together in training.
+CHUNK = 20_000
+#: Characters of a longer text that are scored at a time.
+STRETCH = 2_000_000
 _SIZE = 64**3
 _EDGE = ".,;:!?\"'()[]{}#*$%&|<>~`^_-+=/\\@"
 _NONE = -2.0  # a text without words
+_STOP = re.compile(r"(?<=[.!?…])\s+(?=[^\sa-z])|[\n\x1e]+")
+
 
+def points(text: str) -> np.ndarray:
+    """Its code points."""
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
-def _code(ch: str) -> int:
-    n = ord(ch)
-    return n - 96 if 97 <= n <= 122 else 27 + n % 35
+
+def codes_of(chars: np.ndarray) -> np.ndarray:
+    """A number below 64 of each code point: small ASCII letters have their own, others share 35; 62 and 63 mark a word's edges."""
+    n = chars.astype(np.int32)
+    return np.where((n >= 97) & (n <= 122), n - 96, 27 + n % 35)
 
 
 def _offsets(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +75,6 @@ def _offsets(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 _places: dict[int, tuple] = {}
-_marks = {chr(n): _code(chr(n)) for n in range(0x3000)}
 
 
 def pieces(word: str) -> list[str]:
@@ -80,18 +95,13 @@ def subsequences(words: list[str]):
         for lo in range(0, len(own), 20_000):
             part = own[lo : lo + 20_000]
             text = "".join([words[x] for x in part])
-            codes = np.fromiter(map(_mark, text), np.int32, len(text)).reshape(len(part), n)
+            codes = codes_of(points(text)).reshape(len(part), n)
             framed = np.full((len(part), n + 2), 62, np.int32)
             framed[:, 1:-1] = codes
             framed[:, -1] = 63
             yield part, (framed[:, i] * 64 + framed[:, j]) * 64 + framed[:, k], weight
 
 
-def _mark(ch: str) -> int:
-    code = _marks.get(ch)
-    return _code(ch) if code is None else code
-
-
 def norms(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Lengths of the words' descriptions: the weights of a subsequence that occurs in several places add up."""
     out = np.full(len(codes), (weight**2).sum())
@@ -137,39 +147,60 @@ class Machine:
             out[own] = (self.weights[codes] @ weight) / norms(codes, weight) + self.bias
         return out
 
-    def best_joined(self, words: list[str]) -> tuple[float, str | None]:
-        """The greatest margin of two or three neighbouring words as one, and that window; (_NONE, None) if there is none."""
-        best = (_NONE, None)
-        for lo in range(0, len(words) - 1, CHUNK):
-            best = max(best, self._best_joined([w[: JOINED + 1] for w in words[lo : lo + CHUNK + 2]]), key=lambda x: x[0])
+    def best_joined(self, texts: list[Worded]) -> list[tuple[float, str | None]]:
+        """Of each text the greatest margin of two or three neighbouring words of a sentence as one, and that window; (_NONE, None) if there is none."""
+        best: list[tuple[float, str | None]] = []
+        held, words = [], 0
+        for worded in texts:
+            held.append(worded)
+            words += len(worded[0])
+            if words >= CHUNK:
+                best += self._best_joined(held)
+                held, words = [], 0
+        return best + self._best_joined(held)
+
+    def _best_joined(self, texts: list[Worded]) -> list[tuple[float, str | None]]:
+        words = [w for found, _ in texts for w in found]
+        owner = np.repeat(np.arange(len(texts)), np.array([len(found) for found, _ in texts], np.int64))
+        sentence = np.fromiter((n for _, numbers in texts for n in numbers), np.int64, len(words)) + (owner << 40)
+        joined = "".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        s, e, first, margin = self.windows(points(joined), ends - np.diff(ends, prepend=0), ends, sentence)
+        best: list[tuple[float, str | None]] = [(_NONE, None)] * len(texts)
+        order = np.lexsort((margin, owner[first]))
+        last = order[np.flatnonzero(np.append(np.diff(owner[first][order]) > 0, len(order) > 0))]
+        for k, m, a, b in zip(owner[first[last]].tolist(), margin[last].tolist(), s[last].tolist(), e[last].tolist()):
+            best[k] = (m, joined[a:b]) if m > _NONE else best[k]
         return best
 
-    def _best_joined(self, words: list[str]) -> tuple[float, str | None]:
-        text = "".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        starts = np.concatenate([[0], ends[:-1]])
-        s, e = np.concatenate([starts[:-1], starts[:-2]]), np.concatenate([ends[1:], ends[2:]])
-        length = e - s
-        short = {text[a:b] for a, b in zip(s[length < 4].tolist(), e[length < 4].tolist())}
-        best = max(((self._short(w), w) for w in short), default=(_NONE, None))
-        fits = (length >= 4) & (length <= JOINED)
-        if not fits.any():
-            return best
-        s, e, length = s[fits], e[fits], length[fits]
-        c = np.zeros(len(text) + 4, np.int64)
-        c[: len(text)] = np.fromiter(map(_mark, text), np.int64, len(text))
-        n, table, total = len(text), self.weights, np.zeros(len(s))
+    def windows(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words lie one behind the other in chars, each in a sentence: (start, end, first word, margin) of all windows."""
+        two, three = np.flatnonzero(sentence[1:] == sentence[:-1]), np.flatnonzero(sentence[2:] == sentence[:-2])
+        s, e, first = np.concatenate([starts[two], starts[three]]), np.concatenate([ends[two + 1], ends[three + 2]]), np.concatenate([two, three])
+        fits = np.flatnonzero(e - s <= JOINED)
+        s, e, first = s[fits], e[fits], first[fits]
+        length, margin = e - s, np.empty(len(s))
+        small = np.flatnonzero(length < 4)
+        padded = np.append(chars, np.zeros(3, chars.dtype)).astype(np.int64)
+        packed = sum(np.where(length[small] > k, padded[s[small] + k], 0) << 21 * k for k in range(3))
+        once, where = np.unique(packed, return_inverse=True)
+        margin[small] = np.array([self._short("".join(chr(n >> 21 * k & 0x1FFFFF) for k in range(3) if n >> 21 * k)) for n in once.tolist()])[where]
+        large = np.flatnonzero(length >= 4)
+        margin[large] = self._sums(codes_of(chars), s[large], e[large]) / _LENGTHS[length[large]] + self.bias
+        return s, e, first, margin
+
+    def _sums(self, codes: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Sums of the weights of all subsequences of [s, e) with marks at its edges, four characters at least, by running sums over the text."""
+        n, table, total = len(codes), self.weights, np.zeros(len(s))
+        c = np.concatenate([codes, np.zeros(4, codes.dtype)])
         for d in range(2, 3 + GAP):
-            weight = DECAY ** (d - 2)
             inner = sum(table[(c[:n] * 64 + c[j : n + j]) * 64 + c[d : n + d]] for j in range(1, d))
             run = np.concatenate([[0.0], np.cumsum(inner)])
             part = run[np.maximum(e - d, s)] - run[s]
             for j in range(1, d):
                 part += table[(62 * 64 + c[s + j - 1]) * 64 + c[s + d - 1]] + table[(c[e - d] * 64 + c[e - d + j]) * 64 + 63]
-            total += weight * part
-        margin = total / _LENGTHS[length] + self.bias
-        top = int(np.argmax(margin))
-        return max(best, (float(margin[top]), text[s[top] : e[top]]), key=lambda x: x[0])
+            total += DECAY ** (d - 2) * part
+        return total
 
     def _short(self, word: str) -> float:
         if word not in self.short:
@@ -182,24 +213,42 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
+#: Words of a text in order, and the number of the sentence of each.
+Worded = tuple[list[str], list[int]]
+
+
+def sentences(text: str | None) -> list[str]:
+    """A text's sentences in order, as they are; blank ones are none."""
+    return [part for part in _STOP.split(text or "") if part.strip()]
+
+
+def read(text: str | None) -> Worded:
+    """Words split at white space, in small letters, by sentence."""
+    words: list[str] = []
+    numbers: list[int] = []
+    for k, part in enumerate(_STOP.split(text or "")):
+        found = part.lower().split()
+        words += found
+        numbers += [k] * len(found)
+    return words, numbers
+
+
 def words_of(text: str | None) -> list[str]:
-    """Words of a text in order: split at white space, bared of punctuation at the edges, lone characters in a row joined too."""
-    if not text:
-        return []
-    found = text.lower().split()
+    """Words of a text in order, and behind them lone characters in a row as words of their own."""
+    return _with_lone(read(text)[0])
+
+
+def _with_lone(found: list[str]) -> list[str]:
+    if not _has_lone_run(found):
+        return found
     lone, joined = [], []
-    if "  " not in text and sum(map(len, found)) > 1.5 * len(found) and not _has_lone_run(found):
-        pass
-    else:
-        for w in found:
-            if len(w) == 1:
-                lone.append(w)
-            else:
-                if len(lone) > 2:
-                    joined.append("".join(lone))
-                lone = []
-        if len(lone) > 2:
-            joined.append("".join(lone))
+    for w in [*found, "  "]:
+        if len(w) == 1:
+            lone.append(w)
+        else:
+            if len(lone) > 2:
+                joined.append("".join(lone))
+            lone = []
     return found + joined
 
 
@@ -212,14 +261,17 @@ def bared(word: str) -> str:
     return word.strip(_EDGE) or word
 
 
-def neighbours(text: str | None, known: dict[str, str] | None = None) -> list[str]:
-    """Bared words of a text in order, each once in memory if `known` is given."""
-    found = map(bared, (text or "").lower().split())
-    return list(found) if known is None else [known.setdefault(w, w) for w in found]
+def neighbours(text: str | None, known: dict[str, str] | None = None) -> Worded:
+    """Words in order without marks at their edges, each once in memory if `known` is given."""
+    found, numbers = read(text)
+    bare = map(bared, found)
+    return list(bare) if known is None else [known.setdefault(w, w) for w in bare], numbers
 
 
-def _windows(words: list[str]) -> set[str]:
-    joined = {a + b for a, b in zip(words, words[1:])} | {a + b + c for a, b, c in zip(words, words[1:], words[2:])}
+def _windows(worded: Worded) -> set[str]:
+    words, numbers = worded
+    joined = {a + b for a, b, m, n in zip(words, words[1:], numbers, numbers[1:]) if m == n}
+    joined |= {a + b + c for a, b, c, m, n in zip(words, words[1:], words[2:], numbers, numbers[2:]) if m == n}
     return {w for w in joined if len(w) <= JOINED}
 
 
@@ -248,6 +300,15 @@ def _kernel(words: list[str], where: np.ndarray, matrix: np.ndarray) -> np.ndarr
     return out
 
 
+def nystroem(marks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where, matrix, map): _kernel(words, where, matrix) @ map describes words by numbers whose inner products are the kernel, exactly so
+    if one of the two words is a landmark."""
+    where, matrix = _kernel_columns(marks)
+    values, vectors = np.linalg.eigh(_kernel(marks, where, matrix))
+    good = values > 1e-6 * values.max()
+    return where, matrix, vectors[:, good] / np.sqrt(values[good])
+
+
 def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Squared hinge loss by Newton steps; the last weight is the bias. y is 1 or -1."""
     z = np.hstack([z, np.ones((len(z), 1))])
@@ -264,7 +325,7 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1.0, r
     return w
 
 
-def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 5) -> Machine:
+def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 5, negatives: int = NEGATIVES, most_hard: int = HARD) -> Machine:
     """A machine from whole texts of either label. Without texts of both labels every document scores 0.5 or what its one label says."""
     bags = [sorted({p for w in words_of(t) for p in pieces(bared(w))}) for t in toxic]
     others = [sorted({p for w in words_of(t) for p in pieces(bared(w))}) for t in clean]
@@ -281,25 +342,22 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds
         positive = Counter(w for w in witness if w is not None) or Counter(b[0] for b in bags if b)
     vocabulary = sorted(inside.keys() | outside.keys())
     pool = sorted(w for w in outside if w not in positive)
-    pool = [pool[k] for k in rng.permutation(len(pool))[:12_000]]
+    pool = [pool[k] for k in rng.permutation(len(pool))[:negatives]]
     hard: list[str] = []
 
     def fitted() -> tuple[np.ndarray, float]:
         chosen = [w for w, _ in positive.most_common(landmarks // 2)]
         marks = chosen + hard[: landmarks // 4] + pool[: landmarks - len(chosen) - min(len(hard), landmarks // 4)]
         marks = list(dict.fromkeys(marks))
-        where, matrix = _kernel_columns(marks)
-        values, vectors = np.linalg.eigh(_kernel(marks, where, matrix))
-        good = values > 1e-6 * values.max()
-        nystroem = vectors[:, good] / np.sqrt(values[good])
+        where, matrix, onto = nystroem(marks)
         negative = list(dict.fromkeys(hard + pool))
         words = [*positive, *negative]
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         counts = np.sqrt(np.array([*positive.values()], float))
         cost = np.concatenate([counts / counts.sum() * len(words) / 2, np.full(len(negative), 0.5 * len(words) / max(1, len(negative)))])
-        w = _svm(_kernel(words, where, matrix) @ nystroem, y, cost)
+        w = _svm(_kernel(words, where, matrix) @ onto, y, cost)
         weights = np.zeros(_SIZE)
-        weights[where > 0] = (matrix @ (nystroem @ w[:-1]))[where[where > 0]]
+        weights[where > 0] = (matrix @ (onto @ w[:-1]))[where[where > 0]]
         return weights, w[-1]
 
     for _ in range(rounds):
@@ -310,7 +368,7 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds
         fresh = Counter(word for m, word in best if word is not None and (m > 0 or stands_out(word) > least))
         if fresh:
             positive = fresh
-        hard = [word for m, word in sorted(worst, key=lambda x: (-x[0], x[1] or "")) if word is not None and m > -0.5 and word not in positive][:2000]
+        hard = [word for m, word in sorted(worst, key=lambda x: (-x[0], x[1] or "")) if word is not None and m > -0.5 and word not in positive][:most_hard]
         hard = list(dict.fromkeys(hard))
     slope, shift = _curve([m for m, _ in best], [m for m, _ in worst])
     machine = Machine(machine.weights, machine.bias, slope, shift)
@@ -330,14 +388,14 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds
     if not positive:
         return machine
     beside = sorted({w for o in other_order for w in rng.permutation(sorted(_windows(o)))[:4].tolist()} - positive.keys())
-    hard, pool = [w for w in hard if w not in positive], pool[:6_000] + [beside[k] for k in rng.permutation(len(beside))[:6_000]]
+    hard, pool = [w for w in hard if w not in positive], pool[: negatives // 2] + [beside[k] for k in rng.permutation(len(beside))[: negatives // 2]]
     for _ in range(rounds):
         joined = Machine(*fitted())
-        worst = [joined.best_joined(o) for o in other_order]
-        hard = list(dict.fromkeys(hard + [w for m, w in sorted(worst, key=lambda x: (-x[0], x[1] or "")) if w is not None and m > -0.5 and w not in positive]))[:4000]
+        worst = joined.best_joined(other_order)
+        hard = list(dict.fromkeys(hard + [w for m, w in sorted(worst, key=lambda x: (-x[0], x[1] or "")) if w is not None and m > -0.5 and w not in positive]))[: 2 * most_hard]
     # The windows of few clean texts may count as toxic.
     alarms = [m for m, _ in worst]
-    joined.slope, joined.shift = _curve([joined.best_joined(o)[0] for o in order], alarms)
+    joined.slope, joined.shift = _curve([m for m, _ in joined.best_joined(order)], alarms)
     joined.shift = min(joined.shift, -joined.slope * float(np.quantile(alarms, 1 - ALARMS) + 1e-6))
     machine.joined = joined
     return machine
@@ -357,32 +415,100 @@ def _best(margins: dict[str, float], words: list[str]) -> tuple[float, str | Non
     return (_NONE, None) if word is None else (margins[word], word)
 
 
+_SPACE = np.array([chr(n).isspace() for n in range(0x3001)] + [False])
+_EDGES = np.zeros(len(_SPACE), bool)
+_EDGES[[ord(c) for c in _EDGE]] = True
+
+
 class Scorer:
-    """Texts -> probabilities, remembering words in two generations."""
+    """Texts -> probabilities, in arrays over a batch. Margins of words are remembered in a table of fixed size, by their hashes."""
 
-    def __init__(self, machine: Machine):
-        self.machine, self.young, self.old = machine, {}, {}
+    def __init__(self, machine: Machine, slots: int = REMEMBERED):
+        self.machine = machine
+        self.shift = np.uint64(64 - (slots.bit_length() - 1))
+        self.known, self.margin = np.zeros(slots, np.uint64), np.zeros(slots)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        found = [set(words_of(t)) for t in texts]
-        unknown = set().union(*found).difference(self.young)
-        if len(self.young) + len(unknown) > REMEMBERED:
-            self.old, self.young = self.young, {}
-            unknown = set().union(*found)
-        known = self.old.keys() & unknown
-        self.young.update((w, self.old[w]) for w in known)
-        fresh = sorted(unknown - known)
-        if fresh:
-            self.young.update(zip(fresh, self.machine.margins([bared(w) for w in fresh]).tolist()))
-        margin = [max(map(self.young.__getitem__, words)) if words else _NONE for words in found]
-        for w in fresh:
-            if len(w) > 64:
-                del self.young[w]
-        score = self.machine.probability(np.clip(np.array(margin, float), -3, 3))
+        parts = [(k, part) for k, t in enumerate(texts) for part in ([t] if len(t or "") <= STRETCH else _stretches(t))]
+        out = np.zeros(len(texts))
+        np.maximum.at(out, [k for k, _ in parts], self._scored([part for _, part in parts]))
+        return out
+
+    def _scored(self, texts: list[str | None]) -> np.ndarray:
+        """Texts are parted by \\x1d and sentences by \\x1e, which are white space like others."""
+        raw = "\x1d".join(_STOP.sub("\x1e", t.replace("\x1d", " ")) if t else "" for t in texts).lower()
+        chars = points(raw)
+        small = np.minimum(chars, len(_SPACE) - 1)
+        inside = np.zeros(len(chars) + 2, bool)
+        inside[1:-1] = ~_SPACE[small]
+        flips = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = flips[0::2], flips[1::2]
+        owner = np.searchsorted(np.flatnonzero(chars == 0x1D), starts)
+        best = np.full(len(texts), _NONE)
+        best[owner] = -np.inf
+        np.maximum.at(best, owner, self._words(raw, chars, starts, ends))
+        for k, more in self._lone(raw, starts, ends, owner):
+            best[k] = max(best[k], float(self.machine.margins(more).max()))
+        score = self.machine.probability(best)
         joined = self.machine.joined
-        if joined is None:
+        if joined is None or not len(starts):
             return score
-        return np.maximum(score, joined.probability(np.clip([joined.best_joined(neighbours(t))[0] for t in texts], -3, 3)))
+        solid = np.flatnonzero(inside[1:-1] & ~_EDGES[small])
+        i, j = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
+        bare = np.flatnonzero(j >= i)
+        starts[bare], ends[bare] = solid[i[bare]], solid[j[bare]] + 1
+        size = ends - starts
+        stops = np.cumsum(size)
+        close = chars[np.repeat(starts - (stops - size), size) + np.arange(stops[-1])]
+        sentence = np.searchsorted(np.flatnonzero((chars == 0x1D) | (chars == 0x1E)), starts)
+        _, _, first, margin = joined.windows(close, stops - size, stops, sentence)
+        best = np.full(len(texts), _NONE)
+        np.maximum.at(best, owner[first], margin)
+        return np.maximum(score, joined.probability(best))
+
+    def _words(self, raw: str, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        up, down = _power(len(chars) + 1)
+        prefix = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum((chars.astype(np.uint64) + np.uint64(0x9E3779B9)) * up[: len(chars)], out=prefix[1:])
+        hashes = mix((prefix[ends] - prefix[starts]) * down[starts]) | np.uint64(1)
+        slot = (hashes >> self.shift).astype(np.int64)
+        margin = self.margin[slot]
+        lost = np.flatnonzero(self.known[slot] != hashes)
+        if len(lost):
+            _, at, group = np.unique(hashes[lost], return_index=True, return_inverse=True)
+            at = lost[at]
+            fresh = self.machine.margins([bared(raw[a:b]) for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            margin[lost] = fresh[group]
+            self.known[slot[at]], self.margin[slot[at]] = self._settled(slot[at], hashes[at], fresh)
+        return margin
+
+    @staticmethod
+    def _settled(slot: np.ndarray, hashes: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of words that share a slot the first is kept, in both arrays."""
+        _, first, group = np.unique(slot, return_index=True, return_inverse=True)
+        return hashes[first][group], fresh[first][group]
+
+    @staticmethod
+    def _lone(raw: str, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray):
+        """(text, words) of the texts that have three lone characters in a row."""
+        one = ends - starts == 1
+        row = one[:-2] & one[1:-1] & one[2:] & (owner[:-2] == owner[2:])
+        for k in np.unique(owner[:-2][row]).tolist():
+            found = [raw[a:b] for a, b in zip(*(x[slice(*np.searchsorted(owner, (k, k + 1)))].tolist() for x in (starts, ends)))]
+            yield k, [bared(w) for w in _with_lone(found)[len(found) :]]
+
+
+def _stretches(text: str):
+    """A long text in parts that end between words and share two of them."""
+    at = 0
+    while at < len(text):
+        stop = at + STRETCH
+        while stop < len(text) and not text[stop].isspace():
+            stop += 1
+        part = text[at:stop]
+        yield part
+        kept_ = part.rsplit(None, 2)[0] if stop < len(text) else part
+        at = at + len(kept_) if stop < len(text) and 0 < len(kept_) < len(part) else stop
 
 
 def _packed(machine: Machine) -> tuple:
@@ -400,8 +526,7 @@ def _scored(packed: tuple, key: str, name: str):
     def run(stream):
         scorer = kept(("scorer", key), lambda: Scorer(_unpacked(packed)))
         for batch in stream:
-            texts = batch.column("text").to_pylist()
-            score = [scorer(texts[lo:hi]) for lo, hi in batches(texts)]
+            score = [scorer(texts) for _, _, texts in slices(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(score) if score else np.zeros(0))], names=[*batch.schema.names, name])
 
     return run
@@ -426,7 +551,7 @@ def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame
 
     Null, empty and blank texts have the score of a text without words. A doc_id with several labels counts as toxic if
     one says so. Null doc_ids are scored, not learnt from. Repeated rows score alike; an empty table gives none. A column
-    of docs that is called `name` is replaced.
+    of docs that is called `name` is replaced. Very long texts are scored whole; texts whose worst words are equal tie.
     """
     docs = docs.drop(name)
     return _scored_by(trained(docs, labels), docs, name)
@@ -440,13 +565,44 @@ def _scored_by(machine: Machine, docs: DataFrame, name: str) -> DataFrame:
     return docs.mapInArrow(_scored(packed, uuid.uuid4().hex, name), full)
 
 
+def toxic_sentences(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, sentence_no, sentence, sentence_score) of the sentences that score one half or more; numbers
+    count from 0 in the text, blank sentences too.
+
+    Null, empty and blank texts have none. Repeated rows give their sentences each time; null doc_ids are kept. Very long texts are cut
+    like others. Other columns are ignored. Without usable labels, and of an empty table, there are none.
+    """
+    import uuid
+
+    machine = trained(docs, labels)
+    packed, key = _packed(machine), uuid.uuid4().hex
+
+    def run(stream):
+        scorer = kept(("scorer", key), lambda: Scorer(_unpacked(packed)))
+        for batch in stream:
+            ids = batch.column(0).to_pylist()
+            for lo, hi, texts in slices(batch.column(1)):
+                parts = [(i, k, part) for i, text in zip(ids[lo:hi], texts) for k, part in enumerate(_STOP.split(text or "")) if part.strip()]
+                score = scorer([part for *_, part in parts]) if parts else np.zeros(0)
+                found = [(*parts[n], float(score[n])) for n in np.flatnonzero(score >= 0.5)]
+                yield pa.RecordBatch.from_pylist([dict(zip(out.names, row)) for row in found], schema=out)
+
+    out = pa.schema([("doc_id", pa.int64()), ("sentence_no", pa.int32()), ("sentence", pa.string()), ("sentence_score", pa.float64())])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return (rows.limit(0) if machine.unlearnt else rows).mapInArrow(run, "doc_id long, sentence_no int, sentence string, sentence_score double")
+
+
 def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", _held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def harmless_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score below one half, with their columns, whatever those are named; all rows if no label is usable."""
+    """The rows of docs that score below one half, with their columns, whatever those are named; all rows if no label is usable.
+
+    Null, empty and blank texts stay, and so do null doc_ids of harmless texts. Repeated rows stay or go together; a text that scores
+    exactly one half goes. Very long texts are scored whole. An empty table gives none.
+    """
     (name,) = unused(docs, "score")
     machine = trained(docs, labels)
     if machine.unlearnt:

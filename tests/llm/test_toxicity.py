@@ -1,8 +1,10 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 
-from sparkloom.llm.toxicity import Machine, Scorer, harmless_documents, op9_string_kernel, scored, train
+from sparkloom.llm import toxicity
+from sparkloom.llm.toxicity import DECAY, GAP, Machine, Scorer, _kernel, _kernel_columns, _svm, codes_of, harmless_documents, nystroem, op9_string_kernel, points, read, scored, sentences, toxic_sentences, train
 
 SF = "/root/testdata/sf0.1"  # smaller tables have too few toxic labels to learn or to measure by
 
@@ -62,11 +64,108 @@ def test_insults_of_ordinary_words_score_high():
 def test_windows_equal_words():
     rng = np.random.default_rng(3)
     machine = Machine(rng.normal(size=64**3), 0.25)
-    for words in (["du", "mb"], ["a", "b"], ["abc", "d"], ["stu", "p", "id"]):
-        joined = {"".join(words[i:j]) for i in range(len(words)) for j in range(i + 2, len(words) + 1)}
-        margins = dict(zip(sorted(joined), machine.margins(sorted(joined))))
-        margin, word = machine.best_joined(words)
-        assert abs(margin - max(margins.values())) < 1e-9 and margins[word] == max(margins.values())
+    texts = [["du", "mb"], ["a", "b"], ["abc", "d"], ["stu", "p", "id"], [], ["lone"], ["x" * 60, "y"], ["é", "漢字", "q" * 30]]
+    got = machine.best_joined([(words, [0] * len(words)) for words in texts])
+    for words, (margin, word) in zip(texts, got):
+        joined = {w for i in range(len(words)) for j in (i + 2, i + 3) if j <= len(words) and len(w := "".join(words[i:j])) <= 48}
+        if not joined:
+            assert (margin, word) == (-2.0, None)
+            continue
+        # A window's length counts a subsequence in several places as several; short ones are told as words.
+        plain = {w: (machine.margins([w])[0] if len(w) < 4 else (sum(v * machine.weights[c] for c, v in places(w)) / np.sqrt(sum(v * v for _, v in places(w))) + machine.bias)) for w in joined}
+        assert abs(margin - max(plain.values())) < 1e-9 and plain[word] == max(plain.values())
+
+
+def test_windows_stay_inside_sentences():
+    machine = Machine(np.zeros(64**3), 1.0)
+    words, numbers = ["ab", "cd", "ef", "gh"], [0, 0, 1, 1]
+    assert machine.best_joined([(words, numbers)])[0][1] in ("abcd", "efgh")
+    machine.weights[codes_of(points("def")) @ [4096, 64, 1]] = 5.0
+    assert machine.best_joined([(words, numbers)])[0][0] == 1.0 and machine.best_joined([(words, [0] * 4)])[0][0] > 1.0
+    text = "One thing. two id. iot! Next one?\nthe last.  "
+    assert sentences(text) == ["One thing. two id. iot!", "Next one?", "the last.  "]
+    assert read(text) == ("one thing. two id. iot! next one? the last.".split(), [0, 0, 0, 0, 0, 1, 1, 2, 2])
+    assert sentences(None) == sentences(" \n ") == [] and read(None) == ([], [])
+
+
+def places(word):
+    """(code, weight) of each subsequence of three characters of a marked word, by loops."""
+    c = [62, *(ord(x) - 96 if "a" <= x <= "z" else 27 + ord(x) % 35 for x in word), 63]
+    n = len(c)
+    return [((c[i] * 64 + c[j]) * 64 + c[k], DECAY ** (k - i - 2)) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, min(n, i + 3 + GAP))]
+
+
+def described(word):
+    out = Counter()
+    for code, value in places(word):
+        out[code] += value
+    size = sum(v * v for v in out.values()) ** 0.5
+    return {code: v / size for code, v in out.items()}
+
+
+WORDS = ["a", "ab", "aaaaaaa", "banana", "insult", "in-sult", "inssult", "nsult", "über", "漢字かな", "x" * 24, "abababababab", "sultin"]
+
+
+def test_kernel_equals_a_plain_sum_over_subsequences():
+    plain = [described(w) for w in WORDS]
+    gram = np.array([[sum(v * b.get(code, 0.0) for code, v in a.items()) for b in plain] for a in plain])
+    assert np.allclose(_kernel(WORDS, *_kernel_columns(WORDS)), gram, atol=1e-12) and np.allclose(np.diag(gram), 1)
+    some = WORDS[3:8]
+    assert np.allclose(_kernel(WORDS, *_kernel_columns(some)), gram[:, 3:8], atol=1e-12)
+    assert gram[4, 6] > gram[4, 3] and gram[4, 5] > gram[4, 12]  # gaps and inserted characters stay near
+
+
+def test_nystroem_keeps_the_kernel_with_landmarks():
+    gram = _kernel(WORDS, *_kernel_columns(WORDS))
+    marks = WORDS[2:9]
+    where, matrix, onto = nystroem(marks)
+    z = _kernel(WORDS, where, matrix) @ onto
+    assert np.allclose(z @ z[2:9].T, gram[:, 2:9], atol=1e-6)
+    others = np.linalg.pinv(gram[2:9, 2:9])
+    assert np.allclose(z @ z.T, gram[:, 2:9] @ others @ gram[2:9], atol=1e-6)
+
+
+def test_svm_is_at_its_minimum():
+    rng = np.random.default_rng(2)
+    z, y, cost = rng.normal(size=(60, 5)), rng.choice([-1.0, 1.0], 60), rng.uniform(0.5, 2, 60)
+    w = _svm(z, y, cost)
+    x = np.hstack([z, np.ones((60, 1))])
+    ridge = np.array([1.0] * 5 + [1e-3])
+    loss = lambda v: (cost * np.maximum(0, 1 - y * (x @ v)) ** 2).sum() + (ridge * v * v).sum()
+    assert all(loss(w) <= loss(w + 1e-3 * rng.normal(size=6)) for _ in range(50))
+
+
+def test_folded_weights_equal_the_machine_over_landmarks():
+    """A word's margin by the table is that of its Nyström numbers."""
+    toxic, clean = [f"blorgface {t}" for t in CLEAN], CLEAN * 2
+    seen = {}
+    known, own = toxicity._svm, toxicity.nystroem
+    try:
+        toxicity.nystroem = lambda marks: seen.setdefault("maps", []).append(own(marks)) or seen["maps"][-1]
+        toxicity._svm = lambda *a: seen.setdefault("w", []).append(known(*a)) or seen["w"][-1]
+        machine = train(toxic, clean)
+    finally:
+        toxicity._svm, toxicity.nystroem = known, own
+    k = len(seen["w"]) - 1 if machine.joined is None else len(seen["w"]) // 2 - 1
+    (where, matrix, onto), w = seen["maps"][k], seen["w"][k]
+    assert np.allclose(machine.margins(WORDS), _kernel(WORDS, where, matrix) @ onto @ w[:-1] + w[-1], atol=1e-9)
+
+
+def test_the_most_toxic_texts_do_not_tie():
+    machine = train([f"blorgface {t}" for t in CLEAN], CLEAN * 2)
+    strong = Machine(machine.weights * 4, machine.bias)
+    assert len(set(Scorer(strong)(["blorgface", "blorgfaces", "blor-gface"]).tolist())) == 3
+
+
+def test_toxic_sentences(spark):
+    docs, rows = awkward(spark)
+    labels = spark.createDataFrame([(k, 0) for k in range(30)] + [(100 + k, 1) for k in range(30)], "doc_id long, toxic int")
+    more = docs.union(spark.createDataFrame([(300, "All is well here. Blorgface you are!\nnothing more", "x", 1.0)], docs.schema))
+    got = toxic_sentences(more, labels)
+    assert got.columns == ["doc_id", "sentence_no", "sentence", "sentence_score"]
+    found = [tuple(r)[:3] for r in got.where("doc_id = 300").collect()]
+    assert found == [(300, 1, "Blorgface you are!")]
+    assert {r.doc_id for r in got.collect()} == {*range(100, 130), None, 203, 204, 300}
 
 
 def awkward(spark):
