@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, discard, sized_broadcast, staged, table
 from .components import connected_components
-from .shingles import batches, mix, shingle_hashes
+from .shingles import mix, shingle_hashes, slices
 
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
@@ -130,14 +130,14 @@ _SIGNED = "doc_id long, copy_key binary, n_shingles long, bands array<long>"
 def _sign(stream):
     """copy_key: equal for texts with equal words, or equal texts if they have none; null for blank texts. bands: empty without words."""
     for batch in stream:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for lo, hi in batches(texts):
-            shingles, offsets, words, at = shingle_hashes(texts[lo:hi])
+        ids = batch.column(0)
+        for lo, hi, texts in slices(batch.column(1)):
+            shingles, offsets, words, at = shingle_hashes(texts)
             keys = band_keys(signatures(*multisets(shingles, offsets), hi - lo))
             n = np.diff(offsets)
             copies = [hashlib.md5(words[a:b].tobytes()).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             for k in np.flatnonzero(n == 0).tolist():
-                text = texts[lo + k]
+                text = texts[k]
                 copies[k] = hashlib.md5(b"\0" + text.encode()).digest() if text and text.strip() else None
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]), pa.int32()), pa.array(keys[n > 0].ravel()))
             yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(copies, pa.binary()), pa.array(n, pa.int64()), lists], ["doc_id", "copy_key", "n_shingles", "bands"])
@@ -149,11 +149,11 @@ _FINE = "node long, bands array<long>, " + ", ".join(f"s{k} long" for k in range
 def _sketch(stream):
     """Fine sketches: one bit of each of 64 * FINE_WORDS slots. Bits of two texts differ with probability (1 - similarity) / 2."""
     for batch in stream:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for start, stop in batches(texts, 500_000):
+        ids = batch.column(0)
+        for start, stop, texts in slices(batch.column(1)):
             for lo in range(start, stop, 500):
                 hi = min(stop, lo + 500)
-                shingles, offsets, _, _ = shingle_hashes(texts[lo:hi])
+                shingles, offsets, _, _ = shingle_hashes(texts[lo - start : hi - start])
                 bag = multisets(shingles, offsets)
                 bits = (signatures(*bag, hi - lo, 64 * FINE_WORDS) & 1).astype(np.uint8)
                 words = np.packbits(bits, axis=1).view(np.int64)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import kept
 from .encoding import Encoder, Ids, spaced
-from .shingles import batches
+from .shingles import slices
 
 #: Ids that are decoded at a time.
 DECODED = 1 << 20
@@ -168,10 +168,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     def run(stream):
         coder = codec(path, pattern)
         for batch in stream:
-            texts = batch.column(len(others)).to_pylist()
-            for lo, hi in batches(texts):
+            for lo, hi, texts in slices(batch.column(len(others))):
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(coder.encode(texts[lo:hi]), pa.binary())], [*others, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(coder.encode(texts), pa.binary())], [*others, "ids"])
 
     return docs.select(*others, text).mapInArrow(run, schema)
 

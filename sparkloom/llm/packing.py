@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import sized_broadcast, staged, table
 from .encoding import library_encoder, spaced
-from .shingles import batches
+from .shingles import slices
 
 CAPACITY = 1024
 
@@ -75,10 +75,10 @@ def _cut(encode: Callable[[], Callable[[list], list[bytes]]], end_id: int | None
         coder, task = encode(), TaskContext.get().partitionId()
         ranks: dict[int, int] = defaultdict(int)
         for batch in stream:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in batches(texts):
+            ids = batch.column(0).to_pylist()
+            for lo, hi, texts in slices(batch.column(1)):
                 out = []
-                for doc_id, raw in zip(ids[lo:hi], coder(texts[lo:hi])):
+                for doc_id, raw in zip(ids[lo:hi], coder(texts)):
                     raw += end
                     n = len(raw) // 4
                     for start in range(0, n, capacity):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, open_file, table, write_file
 from .encoding import library_encoder, separated
-from .shingles import batches
+from .shingles import slices
 
 MAGIC = b"PLN1"
 CHUNK_IDS = 1 << 16
@@ -146,9 +146,9 @@ def write_shards(docs: DataFrame, folder: str, encode: Callable[[], Callable[[li
 
         def documents():
             for batch in stream:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for lo, hi in batches(texts):
-                    for doc_id, raw in zip(ids[lo:hi], coder(texts[lo:hi])):
+                ids = batch.column(0).to_pylist()
+                for lo, hi, texts in slices(batch.column(1)):
+                    for doc_id, raw in zip(ids[lo:hi], coder(texts)):
                         yield doc_id, raw + end
 
         rows = documents()

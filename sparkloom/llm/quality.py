@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import labelled_sample, sized_broadcast, staged, table, unused
-from .shingles import batches, word_hashes
+from .shingles import batches, slices, word_hashes
 
 SAMPLE = 10_000
 LEAST, MOST = 1.0, 1e4
@@ -86,7 +86,8 @@ def _evidence(model, name: str = "_own", text: str = "text"):
 
     def run(stream):
         for batch in stream:
-            x = (features(batch.column(text).to_pylist()) - mean) / scale
+            parts = [features(texts) for _, _, texts in slices(batch.column(text))]
+            x = (np.concatenate(parts) - mean) / scale if parts else np.zeros((0, N_FEATURES))
             p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
 
