@@ -74,25 +74,22 @@ def tags_ok(tags: Column) -> Column:
     return (F.size(tags) <= 16) & (F.size(F.array_distinct(tags)) == F.size(tags)) & F.forall(tags, lambda t: is_slug(t, 2, 32))
 
 
+_AS_DOMAIN = r"(?:localhost/|[^/@]*[.:][^/@]*/)"
+IMAGE = (
+    rf"^(?=[^@]{{1,{IMAGE_NAME}}}?(?::[^:/@]*)?(?:@.*)?$)(?:(?={_AS_DOMAIN})({IMAGE_DOMAIN[1:-1]})/|(?!{_AS_DOMAIN}))"
+    rf"({IMAGE_PATH[1:-1]})(?::({IMAGE_TAG[1:-1]}))?(?:@({IMAGE_DIGEST[1:-1]}))?\z"
+)
+
+
 def image_ref(value: Column) -> Column:
     """struct(domain, path, tag, digest) of an image reference, null if it is none.
 
     The digest follows the first @, the tag the last colon behind the last slash. The first part of the rest, whose length is
     bounded, is a domain if it has a dot or a colon or is localhost.
     """
-    has = lambda text, part: F.contains(text, F.lit(part))
-    rest = F.split_part(value, F.lit("@"), F.lit(1))
-    digest = F.when(has(value, "@"), F.substr(value, F.length(rest) + 2))
-    tagged = rest.rlike("(?s)^.*:[^/]*$")
-    tag = F.when(tagged, F.substring_index(rest, ":", -1))
-    name = F.when(tagged, F.substr(rest, F.lit(1), F.length(rest) - F.length(tag) - 1)).otherwise(rest)
-    first = F.split_part(name, F.lit("/"), F.lit(1))
-    real = has(name, "/") & (has(first, ".") | has(first, ":") | (first == "localhost"))
-    domain = F.when(real, first)
-    path = F.when(real, F.substr(name, F.length(first) + 2)).otherwise(name)
-    holds = lambda text, pattern: F.coalesce(text.rlike(f"(?-m){pattern[:-1]}" + r"\z"), F.lit(True))
-    good = F.length(name).between(1, IMAGE_NAME) & path.rlike(IMAGE_PATH[:-1] + r"\z") & holds(domain, IMAGE_DOMAIN) & holds(tag, IMAGE_TAG) & holds(digest, IMAGE_DIGEST)
-    return F.when(good, F.struct(domain.alias("domain"), path.alias("path"), tag.alias("tag"), digest.alias("digest")))
+    part = lambda k: F.regexp_extract(value, IMAGE, k)
+    some = lambda k: F.nullif(part(k), F.lit(""))
+    return F.when(value.rlike(IMAGE), F.struct(some(1).alias("domain"), part(2).alias("path"), some(3).alias("tag"), some(4).alias("digest")))
 
 
 def parse_image(value: str) -> tuple[str | None, str, str | None, str | None]:
@@ -132,10 +129,11 @@ def parse_size(value: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """512 B, 1.5 KiB, and so on up to TiB."""
-    out = F.format_string("%.1f TiB", size / float(1 << 40))
+    """512 B, 1.5 KiB, and so on up to TiB; halves go to the even digit."""
+    tenth = lambda n: F.bround(size / float(1 << n), 1)
+    out = F.format_string("%.1f TiB", tenth(40))
     for unit, least in (("GiB", 30), ("MiB", 20), ("KiB", 10)):
-        out = F.when(size < (1 << (least + 10)), F.format_string(f"%.1f {unit}", size / float(1 << least))).otherwise(out)
+        out = F.when(size < (1 << (least + 10)), F.format_string(f"%.1f {unit}", tenth(least))).otherwise(out)
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(out)
 
 

@@ -102,13 +102,16 @@ def chain_faults(log: DataFrame, key: str | None = None, content_hash=None) -> D
     return log.withColumn("reason", reason)
 
 
-def chain_report(faults: DataFrame) -> DataFrame:
-    """One row: ok, entries sound before the first fault, the hash they end in, first_bad_seq, reason. Rows behind the first fault do not count."""
+def chain_report(faults: DataFrame, key: str | None = None) -> DataFrame:
+    """One row (or one a key): ok, entries sound before the first fault, the hash they end in, first_bad_seq, reason. Rows behind the first
+    fault do not count."""
     first = F.min(F.when(F.col("reason").isNotNull(), F.struct("seq", "reason")))
-    bad = faults.agg(first.alias("bad"))
-    sound = faults.join(F.broadcast(bad), F.col("bad").isNull() | (F.col("seq") < F.col("bad.seq")), "right")
-    one = sound.groupBy("bad").agg(F.count("seq").alias("entries"), F.max(F.struct("seq", "row_hash")).alias("last"))
-    return one.select(F.col("bad").isNull().alias("ok"), "entries", F.coalesce("last.row_hash", F.lit(GENESIS)).alias("head"), F.col("bad.seq").alias("first_bad_seq"), F.col("bad.reason").alias("reason"))
+    keys = [key] if key else []
+    bad = faults.groupBy(*keys).agg(first.alias("bad"))
+    sound = F.col("bad").isNull() | (F.col("seq") < F.col("bad.seq"))
+    both = faults.select(*keys, "seq", "row_hash").join(bad, key) if key else bad.join(faults.select("seq", "row_hash"), F.lit(True), "left")
+    one = both.groupBy(*keys, "bad").agg(F.count(F.when(sound, F.col("seq"))).alias("entries"), F.max(F.when(sound, F.struct("seq", "row_hash"))).alias("last"))
+    return one.select(*keys, F.col("bad").isNull().alias("ok"), "entries", F.coalesce("last.row_hash", F.lit(GENESIS)).alias("head"), F.col("bad.seq").alias("first_bad_seq"), F.col("bad.reason").alias("reason"))
 
 
 def illegal_transitions(log: DataFrame, key: str, order: list[str], status: str) -> DataFrame:
@@ -156,16 +159,15 @@ def registered(held: DataFrame, batch: DataFrame, key: str, order: str, near: Da
     settle rows whose rivals are all settled; each round is a window over hashes, one over ids and a join with the pairs, and settles at
     least the first row of every chain.
     """
-    checked = batch.join(collisions(held, batch, key, near).select(key, "status"), key)
-    checked = settled(checked)
-    done = [checked.where("status <> 'ok'")]
-    open_ = checked.where("status = 'ok'").drop("status")
     place = F.struct(order, key)
+    batch = settled(batch.join(collisions(held, batch, key, near).select(key, F.col("status").alias("_held")), key))
+    open_ = batch.where("_held = 'ok'").drop("_held")
     before = None
     if near_pairs is not None:  # (key, rival): rival comes first
         ends = [batch.select(F.col(key).alias(name), place.alias(f"_{name}")) for name in (key, "rival")]
         both = near_pairs.select(key, F.col("other").alias("rival")).union(near_pairs.select("other", key)).distinct()
         before = settled(both.join(ends[0], key).join(ends[1], "rival").where(F.col("_rival") < F.col(f"_{key}")).select(key, "rival"))
+    won = None
     while not open_.isEmpty():
         first = {c: Window.partitionBy(c).orderBy(order, key) for c in ("hash", "id_key")}
         ranked = open_.withColumn("_h", F.row_number().over(first["hash"])).withColumn("_i", F.row_number().over(first["id_key"])).where("_h = 1 and _i = 1").drop("_h", "_i")
@@ -173,16 +175,20 @@ def registered(held: DataFrame, batch: DataFrame, key: str, order: str, near: Da
             waits = before.join(open_.select(F.col(key).alias("rival")), "rival", "left_semi").select(key)
             ranked = ranked.join(waits, key, "left_anti")
         winners = settled(ranked)
-        done.append(winners.withColumn("status", F.lit("registered")))
+        won = winners if won is None else won.unionByName(winners)
         left = open_.join(winners.select(key), key, "left_anti")
         similar = before.join(winners.select(F.col(key).alias("rival")), "rival", "left_semi").select(key) if before is not None else None
-        lost = settled(left.join(collisions(winners, left, key, similar).select(key, "status"), key))
-        done.append(lost.where("status <> 'ok'"))
-        open_ = lost.where("status = 'ok'").drop("status")
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        open_ = settled(left.join(collisions(winners, left, key, similar).where("status = 'ok'").select(key), key, "left_semi"))
+    if won is None:
+        return batch.withColumnRenamed("_held", "status")
+    # Who was registered is settled; what a refused row hears depends on those before it only, and a hash or name has one owner at most.
+    lost = batch.join(won.select(key), key, "left_anti")
+    for c in ("hash", "id_key"):
+        lost = lost.join(won.select(c, place.alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(F.col(f"_{c}") < place, F.lit(False)))
+    exact, same = (F.col("_held") == "exact_collision") | F.col("_hash"), (F.col("_held") == "id_collision") | F.col("_id_key")
+    status = F.when(exact, "exact_collision").when(same, "id_collision").otherwise("near_duplicate")
+    lost = lost.withColumn("status", status).drop("_hash", "_id_key", "_held")
+    return won.withColumn("status", F.lit("registered")).unionByName(lost)
 
 
 def revisable(tasks: DataFrame, revisions: DataFrame, hashes: DataFrame) -> DataFrame:

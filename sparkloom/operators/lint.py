@@ -102,7 +102,7 @@ def assigned_secrets(lines: DataFrame) -> DataFrame:
     given = _hits(lines, ASSIGNED).withColumn("name", F.regexp_extract("value", _GIVEN, 1))
     given = given.where(is_secret_name(F.col("name"))).withColumn("word", F.regexp_extract("value", f"^{_GIVEN}[\"']?(.*)$", 2))
     given = given.where(looks_random(F.col("word")) & ~is_placeholder(F.col("word")) & ~F.col("word").rlike(KNOWN))
-    bits = F.format_string("%.1f", entropy(F.col("word")))
+    bits = F.format_string("%.1f", F.bround(entropy(F.col("word")), 1))
     message = F.concat(F.lit("'"), "name", F.lit("' is assigned a high-entropy value ("), bits, F.lit(" bits per character) that looks like a secret: "), redacted(F.col("word")))
     return _found(given, "TL006", F.col("start") + F.length("value") - F.length("word"), message)
 

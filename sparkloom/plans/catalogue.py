@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import minhash, text
-from ..operators import ledger, lint, merkle, near_duplicates, store
-from . import bundles  # noqa: F401  (registers its queries)
+from ..operators import ledger, lint, merkle, near_duplicates
+from . import bundles, records  # noqa: F401  (they register queries)
 from .registry import QUERIES, SQL, query
 from .registry import table as _t
 
@@ -166,9 +166,14 @@ def line_split_positions(spark, sf_dir):
 _HEX_BITS = "list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: -((length(v) - length(replace(v, c, ''))) / length(v)) * log2((length(v) - length(replace(v, c, ''))) / length(v))))"
 
 
-@query(rf"""WITH {_LINES}, n AS (SELECT *, regexp_extract(source, '(?:^|[^A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*) = "[0-9a-f]{{40}}"', 1) AS name, regexp_extract(source, ' = "([0-9a-f]{{40}})"', 1) AS v FROM l),
-m AS (SELECT *, {_HEX_BITS} AS bits FROM n WHERE v <> '' AND regexp_matches(lower(name), '(secret|token|password|(api|access)[_.-]?key)$'))
-SELECT bundle, file, line::INTEGER AS line, instr(source, v)::INTEGER AS "column", 'TL006' AS code,
+_GIVEN_HEX = '[A-Za-z_][A-Za-z0-9_.-]* = "[0-9a-f]{40}"'
+
+
+@query(rf"""WITH {_LINES}, h AS (SELECT *, regexp_extract_all(source, '{_GIVEN_HEX}') AS found, regexp_split_to_array(source, '{_GIVEN_HEX}') AS gaps FROM l),
+o AS (SELECT bundle, file, line, found, gaps, unnest(found) AS given, generate_subscripts(found, 1) AS k FROM h),
+n AS (SELECT *, left(given, length(given) - 45) AS name, substr(given, length(given) - 40, 40) AS v, list_sum(list_transform(gaps[:k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[:k - 1], lambda x: length(x))), 0) + length(given) - 40 AS place FROM o),
+m AS (SELECT *, {_HEX_BITS} AS bits FROM n WHERE regexp_matches(lower(name), '(secret|token|password|(api|access)[_.-]?key)$'))
+SELECT bundle, file, line::INTEGER AS line, place::INTEGER AS "column", 'TL006' AS code,
  '''' || name || ''' is assigned a high-entropy value (' || printf('%.1f', bits) || ' bits per character) that looks like a secret: [redacted, 40 chars]' AS message
 FROM m WHERE bits >= 3 AND regexp_matches(v, '[a-f]') AND regexp_matches(v, '[0-9]')""")
 def secret_scan_entropy(spark, sf_dir):
@@ -258,6 +263,13 @@ def lint_text_report(spark, sf_dir):
     return lint.text_report(findings_fingerprint(spark, sf_dir))
 
 
+@query(f"""WITH {_FOUND}, rules(code, rule, severity, fix) AS (VALUES {", ".join(f"('{c}', '{n}', '{v}', '{x}')" for c, n, v, _, x, _ in lint.RULES)})
+SELECT bundle, to_json({{'format_version': 1, 'path': bundle, 'findings': list({{'code': code, 'rule': rule, 'severity': severity, 'message': message, 'file': file, 'line': line, 'column': "column", 'fix': fix, 'fingerprint': fingerprint}} ORDER BY file, line, "column", code, message),
+ 'summary': {{'findings': count(*), 'errors': count(*) FILTER (severity = 'error'), 'warnings': count(*) FILTER (severity = 'warning')}}}})::VARCHAR AS report FROM fp JOIN rules USING (code) GROUP BY bundle""")
+def lint_json_report(spark, sf_dir):
+    return lint.json_report(findings_fingerprint(spark, sf_dir))
+
+
 #: Comments by number, and whether a finding of TL004 on such a line is suppressed.
 _COMMENTS = """CASE p_partkey % 9 WHEN 0 THEN 'x = 1' WHEN 1 THEN 'x  # sparkloom: ignore' WHEN 2 THEN 'x  # sparkloom:ignore[TL00' || p_size % 10 || ']' WHEN 3 THEN 'x[1]  # sparkloom:  ignore' WHEN 4 THEN 'x  # sparkloom: ignore[TL003, TL004]'
  WHEN 5 THEN 'x  # sparkloom: ignore[]' WHEN 6 THEN 'x  # sparkloom: ignore[tl004]' WHEN 7 THEN 'x  # sparkloom: ignore[TL003]' ELSE 'x  # ignore[TL004]' END"""
@@ -294,18 +306,6 @@ def unknown_rule_selectors(spark, sf_dir):
     return lint.unknown_selectors(lint.rule_table(spark), spark.createDataFrame(_SELECTIONS, "layer int, kind string, selector string"))
 
 
-_STATUS = "CASE event_type WHEN 'signup' THEN 'draft' WHEN 'view' THEN 'submitted' WHEN 'click' THEN 'in_review' WHEN 'purchase' THEN 'accepted' ELSE 'needs_changes' END"
-
-
-@query(f"""WITH s AS (SELECT user_id, event_id, {_STATUS} AS to_status FROM events),
-p AS (SELECT *, lag(to_status) OVER (PARTITION BY user_id ORDER BY event_id) AS from_status FROM s)
-SELECT user_id, event_id, from_status, to_status FROM p WHERE (from_status IS NULL AND to_status <> 'draft') OR (from_status IS NOT NULL AND (from_status, to_status) NOT IN
-(('draft','submitted'),('submitted','in_review'),('in_review','accepted'),('in_review','rejected'),('in_review','needs_changes'),('needs_changes','submitted')))""")
-def review_state_machine(spark, sf_dir):
-    log = _t(spark, sf_dir, "events").select("user_id", "event_id", F.expr(_STATUS).alias("status"))
-    return ledger.illegal_transitions(log, "user_id", ["event_id"], "status")
-
-
 def _chain(spark, sf_dir):
     """A chain per user whose rows hash their own content and the content before."""
     w = Window.partitionBy("user_id").orderBy("event_id")
@@ -328,67 +328,6 @@ def audit_tamper_detection(spark, sf_dir):
     return ledger.chain_faults(_chain(spark, sf_dir), "user_id", own).where("reason is not null").select("user_id", "seq", "reason")
 
 
-@query("SELECT true AS ok, count(*) AS entries, NULL::BIGINT AS first_bad_seq, NULL::VARCHAR AS reason FROM events")
-def audit_chain_build_verify(spark, sf_dir):
-    """A chain per user over all events, built and then verified by links and by content."""
-    entries = _t(spark, sf_dir, "events").select(
-        "user_id", "event_id", F.col("ts").cast("string").alias("at"), F.col("user_id").cast("string").alias("actor"), F.col("event_type").alias("action"), F.lit(None).cast("string").alias("task_slug"), F.coalesce("props", F.lit("{}")).alias("payload")
-    )
-    log = ledger.with_own_hash(ledger.chained(entries, "user_id", "event_id"))
-    return ledger.chain_report(ledger.chain_faults(log, "user_id", F.col("own_hash"))).drop("head")
-
-
-@query("""SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey""")
-def latest_submission(spark, sf_dir):
-    return ledger.latest(_t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderstatus")
-
-
-@query("""WITH o AS (SELECT sha256(text) AS hash, min(doc_id) AS owner FROM documents GROUP BY 1)
-SELECT doc_id, hash, owner, CASE WHEN owner = doc_id THEN 'registered' ELSE 'exact_collision' END AS status FROM (SELECT doc_id, sha256(text) AS hash FROM documents) JOIN o USING (hash)""")
-def first_claim_wins(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
-    return ledger.first_claims(rows, "hash", "doc_id")
-
-
-@query("""SELECT a.doc_id, min(b.doc_id) AS earlier FROM documents a JOIN documents b ON sha256(a.text) = sha256(b.text) AND a.doc_id % 2 = 1 AND b.doc_id % 2 = 0 GROUP BY a.doc_id""")
-def revise_history_collision(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
-    history = rows.where("doc_id % 2 = 0").groupBy("hash").agg(F.min("doc_id").alias("earlier"))
-    return rows.where("doc_id % 2 = 1").join(history, "hash").select("doc_id", "earlier")
-
-
-@query("""WITH o AS (SELECT o_orderkey AS key, floor(o_totalprice)::BIGINT AS size, epoch_us(o_orderdate) AS last_used FROM orders),
-r AS (SELECT *, sum(size) OVER () - coalesce(sum(size) OVER (ORDER BY last_used, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM o)
-SELECT key, size, last_used FROM r WHERE held > (SELECT sum(size) // 3 FROM o)""")
-def lru_gc(spark, sf_dir):
-    used = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
-    objects = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.floor("o_totalprice").cast("long").alias("size"), used.alias("last_used"))
-    budget = objects.agg(F.sum("size").alias("s")).first()["s"] or 0
-    return store.evicted(objects, budget // 3)
-
-
-@query("""WITH a AS (SELECT DISTINCT sha256(text) AS key FROM documents WHERE doc_id % 2 = 0), b AS (SELECT sha256(text) AS key, any_value(strlen(text)) AS size FROM documents WHERE doc_id % 2 = 1 GROUP BY 1)
-SELECT count(*) AS objects, count(*) FILTER (a.key IS NULL) AS new_objects, coalesce(sum(size) FILTER (a.key IS NULL), 0)::BIGINT AS new_bytes FROM b LEFT JOIN a USING (key)""")
-def cache_put_stats(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"), F.octet_length("text").cast("long").alias("size"))
-    held, batch = rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")
-    fresh = store.put(held, batch.select("key", "size")).agg(F.count("*").alias("new_objects"), F.coalesce(F.sum("size"), F.lit(0)).alias("new_bytes"))
-    return batch.agg(F.count_distinct("key").alias("objects")).crossJoin(fresh)
-
-
-@query("SELECT left(sha256(text), 2) AS folder, count(DISTINCT sha256(text)) AS objects FROM documents GROUP BY 1")
-def object_key_fanout(spark, sf_dir):
-    key = text.object_key(F.concat(F.lit("sha256:"), F.sha2("text", 256)))
-    rows = _t(spark, sf_dir, "documents").select(key.alias("key")).distinct()
-    return rows.groupBy(F.split_part(text.object_path(F.col("key")), F.lit("/"), F.lit(1)).alias("folder")).agg(F.count("*").alias("objects"))
-
-
-@query("SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events")
-def history_by_task(spark, sf_dir):
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
-    return _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type", seq.alias("seq"))
-
-
 #: Fixed numbers of a small MinHash that SQL can repeat: (multiplier, addend) of each of 20 functions modulo 2^61 - 1.
 _COEFFICIENTS = [(1 + (k * 1_000_003 + 12_345) * 2_147_483_629 % (minhash.MODULUS - 1), (k * 7_919 + 104_729) * 4_294_967_291 % minhash.MODULUS) for k in range(20)]
 _MD5_BANDS, _MD5_ROWS = 5, 4
