@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import minhash
 from ..functions.code_tokens import code_shingles
 from ..functions.text import words
-from .settled import settled
+from .settled import settled, spread
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, size: int = 3) -> DataFrame:
@@ -18,7 +18,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, size: int = 3) -> DataFra
     Words are a column of their own, so that they are extracted once a row and not once a run. A row is cut by itself: a
     long or frequent key needs no window.
     """
-    tokens = docs.select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    tokens = spread(docs.select(key, text)).select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     run = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_t") - (size - 1))), lambda i: F.array_join(F.slice("_t", i, size), " "))
     return tokens.select(key, F.when(F.size("_t") > 0, F.array_distinct(run)).otherwise(F.array().cast("array<string>")).alias("shingles"))
 
@@ -32,28 +32,25 @@ def shingle_rows(docs: DataFrame, key: str, text: str, size: int = 3) -> DataFra
     return shingle_sets(docs, key, text, size).select(key, F.explode_outer("shingles").alias("shingle")).where("shingle is not null")
 
 
-def jaccard_pairs(rows: DataFrame, key: str, least: float) -> DataFrame:
-    """rows(key, shingle) -> (a, b, shared, jaccard) of the pairs at or above `least`, a < b.
+def jaccard_pairs(sets: DataFrame, key: str, least: float) -> DataFrame:
+    """sets(key, shingles: distinct) -> (a, b, shared, jaccard) of the pairs at or above `least`, a < b. A key comes once; empty sets have no pair.
 
-    Prefix filter: a set of n elements can only reach the threshold through one of its n - ceil(least * n) + 1 rarest
-    elements, so pairs are generated from those alone and frequent shingles never meet. Candidates are then counted
-    exactly.
+    Prefix filter: a set of n elements can only reach the threshold through one of its n - ceil(least * n) + 1 rarest elements, so pairs
+    are generated from those alone, frequent shingles never meet, and those that no other set has need not. Elements travel as 64-bit
+    hashes; candidates are counted exactly, by the shingles themselves.
     """
-    sets = rows.distinct()
-    frequency = sets.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = sets.join(frequency, "shingle")
-    order = Window.partitionBy(key).orderBy("df", "shingle")
-    whole = Window.partitionBy(key)
-    placed = ranked.select(key, "shingle", F.row_number().over(order).alias("r"), F.count("*").over(whole).alias("n"))
-    prefix = placed.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).select(key, "shingle", "n")
+    hashed = sets.select(key, F.size("shingles").alias("n"), F.explode_outer(F.transform("shingles", lambda x: F.xxhash64(x))).alias("h")).where("h is not null")
+    frequency = hashed.groupBy("h").agg(F.count("*").alias("df"))
+    ordered = hashed.join(frequency, "h").groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    prefix = ordered.select(key, "n", F.explode_outer(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int"))).alias("p"))
+    prefix = prefix.where("p.df > 1").select(key, "n", "p.h")
     a, b = prefix.alias("a"), prefix.alias("b")
     fits = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(least) - 1e-9
-    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & fits)
-    pairs = pairs.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct()
-    held = sets.groupBy(key).agg(F.collect_list("shingle").alias("set"))
-    both = pairs.join(held.select(F.col(key).alias("a"), F.col("set").alias("sa")), "a").join(held.select(F.col(key).alias("b"), F.col("set").alias("sb")), "b")
-    counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), "na", "nb")
-    return counted.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= least)
+    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & fits)
+    pairs = pairs.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col(key).alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col(key).alias("b"), F.col("shingles").alias("sb")), "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).alias("both"))
+    return counted.select("a", "b", "shared", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def similar(docs: DataFrame, key: str, text: str, threshold: float = 0.5, size: int = 3) -> DataFrame:

@@ -22,30 +22,55 @@ def touched(store: DataFrame, keys: DataFrame, now) -> DataFrame:
     return store.join(hit, "key", "left").withColumn("last_used", F.when(F.col("_hit"), F.greatest("last_used", F.lit(now))).otherwise(F.col("last_used"))).drop("_hit")
 
 
-def evicted(store: DataFrame, budget: int, buckets: int = 256) -> DataFrame:
-    """The objects that go, oldest first by (last_used, key), while what is left exceeds the budget.
+#: Ranges that sums are taken by, and rows that one task may sort.
+CELLS, SORTED = 4096, 100_000
 
-    A running sum over all objects would need one sorted partition. Sizes are summed by ranges of last_used instead, the
-    ranges that go whole or stay whole are told by those sums, and only the one range in which the budget lies is sorted.
+
+def evicted(store: DataFrame, budget: int, cells: int = CELLS, most: int = SORTED) -> DataFrame:
+    """The objects of store(key, size, last_used: a number) that go, oldest first by (last_used, key), while what is left exceeds the budget.
+
+    A running sum over all objects would need one sorted partition. Sizes are summed by ranges instead: those before the range in
+    which the budget lies go whole, those behind it stay, and that one is looked at more closely, first by last_used and where many
+    share one by their keys, until one task may sort it. Each look is one aggregation of a few thousand rows. Null sizes count as 0, a
+    null last_used as the oldest.
     """
-    n = F.col("last_used")
-    edges = store.agg(F.percentile_approx(n, [k / buckets for k in range(1, buckets)], 10_000).alias("e"), F.sum("size").alias("total")).first()
-    total = edges["total"] or 0
-    if total <= budget:
+    held = store.withColumn("_size", F.coalesce("size", F.lit(0))).withColumn("_used", F.coalesce(F.col("last_used").cast("double"), F.lit(float("-inf"))))
+    left = held.agg(F.sum("_size").alias("s")).first()["s"] or 0
+    if left <= budget:
         return store.limit(0)
-    cuts = sorted(set(edges["e"]))
-    bucket = sum((F.when(n > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
-    rows = store.withColumn("_b", bucket)
-    sums = {r["_b"]: r["s"] for r in rows.groupBy("_b").agg(F.sum("size").alias("s")).collect()}
-    gone, edge = 0, None
-    for b in sorted(sums):
-        if total - gone - sums[b] <= budget:
-            edge = b
+    text = dict(store.dtypes)["key"] == "string"
+    measures = [("_used", F.col("_used")), *((f"_key{k}", _six_bytes(k)) for k in range(12))] if text else [("_used", F.col("_used")), ("_key", F.col("key").cast("double"))]
+    part, gone = held, []
+    for name, measure in measures:
+        part = part.withColumn(name, measure)
+        rows = None
+        while rows is None or rows > most:
+            ends = part.where(F.col(name) > float("-inf")).agg(F.min(name).alias("lo"), F.max(name).alias("hi")).first()
+            lo, width = float(ends["lo"] or 0), float((ends["hi"] or 0) - (ends["lo"] or 0))
+            cell = F.when(F.col(name) < lo, -1).otherwise(F.floor((F.col(name) - lo) * ((cells - 1) / width if width else 0.0)))
+            sums = part.groupBy(cell.alias("c")).agg(F.sum("_size").alias("s"), F.count("*").alias("n")).collect()
+            for r in sorted(sums, key=lambda r: r["c"]):
+                if left - r["s"] <= budget:
+                    break
+                left -= r["s"]
+            gone.append(part.where(cell < r["c"]))
+            part, rows = part.where(cell == r["c"]), r["n"]
+            if not width or r["c"] < 0:
+                break
+        if rows <= most:
             break
-        gone += sums[b]
-    before = F.coalesce(F.sum("size").over(Window.orderBy("last_used", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = rows.where(F.col("_b") == F.lit(edge)).withColumn("_before", before).where(F.lit(total - gone) - F.col("_before") > budget).drop("_before")
-    return rows.where(F.col("_b") < F.lit(edge)).unionByName(part).drop("_b")
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("last_used", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    gone.append(part.withColumn("_before", before).where(F.lit(left) - F.col("_before") > budget))
+    out = gone[0].select(store.columns)
+    for rows in gone[1:]:
+        out = out.unionByName(rows.select(store.columns))
+    return out
+
+
+def _six_bytes(k: int):
+    """Bytes 6k to 6k + 5 of a key as a number, in the order of keys."""
+    taken = F.substring(F.encode("key", "UTF-8"), 6 * k + 1, 6)
+    return F.conv(F.rpad(F.hex(taken), 12, "0"), 16, 10).cast("long")
 
 
 def put_stats(store: DataFrame, batch: DataFrame) -> DataFrame:

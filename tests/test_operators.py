@@ -57,23 +57,33 @@ def test_states(spark):
 
 
 def test_eviction_matches_a_plain_loop(spark):
+    def loop(rows, budget):
+        left, out = sum(r[1] or 0 for r in rows), set()
+        for key, size, _ in sorted(rows, key=lambda r: (r[2] is not None, r[2], r[0])):
+            if left <= budget:
+                break
+            left -= size or 0
+            out.add(key)
+        return out
+
     rows = [(f"{k:04d}", (k * 37) % 91 + 1, (k * 17) % 40) for k in range(500)]
-    left, expected, budget = sum(r[1] for r in rows), set(), 9000
-    for key, size, _ in sorted(rows, key=lambda r: (r[2], r[0])):
-        if left <= budget:
-            break
-        left -= size
-        expected.add(key)
-    got = store.evicted(spark.createDataFrame(rows, "key string, size long, last_used long"), budget, 16)
-    assert {r.key for r in got.collect()} == expected
-    assert store.evicted(spark.createDataFrame(rows, "key string, size long, last_used long"), 10**9).count() == 0
+    tied = [(hashlib.sha256(str(k).encode()).hexdigest(), k % 7, 5) for k in range(300)] + [("ab" * 20 + f"{k:03d}", 3, 6) for k in range(200)] + [("old", 4, None), ("none", None, 6)]
+    for objects in (rows, tied):
+        whole = sum(r[1] or 0 for r in objects)
+        df = spark.createDataFrame(objects, "key string, size long, last_used long")
+        for budget in (0, 1, whole // 3, whole // 2, whole - 5, whole, 10**9):
+            assert {r.key for r in store.evicted(df, budget, cells=7, most=10).collect()} == loop(objects, budget), budget
+    numbers = [(k, 1 + k % 5, 3) for k in range(400)]
+    df = spark.createDataFrame(numbers, "key long, size long, last_used long")
+    assert {r.key for r in store.evicted(df, 300, cells=5, most=3).collect()} == loop(numbers, 300)
+    assert store.evicted(df.limit(0), 0).collect() == []
 
 
 def test_similar_agrees_with_exact_pairs(spark):
     base = [f"w{k} v{k % 7} u{k % 5}" for k in range(60)]
     docs = [(1, " ".join(base)), (2, " ".join(base[:-4])), (3, "other words entirely here"), (4, None), (5, "two words")]
     df = spark.createDataFrame(docs, "id long, text string")
-    exact = near_duplicates.jaccard_pairs(near_duplicates.shingle_rows(df, "id", "text"), "id", 0.5).collect()
+    exact = near_duplicates.jaccard_pairs(near_duplicates.shingle_sets(df, "id", "text"), "id", 0.5).collect()
     assert [(r.a, r.b) for r in exact] == [(1, 2)]
     assert [(r.a, r.b) for r in near_duplicates.similar(df.where("text is not null"), "id", "text").collect()] == [(1, 2)]
 
@@ -88,3 +98,14 @@ def test_bundle_scan(spark, tmp_path):
     assert {(r.bundle, r.issue) for r in bundles.manifests(files).collect()} == {("a", None), ("b", "missing_manifest"), ("c", "toml_syntax")}
     declared = spark.createDataFrame([("a", "tests", "tests", "dir"), ("a", "solution", "solution", "dir")], "bundle string, loc string, path string, kind string")
     assert [r.path for r in bundles.missing_paths(declared, files).collect()] == ["solution"]
+
+
+def test_words_are_extracted_once_a_row(spark):
+    """The optimizer must not put the extraction into the function over runs."""
+    df = spark.createDataFrame([(1, "a b c d")], "id long, text string")
+    for rows in (near_duplicates.shingle_rows(df, "id", "text"), near_duplicates.shingle_rows(df, "id", "text").groupBy("id").count()):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1
+    pairs = near_duplicates.jaccard_pairs(near_duplicates.shingle_sets(df, "id", "text"), "id", 0.5)
+    for line in pairs._jdf.queryExecution().optimizedPlan().toString().split("\n"):
+        assert line.count("regexp_extract_all") <= 1 and not ("regexp_extract_all" in line and "lambda" in line), line
