@@ -25,7 +25,7 @@ NO_FOLDER, NO_CONTENT = "grader test directory {}/ does not exist", "grader test
 NO_TEST_FILES = "the verifier runs pytest but {}/ has no test_*.py or *_test.py files"
 NO_TESTS, NOT_PARSED = "grader test file defines no test functions", "grader test file does not parse: {}"
 
-_LAYOUT = "bundle string, manifest string, issues array<struct<file string, loc string, code string, message string, line int>>, tests string, solution string, instruction string, command array<string>, verifier string, dockerfiles array<struct<path string, section string, args string>>, select array<string>, ignore array<string>, max_file_kb long, max_bundle_kb long, canonical string, declared array<struct<loc string, path string, kind string>>"
+_LAYOUT = "bundle string, manifest string, issues array<struct<file string, loc string, code string, message string, line int>>, tests string, solution string, instruction string, command array<string>, verifier string, dockerfiles array<struct<path string, section string, args string>>, select array<string>, ignore array<string>, max_file_kb long, max_bundle_kb long, max_bundle_line int, canonical string, declared array<struct<loc string, path string, kind string>>"
 
 
 def layouts(parsed: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def _layout(bundle: str, text: str | None, issue: str | None, source: str | None
     return {
         "bundle": bundle, "manifest": text, "issues": issues, "tests": use["tests"]["path"], "solution": use["solution"]["path"], "instruction": use["instruction"]["path"], "command": use["verifier"]["command"],
         "verifier": use["verifier"]["dockerfile"], "dockerfiles": [{"path": use[s]["dockerfile"], "section": s, "args": json.dumps(use[s]["build_args"])} for s in ("environment", "verifier")],
-        "select": use["lint"]["select"], "ignore": use["lint"]["ignore"], "max_file_kb": use["lint"]["max_file_kb"], "max_bundle_kb": use["lint"]["max_bundle_kb"],
+        "select": use["lint"]["select"], "ignore": use["lint"]["ignore"], "max_file_kb": use["lint"]["max_file_kb"], "max_bundle_kb": use["lint"]["max_bundle_kb"], "max_bundle_line": manifest.toml_line(source or "", ["lint", "max_bundle_kb"]),
         "canonical": manifest.canonical(values) if values else None,
         "declared": [dict(zip(("loc", "path", "kind"), d)) for d in manifest.declared_paths(values)] if values else None,
     }

@@ -121,16 +121,25 @@ def network_commands(lines: DataFrame) -> DataFrame:
     return _found(_hits(code, NETWORK), "TL003", F.col("start"), said)
 
 
-def oversized(files: DataFrame, max_file_kb: int = 1024, max_bundle_kb: int = 20480) -> DataFrame:
-    """TL005 on files(bundle, file, size): files above their limit, bundles above theirs with the three largest files."""
-    big = files.where(F.col("size") > max_file_kb * 1024)
-    each = big.select("bundle", "file", F.concat(human_size(F.col("size")), F.lit(f" exceeds {max_file_kb} KiB")).alias("message"))
-    total = files.groupBy("bundle").agg(F.sum("size").alias("total")).where(F.col("total") > max_bundle_kb * 1024)
+def oversized(files: DataFrame, max_file_kb: int = 1024, max_bundle_kb: int = 20480, layout: DataFrame | None = None) -> DataFrame:
+    """TL005 on files(bundle, file, size): files above their limit, and bundles above theirs, at the manifest, with the three largest files.
+    layout(bundle, max_file_kb, max_bundle_kb, max_bundle_line) gives each bundle's own limits."""
+    if layout is None:
+        rows = files.select("bundle", "file", "size", F.lit(max_file_kb).alias("max_file_kb"), F.lit(max_bundle_kb).alias("max_bundle_kb"), F.lit(1).alias("max_bundle_line"))
+    else:
+        rows = files.select("bundle", "file", "size").join(layout.select("bundle", "max_file_kb", "max_bundle_kb", "max_bundle_line"), "bundle")
+    told = lambda size: F.concat(human_size(size), F.lit(" ("), size.cast("string"), F.lit(" bytes), over the "))
+    limit = lambda name, kb: F.concat(F.lit(f"{name} limit of "), F.col(kb).cast("string"), F.lit(f" KiB (lint.{kb})"))
+    big = rows.where(F.col("size") > F.col("max_file_kb") * 1024)
+    each = big.select("bundle", "file", F.lit(1).alias("line"), F.concat(F.lit("file is "), told(F.col("size")), limit("per-file", "max_file_kb")).alias("message"))
+    total = rows.groupBy("bundle", "max_bundle_kb", "max_bundle_line").agg(F.sum("size").alias("total")).where(F.col("total") > F.col("max_bundle_kb") * 1024)
     rank = Window.partitionBy("bundle").orderBy(F.desc("size"), "file")
-    top = files.join(total.select("bundle"), "bundle", "left_semi").withColumn("r", F.row_number().over(rank)).where("r <= 3")
-    named = top.groupBy("bundle").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "file"))), lambda x: x["file"]), ", ").alias("largest"))
-    whole = total.join(named, "bundle").select("bundle", F.lit("").alias("file"), F.concat(human_size(F.col("total")), F.lit(f" exceeds {max_bundle_kb} KiB; largest: "), F.col("largest")).alias("message"))
-    return each.unionByName(whole).select("bundle", "file", F.lit(1).alias("line"), F.lit(1).alias("column"), F.lit("TL005").alias("code"), "message")
+    top = rows.join(total.select("bundle"), "bundle", "left_semi").withColumn("r", F.row_number().over(rank)).where("r <= 3")
+    name = F.concat("file", F.lit(" ("), human_size(F.col("size")), F.lit(")"))
+    named = top.groupBy("bundle").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", name.alias("name")))), lambda x: x["name"]), ", ").alias("largest"))
+    message = F.concat(F.lit("bundle files total "), told(F.col("total")), limit("bundle", "max_bundle_kb"), F.lit("; largest: "), "largest")
+    whole = total.join(named, "bundle").select("bundle", F.lit("task.toml").alias("file"), F.col("max_bundle_line").alias("line"), message.alias("message"))
+    return each.unionByName(whole).select("bundle", "file", "line", F.lit(1).alias("column"), F.lit("TL005").alias("code"), "message")
 
 
 def findings(violations: DataFrame) -> DataFrame:

@@ -10,12 +10,17 @@ from ..functions.text import is_binary
 FILE, FOLDER, LINK = "f", "d", "l"
 
 
-def file_digests(files: DataFrame) -> DataFrame:
-    """files(bundle, path, content binary) -> with kind, size, sha256 of the canonical bytes: text has LF newlines."""
+def canonical_files(files: DataFrame) -> DataFrame:
+    """files(bundle, path, content binary) -> with kind, size, sha256 and content of the canonical bytes: text has LF newlines."""
     text = F.encode(F.regexp_replace(F.decode("content", "ISO-8859-1"), "\r\n|\r", "\n"), "ISO-8859-1")
-    kind = F.when(is_binary(F.col("content")), "binary").otherwise("text")
-    canonical = F.when(is_binary(F.col("content")), F.col("content")).otherwise(text)
-    return files.select("bundle", "path", kind.alias("kind"), F.octet_length(canonical).cast("long").alias("size"), F.sha2(canonical, 256).alias("sha256"))
+    binary = is_binary(F.col("content"))
+    rows = files.select("bundle", "path", F.when(binary, "binary").otherwise("text").alias("kind"), F.when(binary, F.col("content")).otherwise(text).alias("content"))
+    return rows.select("bundle", "path", "kind", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
+
+
+def file_digests(files: DataFrame) -> DataFrame:
+    """The same without content."""
+    return canonical_files(files).drop("content")
 
 
 def conflicts(digests: DataFrame) -> DataFrame:

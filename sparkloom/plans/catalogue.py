@@ -213,11 +213,12 @@ def _sizes(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select(F.col("source").alias("bundle"), F.col("doc_id").cast("string").alias("file"), F.octet_length("text").cast("long").alias("size"))
 
 
-_OVER = """f AS (SELECT source AS bundle, doc_id::VARCHAR AS file, strlen(text)::BIGINT AS size FROM documents),
+_HUMAN = "CASE WHEN {0} < 1024 THEN {0} || ' B' WHEN {0} < 1048576 THEN printf('%.1f KiB', {0} / 1024.0::DOUBLE) ELSE printf('%.1f MiB', {0} / 1048576.0::DOUBLE) END"
+_OVER = f"""f AS (SELECT source AS bundle, doc_id::VARCHAR AS file, strlen(text)::BIGINT AS size FROM documents),
 t AS (SELECT bundle, sum(size)::BIGINT AS total FROM f GROUP BY bundle HAVING sum(size) > 100 * 1024),
-h AS (SELECT bundle, string_agg(file, ', ' ORDER BY r) AS largest FROM (SELECT bundle, file, row_number() OVER (PARTITION BY bundle ORDER BY size DESC, file) AS r FROM f) WHERE r <= 3 GROUP BY bundle),
-human AS (SELECT bundle, file, size AS b, 8 AS k, '' AS more FROM f WHERE size > 8 * 1024 UNION ALL SELECT bundle, '', total, 100, '; largest: ' || largest FROM t JOIN h USING (bundle)),
-v AS (SELECT bundle, file, 1 AS line, 1 AS "column", 'TL005' AS code, CASE WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0::DOUBLE) ELSE printf('%.1f MiB', b / 1048576.0::DOUBLE) END || ' exceeds ' || k || ' KiB' || more AS message FROM human)"""
+h AS (SELECT bundle, string_agg(file || ' (' || {_HUMAN.format("size")} || ')', ', ' ORDER BY r) AS largest FROM (SELECT *, row_number() OVER (PARTITION BY bundle ORDER BY size DESC, file) AS r FROM f) WHERE r <= 3 GROUP BY bundle),
+v AS (SELECT bundle, file, 1 AS line, 1 AS "column", 'TL005' AS code, 'file is ' || {_HUMAN.format("size")} || ' (' || size || ' bytes), over the per-file limit of 8 KiB (lint.max_file_kb)' AS message FROM f WHERE size > 8 * 1024
+ UNION ALL SELECT bundle, 'task.toml', 1, 1, 'TL005', 'bundle files total ' || {_HUMAN.format("total")} || ' (' || total || ' bytes), over the bundle limit of 100 KiB (lint.max_bundle_kb); largest: ' || largest FROM t JOIN h USING (bundle))"""
 
 
 @query(f"WITH {_OVER} SELECT * FROM v")
