@@ -150,6 +150,15 @@ def findings(violations: DataFrame) -> DataFrame:
     return numbered.withColumn("fingerprint", finding_fingerprint(F.col("code"), F.col("file"), F.col("message"), F.col("occurrence")))
 
 
+def misplaced(found: DataFrame) -> DataFrame:
+    """Findings whose place cannot be: lines and columns count from 1, and an end (end_line, end_column, where there are such) is not before
+    its start."""
+    wrong = (F.col("line") < 1) | (F.col("column") < 1)
+    if "end_line" in found.columns:
+        wrong |= F.coalesce((F.col("end_line") < F.col("line")) | ((F.col("end_line") == F.col("line")) & (F.col("end_column") < F.col("column"))), F.lit(False))
+    return found.where(wrong)
+
+
 def suppressed(violations: DataFrame, lines: DataFrame) -> DataFrame:
     """violations with `suppressed`: their line says so, for all codes, or for those with one of the prefixes in brackets. Brackets
     with anything but capitals, digits, commas and white space count as none, so that all codes are meant. Findings of whole

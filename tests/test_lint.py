@@ -200,3 +200,10 @@ def test_first_use_numbers_take_linear_time():
     began = time.time()
     assert len(code_tokens("\n".join(f"name{k} = other{k}" for k in range(30_000)))) == 90_000
     assert time.time() - began < 10
+
+
+def test_places_that_cannot_be(spark):
+    rows = [(1, 1, None, None), (0, 1, None, None), (1, 0, 1, 1), (3, 4, 3, 4), (3, 4, 3, 3), (3, 4, 2, 9), (3, 4, 4, 1)]
+    df = spark.createDataFrame(rows, "line int, column int, end_line int, end_column int")
+    assert sorted(map(tuple, lint.misplaced(df).collect())) == sorted([rows[1], rows[2], rows[4], rows[5]])
+    assert lint.misplaced(df.drop("end_line", "end_column")).count() == 2
