@@ -244,10 +244,11 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     keyed = signed.where("copy_key is not null")
     classes = staged(keyed.groupBy("copy_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "minhash-classes")
 
-    rows = _crowded(classes)
+    crowded = rows = _crowded(classes)
     best = rows.groupBy("bucket").agg(F.max(F.struct("company", F.bitwise_not("node").alias("n"))).alias("m"))
     leaders = best.select("bucket", F.bitwise_not("m.n").alias("leader"), F.col("m.company").alias("w"), F.array().cast("array<double>").alias("leader_nears"))
     rows = staged(rows.join(leaders, "bucket").withColumn("nears", F.array().cast("array<double>")), "minhash-led")
+    discard(crowded)
     gap = 1 - threshold + 1e-9
     links = None
     for turn in range(LEADERS):
@@ -279,6 +280,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     component = connected_components(links, "minhash-cc")
     known = classes.select("copy_key", "node", "copies").join(component, "node", "left").where("copies > 1 or component is not null")
     known = staged(known.select(F.col("copy_key").alias("lo"), F.coalesce("component", "node").alias("class_id")), "minhash-known")
+    discard(signed, classes, rows)
     class_id = F.coalesce("class_id", "doc_id")
     return each.join(sized_broadcast(known), "lo", "left").select("doc_id", class_id.alias("class_id"), "n_shingles", (class_id == F.col("doc_id")).alias("kept"))
 

@@ -116,8 +116,9 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[list], list[bytes]]], e
     sequence_id, offset.
 
     encode() gives, in a worker, a function from texts to little-endian ids; end_id is appended to each document. Null text counts as empty: with an end id
-    it makes a piece of one id, without one no piece. Repeated rows and null doc_ids are packed like others. Other
-    columns are ignored. An empty table gives an empty result.
+    it makes a piece of one id, without one no piece. Repeated rows and null doc_ids are packed like others. A very long text is cut
+    into as many pieces as it needs. Pieces of one length tie: which takes which place goes by tasks and the order in them. Other columns are
+    ignored. An empty table gives an empty result.
     """
     schema = "task long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, rank long" + ", ids binary" * with_ids
     pieces = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(encode, end_id, capacity, with_ids), schema), "pack-pieces")
@@ -136,7 +137,8 @@ def op8_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    """Pieces of docs under the 50k byte-level vocabulary, id 0 after each document, sequences of 1024."""
+    """Pieces of docs under the 50k byte-level vocabulary, id 0 after each document, sequences of 1024; see pack for nulls, long texts, ties,
+    repeated rows, other columns and empty tables."""
     import public_tokenizers as P
 
     path = P.path("byte_bpe_50k.json")

@@ -139,7 +139,8 @@ def judged(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = RESULT)
 
     Null text counts as empty; null source and lang are sites of their own. Null doc_ids are judged but not learnt from; a
     doc_id with several labels counts as the best. Repeated rows are judged alike. An empty table gives none. A column of
-    docs that has one of `names` is replaced; others may have any name.
+    docs that has one of `names` is replaced; others may have any name. Very long texts are read whole, and a posterior of exactly one
+    half is kept.
     """
     docs = docs.drop(*names)
     own, host, path, posterior, kept = names
@@ -164,6 +165,7 @@ def op3_hierarchical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with their columns, whatever those are named."""
+    """The rows of docs that are kept, with their columns, whatever those are named; see judged for nulls, ties, repeated rows, long texts
+    and empty tables."""
     names = tuple(unused(docs, *RESULT))
     return judged(docs, labels, names).where(F.col(names[-1])).select(docs.columns)

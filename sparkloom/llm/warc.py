@@ -211,6 +211,10 @@ def _parsed(rows: list[tuple]) -> pa.RecordBatch:
 def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """archives(path, size) -> a row per page record: page_id, payload_bytes, payload_digest, record_type, refers_to,
     url, archive, at (its offset). Raises if a reachable record is cut off or its payload differs from its digest.
+
+    A record without a page's number has a null page_id, one without a URI a null url. Empty payloads are payloads like others; records that
+    repeat give a row each, and a payload of any length may reach over several splits. An archive of size 0 has no records; an empty
+    table gives none. An archive that is listed twice is read once. Other columns are ignored.
     """
     spark = archives.sparkSession
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long")))
