@@ -92,14 +92,23 @@ def with_own_hash(log: DataFrame) -> DataFrame:
 def chain_faults(log: DataFrame, key: str | None = None, content_hash=None) -> DataFrame:
     """log(seq, prev_hash, row_hash, ...) -> its rows with `reason`, null if sound. content_hash is the column that row_hash must equal.
 
-    Rows are checked against the row before, of the same key if one is named; precedence is sequence, link, content.
+    Rows are checked against the row before; precedence is sequence, link, content. With a key there is a chain a key, checked in order
+    by a window, so that behind a gap all rows are out of sequence. Without one the chain may be long: each row is joined with the one
+    before it by its number, and only the row behind a gap is out of sequence, which gives the same first fault.
     """
-    w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy("seq")
-    number, before = F.row_number().over(w), F.lag("row_hash", 1, GENESIS).over(w)
-    reason = F.when(F.col("seq") != number, "row missing or inserted").when(F.col("prev_hash") != before, "prev_hash")
+    if key:
+        w = Window.partitionBy(key).orderBy("seq")
+        rows = log.withColumn("_gap", F.col("seq") != F.row_number().over(w)).withColumn("_before", F.lag("row_hash", 1, GENESIS).over(w))
+    else:
+        ends = log.groupBy((F.col("seq") + 1).alias("_next")).agg(F.min("row_hash").alias("_before"))
+        twice = log.groupBy(F.col("seq").alias("_seq")).agg(F.count("*").alias("_n")).where("_n > 1")
+        rows = log.join(ends, F.col("seq") == F.col("_next"), "left").join(twice, F.col("seq") == F.col("_seq"), "left")
+        rows = rows.withColumn("_gap", (F.col("seq") < 1) | ((F.col("seq") > 1) & F.col("_before").isNull()) | F.col("_n").isNotNull())
+        rows = rows.withColumn("_before", F.coalesce("_before", F.lit(GENESIS))).drop("_next", "_seq", "_n")
+    reason = F.when(F.col("_gap"), "row missing or inserted").when(F.col("prev_hash") != F.col("_before"), "prev_hash")
     if content_hash is not None:
         reason = reason.when(F.col("row_hash") != content_hash, "row edited")
-    return log.withColumn("reason", reason)
+    return rows.withColumn("reason", reason).drop("_gap", "_before")
 
 
 def chain_report(faults: DataFrame, key: str | None = None) -> DataFrame:

@@ -47,6 +47,9 @@ def test_audit_chain_and_tampering(spark):
     assert report(log.withColumn("actor", F.when(F.col("seq") == 2, "you").otherwise(F.col("actor")))) == (False, 1, 2, "row edited")
     assert report(log.where("seq <> 2"))[2:] == (3, "row missing or inserted")
     assert report(log.where("seq < 4")) == (True, 3, None, None)
+    assert report(log.withColumn("prev_hash", F.when(F.col("seq") == 3, "0" * 64).otherwise(F.col("prev_hash")))) == (False, 2, 3, "prev_hash")
+    assert report(log.union(log.where("seq = 3")))[2:] == (3, "row missing or inserted")
+    assert report(log.where("seq > 1"))[2:] == (2, "row missing or inserted")
     assert report(log.limit(0)) == (True, 0, None, None)
 
 
