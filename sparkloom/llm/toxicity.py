@@ -47,7 +47,8 @@ NEGATIVES, HARD = 12_000, 2000
 #: Slots of a worker's table of words.
 REMEMBERED = 1 << 19
 JOINED, ALARMS = 48, 0.005
-#: Words whose windows are looked at together in training.
+#: Words that are described together, and words whose windows are looked at together in training.
+TOGETHER = 2_000
 CHUNK = 20_000
 #: Characters of a longer text that are scored at a time.
 STRETCH = 2_000_000
@@ -92,8 +93,8 @@ def subsequences(words: list[str]):
         if n + 2 not in _places:
             _places[n + 2] = _offsets(n + 2)
         i, j, k, weight = _places[n + 2]
-        for lo in range(0, len(own), 20_000):
-            part = own[lo : lo + 20_000]
+        for lo in range(0, len(own), TOGETHER):
+            part = own[lo : lo + TOGETHER]
             text = "".join([words[x] for x in part])
             codes = codes_of(points(text)).reshape(len(part), n)
             framed = np.full((len(part), n + 2), 62, np.int32)
@@ -310,15 +311,20 @@ def nystroem(marks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Squared hinge loss by Newton steps; the last weight is the bias. y is 1 or -1."""
-    z = np.hstack([z, np.ones((len(z), 1))])
-    w = np.zeros(z.shape[1])
-    ridge = np.full(z.shape[1], penalty)
+    """Squared hinge loss by Newton steps; the last weight is the bias. y is 1 or -1. Sums are taken over some rows at a time."""
+    n = z.shape[1] + 1
+    w, ridge = np.zeros(n), np.full(n, penalty)
     ridge[-1] = 1e-3
     for _ in range(rounds):
-        wrong = y * (z @ w) < 1
-        a, c, t = z[wrong], cost[wrong], y[wrong]
-        new = np.linalg.solve((a * c[:, None]).T @ a + np.diag(ridge), a.T @ (c * t))
+        left, right = np.diag(ridge), np.zeros(n)
+        for lo in range(0, len(z), TOGETHER):
+            a = np.hstack([z[lo : lo + TOGETHER], np.ones((len(z[lo : lo + TOGETHER]), 1))])
+            t = y[lo : lo + TOGETHER]
+            wrong = t * (a @ w) < 1
+            a, c, t = a[wrong], cost[lo : lo + TOGETHER][wrong], t[wrong]
+            left += (a * c[:, None]).T @ a
+            right += a.T @ (c * t)
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -327,8 +333,8 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1.0, r
 
 def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 5, negatives: int = NEGATIVES, most_hard: int = HARD) -> Machine:
     """A machine from whole texts of either label. Without texts of both labels every document scores 0.5 or what its one label says."""
-    bags = [sorted({p for w in words_of(t) for p in pieces(bared(w))}) for t in toxic]
-    others = [sorted({p for w in words_of(t) for p in pieces(bared(w))}) for t in clean]
+    once: dict[str, str] = {}  # each word once in memory
+    bags, others = ([sorted({once.setdefault(p, p) for w in words_of(t) for p in pieces(bared(w))}) for t in texts] for texts in (toxic, clean))
     if not any(bags) or not any(others):
         return Machine(np.zeros(_SIZE), 0.0, 0.0, 3.0 if any(bags) else -3.0 if any(others) else 0.0)
     rng = np.random.default_rng(seed)
@@ -374,7 +380,6 @@ def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds
     machine = Machine(machine.weights, machine.bias, slope, shift)
 
     # Windows have a machine of their own, so that what words say stays. Its positives are the witnesses and, where no word tells, windows.
-    once: dict[str, str] = {}
     order, other_order = [neighbours(t, once) for t in toxic], [neighbours(t, once) for t in clean]
     missed = [o for (m, _), o in zip(best, order) if machine.probability(m) < 0.5]
     seen = {w: n for w, n in Counter(w for o in missed for w in _windows(o)).items() if n >= 3}
