@@ -101,11 +101,14 @@ def test_cache(run, tmp_path):
 
 
 def test_ledger(run, tmp_path):
-    book, one, two = ("--ledger", tmp_path / "book"), bundle(tmp_path, "sum"), bundle(tmp_path, "mean")
+    other = "class Mean:\n    def get(self, rows):\n        kept = [r / 7 for r in rows if r]\n        return max(kept) - min(kept)\n"
+    book, one, two = ("--ledger", tmp_path / "book"), bundle(tmp_path, "sum"), bundle(tmp_path, "mean", solution__solve_py=other)
     assert run("ledger-init", *book)[0] == 0
     code, out, _ = run("ledger-register", one, two, "--actor", "ann", *book)
     assert code == 0 and {r["slug"]: r["status"] for r in rows(out)} == {"sum": "registered", "mean": "registered"}
     assert run("ledger-check", one, *book)[0] == 1 and run("ledger-register", one, "--actor", "ann", *book)[0] == 1
+    near = bundle(tmp_path, "total")
+    assert [r["status"] for r in rows(run("ledger-register", near, "--actor", "ann", *book)[1])] == ["near_duplicate"]
     assert run("ledger-transition", "sum", "submitted", "--actor", "bo", "--note", "ready", *book)[0] == 0
     assert run("ledger-transition", "sum", "accepted", "--actor", "bo", *book)[0] == 1
     open(f"{two}/instruction.md", "a").write(" more")
