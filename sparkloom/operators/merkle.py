@@ -29,7 +29,7 @@ def conflicts(digests: DataFrame) -> DataFrame:
     twice = level.groupBy("bundle", "path").agg(F.count("*").alias("n")).where("n > 1").select("bundle", "path", F.lit("repeated path").alias("problem"))
     parts = F.split("path", "/")
     above = level.where(F.size(parts) > 1).select("bundle", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("path"))
-    return twice.union(level.distinct().join(above.distinct(), ["bundle", "path"], "left_semi").withColumn("problem", F.lit("both a file and a folder")))
+    return twice.union(level.distinct().join(above.distinct().hint("merge"), ["bundle", "path"], "left_semi").withColumn("problem", F.lit("both a file and a folder")))
 
 
 def roots(digests: DataFrame, tag: str) -> DataFrame:
@@ -40,15 +40,15 @@ def roots(digests: DataFrame, tag: str) -> DataFrame:
     """
     kind = F.when(F.col("kind") == "symlink", LINK).otherwise(FILE) if "kind" in digests.columns else F.lit(FILE)
     depth = digests.agg(F.max(F.size(F.split("path", "/"))).alias("d")).first()["d"] or 0
-    level = digests.join(conflicts(digests).select("bundle").distinct(), "bundle", "left_anti")
+    level = digests.join(conflicts(digests).select("bundle").distinct().hint("merge"), "bundle", "left_anti")
     level = level.select("bundle", F.split("path", "/").alias("parts"), F.unhex("sha256").alias("digest"), kind.alias("kind"))
-    for size in range(depth, 0, -1):
-        here = level.where(F.size("parts") == size)
+    nodes = level.limit(0)
+    for size in range(depth, 0, -1):  # a level is its own files and the folders that those below make, so each file is read once
+        here = level.where(F.size("parts") == size).unionByName(nodes)
         entry = F.concat(F.encode(F.col("kind"), "utf-8"), F.encode(F.element_at("parts", -1), "utf-8"), F.unhex(F.lit("00")), F.col("digest"))
         grouped = here.select("bundle", F.slice("parts", 1, size - 1).alias("parts"), F.struct(F.encode(F.element_at("parts", -1), "utf-8").alias("name"), entry.alias("entry")).alias("e"))
         grouped = grouped.groupBy("bundle", "parts").agg(F.array_sort(F.collect_list("e")).alias("entries"))
         joined = F.aggregate("entries", F.unhex(F.lit("01")), lambda a, e: F.concat(a, e["entry"]))
         nodes = grouped.select("bundle", "parts", F.unhex(F.sha2(joined, 256)).alias("digest"), F.lit(FOLDER).alias("kind"))
-        level = level.where(F.size("parts") < size).unionByName(nodes)
     root = F.sha2(F.concat(F.encode(F.lit(tag), "utf-8"), F.unhex(F.lit("00")), F.col("digest")), 256)
-    return level.where(F.size("parts") == 0).select("bundle", F.concat(F.lit("sha256:"), root).alias("root"))
+    return nodes.select("bundle", F.concat(F.lit("sha256:"), root).alias("root"))

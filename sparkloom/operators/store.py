@@ -89,7 +89,7 @@ def tree_documents(digests: DataFrame, roots: DataFrame, tag: str) -> DataFrame:
     listed = digests.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct(F.col("path").cast("binary").alias("_p"), entry.alias("e")))).alias("l"))
     document = F.struct(F.col("root").alias("bundle_hash"), F.transform("l", lambda x: x["e"].alias("e")).alias("entries"), F.lit(tag).alias("format"))
     data = F.concat(_ascii(F.to_json(document)), F.lit("\n"))
-    return listed.join(roots, "bundle").select("bundle", F.concat(F.lit("sha256:"), F.sha2(data, 256)).alias("key"), data.alias("data"))
+    return listed.hint("merge").join(roots, "bundle").select("bundle", F.concat(F.lit("sha256:"), F.sha2(data, 256)).alias("key"), data.alias("data"))
 
 
 def _ascii(json_text):
