@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -25,6 +26,11 @@ def shingle_hash(shingle: str) -> int:
     return _digest(shingle.encode()) % MODULUS
 
 
+def shingle_hashes(shingles: Collection[str]) -> np.ndarray:
+    """shingle_hash of each."""
+    return np.frombuffer(b"".join([blake2b(s.encode(), digest_size=8).digest() for s in shingles]), ">u8").astype(np.uint64) % _M
+
+
 @lru_cache
 def coefficients(n: int = PERMUTATIONS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     key = seed.to_bytes(8, "big", signed=True)
@@ -32,31 +38,40 @@ def coefficients(n: int = PERMUTATIONS, seed: int = SEED) -> tuple[np.ndarray, n
     return np.array([a for a, _ in pairs], np.uint64), np.array([b for _, b in pairs], np.uint64)
 
 
-def _fold(x: np.ndarray) -> np.ndarray:
-    x = (x & _M) + (x >> np.uint64(61))
-    return np.where(x >= _M, x - _M, x)
-
-
-def _times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """a * x modulo 2^61 - 1 in 64-bit words, by 31- and 30-bit halves."""
-    u = np.uint64
-    a1, a0 = a >> u(31), a & u((1 << 31) - 1)
-    x1, x0 = x >> u(31), x & u((1 << 31) - 1)
-    mid = a1 * x0 + a0 * x1
-    low, high = (mid & u((1 << 30) - 1)) << u(31), mid >> u(30)
-    return _fold(_fold(_fold(a1 * x1 * u(2)) + high) + _fold(low + _fold(a0 * x0)))
-
-
 def signature(hashes: np.ndarray, n: int = PERMUTATIONS, seed: int = SEED) -> np.ndarray:
     """The n minima; the modulus in all places for an empty set."""
     return minima(hashes, *coefficients(n, seed))
 
 
+#: Hashes that are taken through all functions at once: what is computed for them fits a core's cache.
+AT_ONCE = 256
+
+
 def minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.full(len(a), MODULUS, np.uint64)
-    for lo in range(0, len(hashes), 4096):
-        x = hashes[None, lo : lo + 4096]
-        out = np.minimum(out, _fold(_times(a[:, None], x) + b[:, None]).min(axis=1))
+    """The least a * x + b modulo 2^61 - 1 over the hashes x < 2^61, for each a < 2^61 and b < 2^61; the modulus if there are none.
+
+    Products are made of 31- and 30-bit halves. 2^62 is 2 in this modulus and 2^61 is 1, so all parts of a value add up to below 2^64
+    and are reduced once: what is less than the modulus becomes huge by taking that away, and the smaller of the two is right.
+    """
+    u = np.uint64
+    a1, a0, b = (a >> u(31))[:, None], (a & u((1 << 31) - 1))[:, None], b[:, None]
+    twice, out = a1 * u(2), np.full(len(a), MODULUS, np.uint64)
+    for lo in range(0, len(hashes), AT_ONCE):
+        x = hashes[lo : lo + AT_ONCE]
+        x1, x0 = x >> u(31), x & u((1 << 31) - 1)
+        value, mid, part = twice * x1, a1 * x0, a0 * x1
+        value += b
+        mid += part
+        value += np.right_shift(mid, u(30), out=part)
+        mid &= u((1 << 30) - 1)
+        mid <<= u(31)
+        value += mid
+        value += np.multiply(a0, x0, out=part)
+        np.right_shift(value, u(61), out=part)
+        value &= _M
+        value += part
+        np.minimum(value, np.subtract(value, _M, out=part), out=value)
+        np.minimum(out, value.min(axis=1), out=out)
     return out
 
 
@@ -65,7 +80,7 @@ def signatures(shingled: DataFrame, key: str, shingles: str, n: int = PERMUTATIO
 
     def run(stream):
         for batch in slices(stream):
-            out = [signature(np.array([shingle_hash(s) for s in set(row or ())], np.uint64), n, seed).astype(np.int64) for row in batch.column(1).to_pylist()]
+            out = [signature(shingle_hashes(set(row or ())), n, seed).astype(np.int64) for row in batch.column(1).to_pylist()]
             flat = np.concatenate(out) if out else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * n, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "signature"])
@@ -79,8 +94,8 @@ def signatures_of_hashes(hashed: DataFrame, key: str, hashes: str, functions: li
     a, b = (np.array(x, np.uint64) for x in zip(*functions))
 
     def run(stream):
-        for batch in stream:
-            out = [minima(np.array(row or (), np.uint64), a, b).astype(np.int64) for row in batch.column(1).to_pylist()]
+        for batch in slices(stream):
+            out = [minima(np.array(() if row.values is None else row.values, np.uint64), a, b).astype(np.int64) for row in batch.column(1)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * len(a), pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "signature"])
 

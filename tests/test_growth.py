@@ -42,3 +42,34 @@ def test_deep_trees_are_read_once_a_level(spark):
         scans.append(sum("Range (" in x for x in plan_of(found)))
         assert found.count() == 1
     assert scans[1] <= 2 * scans[0]
+
+
+def test_minima_hold_little_and_are_exact():
+    """Values that fit a core's cache: arrays of 4 MB were made before."""
+    import tracemalloc
+
+    import numpy as np
+
+    from sparkloom.functions import minhash
+
+    a, b = minhash.coefficients()
+    edges = [0, 1, (1 << 31) - 1, 1 << 31, 1 << 60, minhash.MODULUS - 2, minhash.MODULUS - 1]
+    hashes = np.array([*edges, *(k * 7_919_104_729 % minhash.MODULUS for k in range(4000))], np.uint64)
+    tracemalloc.start()
+    got = minhash.minima(hashes, a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [min((int(p) * int(x) + int(q)) % minhash.MODULUS for x in hashes) for p, q in zip(a, b)]
+    assert peak < 4 << 20
+    for x in edges:
+        assert minhash.minima(np.array([x], np.uint64), a, b).tolist() == [(int(p) * x + int(q)) % minhash.MODULUS for p, q in zip(a, b)]
+
+
+def test_runs_of_words_are_made_without_copies_of_the_text(spark):
+    from sparkloom.operators import near_duplicates
+
+    texts = ["", "a", "a b", "a b c", "A b! c d", "a b a b a b", None]
+    sets = near_duplicates.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), "k", "text")
+    got = {r.k: r.shingles for r in sets.collect()}
+    assert got == {0: [], 1: ["a"], 2: ["a b"], 3: ["a b c"], 4: ["a b c", "b c d"], 5: ["a b a", "b a b"], 6: []}
+    assert not [x for x in plan_of(sets) if "slice(" in x]
