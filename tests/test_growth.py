@@ -33,6 +33,11 @@ def test_bundles_are_dealt_out_over_all_cores(spark):
         assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
 
 
+def test_dockerfiles_are_dealt_out_over_all_cores(spark):
+    """As many workers run on small tables as on large ones, so that what they hold in all stays as it is when the table grows."""
+    assert QUERIES["unpinned_images"](spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_deep_trees_are_read_once_a_level(spark):
     """The digests are read in proportion to the depth; they were read twice as often with each level."""
     scans = []
